@@ -1 +1,124 @@
-"""Queries."""
+"""Queries for correlations, association and feature screening."""
+
+from __future__ import annotations
+
+from itertools import combinations
+
+from pyspark.sql import functions as F
+
+from ..functions.features import competitor_gap, null_nonpositive, rrp_position
+from ..operators import joins, stats
+from .exploring import quantile_bins_sql
+from .registry import q, query, rounded
+
+NUMBERS = ["price", "competitorPrice", "rrp", "availability", "adFlag", "click", "order"]
+
+
+def _joined(t, *columns):
+    return joins.enrich(null_nonpositive(t.interactions), t.items, list(columns))
+
+
+def pairs_sql(pairs, source: str) -> str:
+    return "\nUNION ALL\n".join(
+        f"""SELECT '{a}' AS a, '{b}' AS b, {q(f'corr("{a}", "{b}")')} AS r FROM {source}"""
+        for a, b in pairs)
+
+
+@query("price_correlation", f"""
+WITH u AS ({pairs_sql(combinations(NUMBERS, 2), 'enriched')})
+SELECT a, b, r FROM u UNION ALL SELECT b, a, r FROM u
+UNION ALL SELECT unnest({NUMBERS!r}) AS a, unnest({NUMBERS!r}) AS b, 1.0::DOUBLE""",
+       ("enriched",))
+def price_correlation(t):
+    return rounded(stats.corr_matrix(_joined(t, "rrp"), NUMBERS))
+
+
+@query("corr_with_order", f"""
+SELECT a AS "column", r FROM ({pairs_sql([(c, 'order') for c in NUMBERS[:-1]], 'enriched')})""",
+       ("enriched",))
+def corr_with_order(t):
+    return rounded(stats.corr_with(_joined(t, "rrp"), "order", NUMBERS[:-1]))
+
+
+GAPS = ["price", "competitorPrice", "price_ratio", "discount", "rrp"]
+
+
+@query("high_corr_pairs", f"""
+WITH g AS (SELECT *, price / "competitorPrice" AS price_ratio, (rrp - price) / rrp AS discount
+  FROM enriched), u AS ({pairs_sql(combinations(GAPS, 2), 'g')})
+SELECT a, b, r, abs(r) AS abs_r FROM u WHERE abs(r) > 0.8""", ("enriched",))
+def high_corr_pairs(t):
+    df = competitor_gap(rrp_position(_joined(t, "rrp")), scale="fraction").withColumnsRenamed(
+        {"price_ratio_competitor": "price_ratio", "discount_to_rrp_pct": "discount"})
+    return rounded(stats.high_corr_pairs(df, GAPS))
+
+
+def cramers_sql(a: str, b: str) -> str:
+    """Over the full grid of cells, with the continuity correction on 2 x 2 tables."""
+    return f"""
+SELECT '{a}' AS a, '{b}' AS b, {q('sum(x)', 5)} AS chi2, any_value(n)::BIGINT AS n,
+  {q('sqrt(sum(x) / (any_value(n) * (least(any_value(k), any_value(m)) - 1)))')} AS cramers_v
+FROM (SELECT CASE WHEN k = 2 AND m = 2 THEN (abs(o - e) - least(0.5, abs(o - e))) ** 2 / e
+        ELSE (o - e) ** 2 / e END AS x, n, k, m
+  FROM (SELECT coalesce(c.o, 0) AS o, r.o * s.o / t.n AS e, t.n, t.k, t.m
+    FROM (SELECT "{a}" AS a, count(*)::DOUBLE AS o FROM enriched
+          WHERE "{a}" IS NOT NULL AND "{b}" IS NOT NULL GROUP BY 1) r
+    CROSS JOIN (SELECT "{b}" AS b, count(*)::DOUBLE AS o FROM enriched
+          WHERE "{a}" IS NOT NULL AND "{b}" IS NOT NULL GROUP BY 1) s
+    CROSS JOIN (SELECT count(*)::DOUBLE AS n, count(DISTINCT "{a}") AS k,
+          count(DISTINCT "{b}") AS m FROM enriched
+          WHERE "{a}" IS NOT NULL AND "{b}" IS NOT NULL) t
+    LEFT JOIN (SELECT "{a}" AS a, "{b}" AS b, count(*)::DOUBLE AS o FROM enriched GROUP BY 1, 2) c
+      ON c.a = r.a AND c.b = s.b))"""
+
+
+ASSOCIATIONS = [("adFlag", "order"), ("availability", "order"), ("group", "unit"),
+                ("category", "campaignIndex")]
+
+
+@query("cramers_v", "\nUNION ALL\n".join(cramers_sql(a, b) for a, b in ASSOCIATIONS),
+       ("enriched",))
+def cramers_v(t):
+    df = _joined(t, "group", "unit", "category", "campaignIndex")
+    parts = [stats.cramers_v(df, a, b).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "*")
+             for a, b in ASSOCIATIONS]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return rounded(out, chi2=5)
+
+
+def mi_sql(name: str, value: str, source: str) -> str:
+    return f"""
+SELECT '{name}' AS "column", sum(nxy / n * ln(nxy * n / (nx * ny))) AS mi FROM (
+  SELECT v, y, count(*)::DOUBLE AS nxy, sum(count(*)) OVER (PARTITION BY v)::DOUBLE AS nx,
+    sum(count(*)) OVER (PARTITION BY y)::DOUBLE AS ny, sum(count(*)) OVER ()::DOUBLE AS n
+  FROM (SELECT {value} AS v, "order" AS y FROM {source}) GROUP BY v, y)"""
+
+
+@query("mutual_information", f"""
+WITH {quantile_bins_sql('price', 'enriched')},
+scores AS ({mi_sql('price', 'b', 'binned')} UNION ALL
+  {mi_sql('category', 'category', 'enriched')} UNION ALL
+  {mi_sql('manufacturer', 'manufacturer', 'enriched')} UNION ALL
+  {mi_sql('adFlag', '"adFlag"', 'enriched')} UNION ALL
+  {mi_sql('availability', 'availability', 'enriched')})
+SELECT "column", {q('mi', 8)} AS mi FROM scores ORDER BY scores.mi DESC LIMIT 4""", ("enriched",))
+def mutual_information(t):
+    df = _joined(t, "category", "manufacturer")
+    out = stats.mutual_information(df, "order", ["category", "manufacturer", "adFlag",
+                                                 "availability"], ["price"], top=4)
+    return rounded(out, 8)
+
+
+@query("zero_variance", """
+SELECT 'single' AS "column" FROM interactions HAVING count(DISTINCT click + basket + "order") = 1
+""", ("interactions",))
+def zero_variance(t):
+    df = t.interactions.withColumn("single", F.col("click") + F.col("basket") + F.col("order"))
+    return stats.zero_variance(df, ["single", "price", "availability", "order"])
+
+
+@query("price_elasticity")
+def price_elasticity(t):
+    return stats.price_elasticity(t.interactions)

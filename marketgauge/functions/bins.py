@@ -8,20 +8,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _edges(edges: Sequence[float]) -> Column:
-    return F.array(*[F.lit(float(e)) for e in edges])
-
-
 def left_closed_bin(c: Column, edges: Sequence[float]) -> Column:
     """1 + number of inner edges <= c, so [-inf, e1) is 1 and [e1, e2) is 2."""
-    below = F.size(F.filter(_edges(edges), lambda e: e <= c))
-    return F.when(c.isNotNull(), below + 1)
+    if not edges:
+        return F.when(c.isNotNull(), 1)
+    cell = F.when(c < float(edges[0]), 1)
+    for i, edge in enumerate(edges[1:], start=2):
+        cell = cell.when(c < float(edge), i)
+    return cell.when(c.isNotNull(), len(edges) + 1)
 
 
 def right_closed_bin(c: Column, edges: Sequence[float]) -> Column:
     """1 + number of inner edges < c, so (-inf, e1] is 1 and (e1, e2] is 2."""
-    below = F.size(F.filter(_edges(edges), lambda e: e < c))
-    return F.when(c.isNotNull(), below + 1)
+    if not edges:
+        return F.when(c.isNotNull(), 1)
+    cell = F.when(c <= float(edges[0]), 1)
+    for i, edge in enumerate(edges[1:], start=2):
+        cell = cell.when(c <= float(edge), i)
+    return cell.when(c.isNotNull(), len(edges) + 1)
 
 
 def fixed_bin(c: Column, edges: Sequence[float], right: bool = False) -> Column:
@@ -30,7 +34,12 @@ def fixed_bin(c: Column, edges: Sequence[float], right: bool = False) -> Column:
 
 def labelled_bin(c: Column, edges: Sequence[float], labels: Sequence[str]) -> Column:
     """Right-closed bins with names; NULL stays NULL."""
-    return F.element_at(F.array(*map(F.lit, labels)), right_closed_bin(c, edges))
+    if not edges:
+        return F.when(c.isNotNull(), labels[0])
+    name = F.when(c <= float(edges[0]), labels[0])
+    for edge, label in zip(edges[1:], labels[1:]):
+        name = name.when(c <= float(edge), label)
+    return name.when(c.isNotNull(), labels[len(edges)])
 
 
 def equal_width_edges(df: DataFrame, col: str) -> tuple[float, float]:
@@ -53,5 +62,4 @@ def equal_width_bin(c: Column, lo: float, hi: float, n: int, right: bool = True)
 
 def quantile_bin(c: Column, edges: Sequence[float]) -> Column:
     """Right-closed bins over quantile edges with repeated edges dropped; 1-based."""
-    inner = sorted(set(edges))[1:-1]
-    return right_closed_bin(c, inner) if inner else F.when(c.isNotNull(), F.lit(1))
+    return right_closed_bin(c, sorted(set(edges))[1:-1])

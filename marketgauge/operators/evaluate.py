@@ -194,10 +194,18 @@ def best_threshold(sweep: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return sweep.groupBy(*by).agg(best.alias("best")).select(*by, "best.*")
 
 
-def threshold_cv(df: DataFrame, fold: str, grid: Sequence[float]) -> DataFrame:
-    """F1 per threshold averaged over folds, as one row per threshold."""
-    return (threshold_sweep(df, grid, [fold]).groupBy("threshold")
-            .agg(F.avg("f1").alias("mean_f1"), F.stddev_pop("f1").alias("std_f1")))
+def average_over_folds(sweep: DataFrame) -> DataFrame:
+    """F1 per threshold averaged over the folds of a sweep grouped by fold."""
+    return sweep.groupBy("threshold").agg(F.avg("f1").alias("mean_f1"),
+                                          F.stddev_pop("f1").alias("std_f1"))
+
+
+def tune_threshold_cv(df: DataFrame, fold: str, grid: Sequence[float]) -> DataFrame:
+    """The threshold with the best F1 averaged over folds (ties: the lowest)."""
+    means = average_over_folds(threshold_sweep(df, grid, [fold]))
+    order = F.struct(-F.col("mean_f1"), F.col("threshold"))
+    best = F.min_by(F.struct("threshold", "mean_f1", "std_f1"), order)
+    return means.agg(best.alias("best")).select("best.*")
 
 
 def nearest(sweep: DataFrame, points: Sequence[float]) -> DataFrame:
