@@ -1 +1,264 @@
-"""Queries."""
+"""Queries that train, tune and explain models, and the exact baselines around them."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import schema
+from ..functions.features import (action_label, null_nonpositive, quantity_class,
+                                  quantity_rounded)
+from ..operators import evaluate, joins, knn, models, sampling
+from ..plans import experiments
+from ..session import cut
+from .registry import q, query, rounded
+
+
+@query("class_weights", f"""
+WITH c AS (SELECT "order", count(*) AS n FROM interactions GROUP BY 1),
+w AS (SELECT "order", n, ((SELECT sum(n) FROM c) / ((SELECT count(*) FROM c) * n)) ** 0.5 AS d
+  FROM c)
+SELECT "order", n, {q('d / (SELECT avg(d) FROM w)')} AS weight FROM w""", ("interactions",))
+def class_weights(t):
+    return rounded(models.class_weights(t.interactions, "order", alpha=0.5))
+
+
+@query("baseline_majority", f"""
+WITH o AS (SELECT day, round_even(revenue / price, 0)::INTEGER AS u FROM interactions
+  WHERE "order" = 1),
+c AS (SELECT day, CASE WHEN u <= 3 THEN u::VARCHAR WHEN u <= 5 THEN '4-5' ELSE '6+' END AS k
+  FROM o),
+m AS (SELECT k FROM c WHERE day < 79 GROUP BY 1 ORDER BY count(*) DESC, k LIMIT 1)
+SELECT m.k AS prediction, count(*) AS n, {q('avg((c.k = m.k)::INT)')} AS accuracy
+FROM c, m WHERE day >= 79 GROUP BY 1""", ("interactions",))
+def baseline_majority(t):
+    df = t.interactions.filter("order = 1").select(
+        "day", quantity_class(quantity_rounded()).alias("label"))
+    out = models.baseline_majority(df.filter("day < 79"), df.filter("day >= 79"), "label")
+    hit = (F.col("label") == F.col("prediction")).cast("double")
+    return rounded(out.groupBy("prediction").agg(F.count("*").alias("n"),
+                                                 F.avg(hit).alias("accuracy")))
+
+
+@query("baseline_mean", f"""
+WITH o AS (SELECT day, revenue / price AS y FROM interactions WHERE "order" = 1),
+m AS (SELECT avg(y) AS m FROM o WHERE day < 79)
+SELECT {q('avg(abs(y - m))')} AS mae, {q('sqrt(avg((y - m) ** 2))')} AS rmse,
+  {q('1 - sum((y - m) ** 2) / (var_pop(y) * count(*))')} AS r2 FROM o, m WHERE day >= 79""",
+       ("interactions",))
+def baseline_mean(t):
+    df = t.interactions.filter("order = 1").select(
+        "day", (F.col("revenue") / F.col("price")).alias("label"))
+    out = models.baseline_mean(df.filter("day < 79"), df.filter("day >= 79"), "label")
+    return rounded(evaluate.regression_metrics(out))
+
+
+@query("knn_vote", f"""
+WITH pairs AS (SELECT q.vec_id, t.label::VARCHAR AS label, t.vec_id AS t,
+  list_distance(q.embedding::DOUBLE[], t.embedding::DOUBLE[]) AS d
+  FROM embeddings q, embeddings t WHERE q.vec_id % 5 = 0 AND t.vec_id % 5 <> 0),
+near AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, t) <= 7),
+weighted AS (SELECT vec_id, label, CASE WHEN bool_or(d = 0) OVER (PARTITION BY vec_id)
+  THEN (d = 0)::INT ELSE 1 / d END AS w FROM near),
+votes AS (SELECT vec_id, label, sum(w) AS w FROM weighted GROUP BY 1, 2)
+SELECT vec_id AS id, arg_min(label, (-w, label)) AS prediction, {q('max(w) / sum(w)')} AS score
+FROM votes GROUP BY 1""")
+def knn_vote(t):
+    rows = t.table("embeddings").select(F.col("vec_id").alias("id"), "label",
+                                        F.col("embedding").alias("vec"))
+    return rounded(knn.knn_vote(rows.filter("id % 5 <> 0"), rows.filter("id % 5 = 0"), k=7))
+
+
+def frame(t):
+    """Order label and model inputs per interaction, written once for all fits of a query."""
+    df = joins.enrich(null_nonpositive(t.interactions), t.items)
+    df = experiments.price_frame(df).withColumn("label", F.col("order").cast("double"))
+    return cut(df.select("lineID", "label", *schema.ACTIONS, *experiments.NUMBERS,
+                         *experiments.CATEGORIES, *experiments.TARGETS))
+
+
+def sides(t):
+    df = sampling.time_split(frame(t), [schema.VALID_DAY, schema.TEST_DAY])
+    return [df.filter(F.col("split") == s).drop("split") for s in ("train", "valid", "test")]
+
+
+def _order_report(trained, test):
+    scored = trained.score(test).select(F.col("order").alias("label"), "score")
+    return evaluate.binary_report(scored, 0.5)
+
+
+def _action_frame(t):
+    df = frame(t).withColumn("action", action_label())
+    code = F.array_position(F.array(*map(F.lit, schema.ACTIONS)), F.col("action")) - 1
+    df = df.withColumn("label", code.cast("double"))
+    train, test = df.filter(F.col("day") < schema.TEST_DAY), df.filter(
+        F.col("day") >= schema.TEST_DAY)
+    return models.with_class_weight(train, "label"), test
+
+
+def _action_report(trained, test):
+    return experiments.action_report(trained, test)
+
+
+@query("model_logistic")
+def model_logistic(t):
+    train, test = _action_frame(t)
+    prep = models.Preprocessor(numeric=experiments.NUMBERS, one_hot=experiments.CATEGORIES,
+                               min_frequency=0.01, scale=True)
+    return _action_report(models.fit(train, models.logistic(maxIter=30), prep), test)
+
+
+@query("model_tree")
+def model_tree(t):
+    train, test = _action_frame(t)
+    prep = models.Preprocessor(numeric=experiments.NUMBERS, one_hot=experiments.CATEGORIES,
+                               min_frequency=0.01)
+    return _action_report(models.fit(train, models.tree(), prep), test)
+
+
+@query("model_additive")
+def model_additive(t):
+    train, test = _action_frame(t)
+    prep = models.Preprocessor(numeric=["adFlag", "availability"], one_hot=experiments.CATEGORIES,
+                               splines=["price", "day"], min_frequency=0.02, scale=True)
+    return _action_report(models.fit(train, models.logistic(weight=None, maxIter=30), prep), test)
+
+
+@query("model_forest")
+def model_forest(t):
+    return experiments.forest_experiment(t.interactions, t.items, trees=10, depth=8)
+
+
+@query("model_gbt")
+def model_gbt(t):
+    train, valid, test = sides(t)
+    trained = experiments.boosted_fit(train.unionByName(valid), rounds=8, depth=4)
+    return _order_report(trained, test)
+
+
+@query("history_model")
+def history_model(t):
+    return experiments.history_experiment(t.interactions, t.items, rounds=8, depth=4)
+
+
+@query("model_quantity")
+def model_quantity(t):
+    return experiments.quantity_experiment(t.interactions, t.items, rounds=3, depth=3)
+
+
+@query("model_quantity_tree")
+def model_quantity_tree(t):
+    return experiments.quantity_tree_experiment(t.interactions, t.items)
+
+
+@query("model_calibrated")
+def model_calibrated(t):
+    train, valid, test = sides(t)
+    folded = sampling.kfold(train.unionByName(valid), "order", 3)
+    plain = experiments.boosted_fit(folded.drop("fold"), rounds=5, depth=4)
+    calibrated = models.calibrate_isotonic(
+        folded, "label", "fold", lambda: experiments.boosted_parts(rounds=5, depth=4))
+    both = (plain.score(test).select(F.lit("uncalibrated").alias("model"), "label", "score")
+            .unionByName(calibrated.score(test).select(F.lit("calibrated").alias("model"),
+                                                       "label", "score")))
+    return evaluate.brier(both, ["model"]).join(
+        evaluate.ranking_metrics(both.withColumn("label", F.col("label").cast("int")),
+                                 ["model"]), "model")
+
+
+@query("tuning_report")
+def tuning_report(t):
+    train, _, _ = sides(t)
+    folded = sampling.kfold(train, "order", 2)
+    grid = [{"depth": 4, "min_leaf": 1}, {"depth": 4, "min_leaf": 10}]
+    return models.tune_grid(folded, "order", grid, experiments.forest_parts)
+
+
+@query("random_search")
+def random_search(t):
+    train, valid, test = sides(t)
+    space = {"depth": [3, 4, 5], "rate": [0.05, 0.07, 0.1], "min_leaf": [1, 3, 5, 10],
+             "subsample": [0.7, 0.85, 1.0]}
+    params = models.random_params(space, 2)
+    trials, best = models.tune_random(
+        train, valid, "order", params,
+        lambda **p: experiments.boosted_parts(rounds=6, **p))
+    final = _order_report(best, test).select(F.col("roc_auc").alias("test_roc_auc"),
+                                             F.col("pr_auc").alias("test_pr_auc")).first()
+    return trials.withColumns({"test_roc_auc": F.lit(final.test_roc_auc),
+                               "test_pr_auc": F.lit(final.test_pr_auc)})
+
+
+def _weightings(train):
+    ratio = models.positive_ratio(train, "order")
+    return {name: F.when(F.col("order") == 1, w).otherwise(1.0)
+            for name, w in (("1.0", 1.0), ("1.5", 1.5), ("ratio", float(ratio)))}
+
+
+@query("weight_sweep")
+def weight_sweep(t):
+    train, valid, _ = sides(t)
+    return models.sweep_weights(train, valid, "order", _weightings(train),
+                                lambda: experiments.boosted_parts(rounds=4, depth=3,
+                                                                  weight="weight"))
+
+
+@query("select_bundle")
+def select_bundle(t):
+    train, valid, test = sides(t)
+    weights = {k: v for k, v in _weightings(train).items() if k != "1.5"}
+    return models.select_bundle(train, valid, test, "order", weights,
+                                evaluate.sweep_grid(0.20, 0.80, 0.05),
+                                lambda: experiments.boosted_parts(rounds=4, depth=3,
+                                                                  weight="weight"))
+
+
+@query("feature_set_comparison")
+def feature_set_comparison(t):
+    train, valid, _ = sides(t)
+    sets = {"top_4": experiments.NUMBERS[:4], "all": experiments.NUMBERS}
+    return models.compare_feature_sets(
+        train, valid, "order", sets,
+        lambda columns: experiments.boosted_parts(rounds=4, depth=3, numeric=columns, target=[]))
+
+
+@query("per_group_models")
+def per_group_models(t):
+    return experiments.per_group_experiment(t.interactions, t.items, "unit")
+
+
+@query("feature_importance")
+def feature_importance(t):
+    train, _, _ = sides(t)
+    return models.feature_importance(experiments.boosted_fit(train, rounds=4, depth=4), top=15)
+
+
+@query("logit_coefficients")
+def logit_coefficients(t):
+    train, _ = _action_frame(t)
+    prep = models.Preprocessor(numeric=experiments.NUMBERS, one_hot=experiments.CATEGORIES,
+                               min_frequency=0.01, scale=True)
+    trained = models.fit(train, models.logistic(maxIter=20), prep)
+    return models.coefficients(trained, schema.ACTIONS.index("order"), 15)
+
+
+@query("tree_rules")
+def tree_rules(t):
+    train, _ = _action_frame(t)
+    prep = models.Preprocessor(numeric=experiments.NUMBERS)
+    return models.tree_rules(models.fit(train, models.tree(depth=4, min_leaf=200), prep))
+
+
+@query("permutation_importance")
+def permutation_importance(t):
+    train, _, test = sides(t)
+    trained = experiments.boosted_fit(train, rounds=4, depth=4)
+    return models.permutation_importance(trained, test, "order",
+                                         ["price", "day", "manufacturer"], repeats=2)
+
+
+@query("partial_dependence")
+def partial_dependence(t):
+    train, _, test = sides(t)
+    trained = experiments.boosted_fit(train, rounds=4, depth=4)
+    return models.partial_dependence(trained, test, "price_to_rrp_ratio",
+                                     [0.1, 0.5, 0.9, 1.0, 1.1, 1.5, 2.0, 5.0, 10.0])

@@ -37,7 +37,7 @@ def with_ctes(body: str, *names: str) -> str:
         wanted.update(NEEDS.get(n, []))
     parts = [CTES[n] for n in CTES if n in wanted]
     # A body that starts with WITH continues the list.
-    if body.lstrip().upper().startswith("WITH "):
+    if parts and body.lstrip().upper().startswith("WITH "):
         return "WITH " + ",\n".join(parts) + ",\n" + body.lstrip()[5:]
     return "WITH " + ",\n".join(parts) + "\n" + body if parts else body
 

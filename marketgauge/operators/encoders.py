@@ -169,28 +169,40 @@ def target_encode_cv(df: DataFrame, cols: Sequence[str], label: str, fold: Colum
                         (total.getField("s") - F.col("fs")).alias("bs")))
         encoded = rest.select(f"_{c}", "_fold", _shrunk(F.col("n"), F.col("s"), F.col("bn"),
                                                         F.col("bs")).alias(f"{c}_te"))
-        # NULL is a level of its own here, so the key is made joinable.
-        mark = F.coalesce(F.concat(F.lit("="), F.col(f"_{c}")), F.lit(""))
-        encoded = encoded.withColumn(f"_{c}", mark)
-        keyed = out.withColumn(f"_{c}", F.col(c).cast("string")).withColumn(f"_{c}", mark)
+        encoded = encoded.withColumn(f"_{c}", _key(F.col(f"_{c}")))
+        keyed = out.withColumn(f"_{c}", _key(F.col(c)))
         out = lookup(keyed, encoded, [f"_{c}", "_fold"]).drop(f"_{c}")
     return out.drop("_fold")
 
 
+def target_table(train: DataFrame, col: str, label: str) -> tuple[DataFrame, float]:
+    """(key, te) learned on all of `train`, written once, and the global mean."""
+    row = train.agg(F.count("*").alias("n"), F.sum(label).cast("double").alias("s")).first()
+    big_n, big_s = F.lit(float(row.n)), F.lit(row.s)
+    stats = target_stats(train, col, label, F.lit(0))
+    table = stats.select(_key(F.col("value")).alias("_key"),
+                         _shrunk(F.col("n"), F.col("s"), big_n, big_s).alias(f"{col}_te"))
+    return cut(table), row.s / row.n
+
+
+def _key(value: Column) -> Column:
+    """NULL is a level of its own, so the key is made joinable."""
+    return F.coalesce(F.concat(F.lit("="), value.cast("string")), F.lit(""))
+
+
+def apply_target_table(df: DataFrame, col: str, table: DataFrame, default: float) -> DataFrame:
+    """Adds `<col>_te`; values the table does not know get `default`."""
+    out = lookup(df.withColumn("_key", _key(F.col(col))), table, ["_key"], stored=True)
+    return out.drop("_key").withColumn(
+        f"{col}_te", F.coalesce(F.col(f"{col}_te"), F.lit(default)))
+
+
 def target_encode(train: DataFrame, df: DataFrame, cols: Sequence[str], label: str) -> DataFrame:
     """Adds `<col>_te` learned on all of `train`; unseen values get the global mean."""
     out = df
     for c in cols:
-        stats = target_stats(train, c, label, F.lit(0))
-        big = train.agg(F.struct(F.count("*").alias("n"),
-                                 F.sum(label).cast("double").alias("s")).alias("t")).scalar()
-        mark = F.coalesce(F.concat(F.lit("="), F.col("value")), F.lit(""))
-        codes = stats.select(mark.alias(f"_{c}"), _shrunk(
-            F.col("n"), F.col("s"), big.getField("n"), big.getField("s")).alias(f"{c}_te"))
-        keyed = out.withColumn(f"_{c}", F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")),
-                                                   F.lit("")))
-        out = lookup(keyed, codes, [f"_{c}"]).drop(f"_{c}").withColumn(
-            f"{c}_te", F.coalesce(F.col(f"{c}_te"), ratio(big.getField("s"), big.getField("n"))))
+        table, default = target_table(train, c, label)
+        out = apply_target_table(out, c, table, default)
     return out
 
 
@@ -208,19 +220,23 @@ def standardize(train: DataFrame, df: DataFrame, cols: Sequence[str],
     return df.withColumns(scaled)
 
 
+def spline_ends(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, float]]:
+    """Smallest and largest value per column (the fitting step)."""
+    row = df.agg(*[F.struct(F.min(c).cast("double").alias("lo"),
+                            F.max(c).cast("double").alias("hi")).alias(c) for c in cols]).first()
+    return {c: (row[c].lo, row[c].hi) for c in cols}
+
+
 def spline_basis(df: DataFrame, cols: Sequence[str], knots: int = 5, degree: int = 3,
-                 fit_on: DataFrame | None = None) -> DataFrame:
+                 ends: dict[str, tuple[float, float]] | None = None) -> DataFrame:
     """Adds `<col>_sp0..`: uniform B-splines over the fitted range, the last one left out.
 
     Values outside the fitted range take the value at the border.
     """
-    source = df if fit_on is None else fit_on
-    ends = source.agg(*[F.struct(F.min(c).cast("double").alias("lo"),
-                                 F.max(c).cast("double").alias("hi")).alias(c)
-                        for c in cols]).first()
+    ends = spline_ends(df, cols) if ends is None else ends
     out = df
     for c in cols:
-        lo, hi = ends[c].lo, ends[c].hi
+        lo, hi = ends[c]
         step = (hi - lo) / (knots - 1)
         if step == 0:
             raise ValueError(f"{c} is constant; a spline needs a range")
