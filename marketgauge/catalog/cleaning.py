@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -13,7 +13,7 @@ from ..functions.numbers import finite_or_null, is_present, ratio
 from ..functions.text import classify_content, normalize_text, parse_content
 from ..operators import cleaning, joins
 from ..plans.unified import build_features
-from ..session import ensure_checkpoint_dir
+from ..session import shared_dir
 from ..sources import tables as io
 from .registry import q, query, rounded
 
@@ -265,9 +265,7 @@ def skew_safe_join(t):
 SELECT day, count(*) AS n, {q('sum(price)', 2)} AS price_sum FROM enriched
 WHERE content NOT IN ('PAK', 'L   125') GROUP BY day""", ("enriched",))
 def features_roundtrip(t):
-    ensure_checkpoint_dir(t.spark)
-    base = t.spark.sparkContext.getCheckpointDir()
-    path = f"{base}/features-{next(tempfile._get_candidate_names())}"
+    path = f"{shared_dir(t.spark)}/features-{uuid.uuid4().hex}"
     io.write_features(build_features(t.interactions, t.items), path)
     back = io.read_features(t.spark, path)
     return rounded(back.groupBy("day").agg(F.count("*").alias("n"),

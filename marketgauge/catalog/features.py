@@ -208,9 +208,7 @@ UNION ALL SELECT 'group', threshold FROM group_threshold
 UNION ALL SELECT 'category', threshold FROM category_threshold""", ("enriched",))
 def coverage_threshold(t):
     df = joins.enrich(t.interactions, t.items, ["manufacturer", "group", "category"])
-    parts = [encoders.coverage_threshold(df, c).select(F.lit(c).alias("column"), "threshold")
-             for c in ("manufacturer", "group", "category")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return encoders.coverage_threshold(df, ["manufacturer", "group", "category"])
 
 
 @query("rare_categories", f"""

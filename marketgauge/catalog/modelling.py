@@ -153,10 +153,10 @@ def model_quantity_tree(t):
 @query("model_calibrated")
 def model_calibrated(t):
     train, valid, test = sides(t)
-    folded = sampling.kfold(train.unionByName(valid), "order", 3)
-    plain = experiments.boosted_fit(folded.drop("fold"), rounds=5, depth=4)
+    folded = cut(sampling.kfold(train.unionByName(valid), "order", 3))
+    plain = experiments.boosted_fit(folded.drop("fold"), rounds=3, depth=3)
     calibrated = models.calibrate_isotonic(
-        folded, "label", "fold", lambda: experiments.boosted_parts(rounds=5, depth=4))
+        folded, "label", "fold", lambda: experiments.boosted_parts(rounds=3, depth=3))
     both = (plain.score(test).select(F.lit("uncalibrated").alias("model"), "label", "score")
             .unionByName(calibrated.score(test).select(F.lit("calibrated").alias("model"),
                                                        "label", "score")))
@@ -168,7 +168,7 @@ def model_calibrated(t):
 @query("tuning_report")
 def tuning_report(t):
     train, _, _ = sides(t)
-    folded = sampling.kfold(train, "order", 2)
+    folded = cut(sampling.kfold(train, "order", 2))
     grid = [{"depth": 4, "min_leaf": 1}, {"depth": 4, "min_leaf": 10}]
     return models.tune_grid(folded, "order", grid, experiments.forest_parts)
 

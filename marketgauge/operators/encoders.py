@@ -3,45 +3,56 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import flag, ratio
-from ..session import cut
-from .joins import lookup
+from ..session import cut, cut_counted
+from .joins import join_counted, lookup
 from .ordered import dense_codes
 
 INFREQUENT = "__infrequent__"
 
 
-def _sizes(df: DataFrame, col: str, weight: str | None) -> DataFrame:
-    rows = F.count("*") if weight is None else F.sum(weight)
-    return df.groupBy(col).agg(rows.alias("c"))
+def _sizes(df: DataFrame, cols: Sequence[str], weight: str | None) -> DataFrame:
+    """(column, value, c): rows per value of each column, NULL included; one aggregation."""
+    pairs = [F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
+             for c in cols]
+    n = F.lit(1) if weight is None else F.col(weight)
+    return (df.select(n.alias("_w"), F.inline(F.array(*pairs)))
+            .groupBy("column", "value").agg(F.sum("_w").alias("c")))
 
 
-def coverage_threshold(df: DataFrame, col: str, target: float = 0.95,
-                       weight: str | None = None) -> DataFrame:
-    """One row (threshold): the count a value needs so that the values at or above it cover
-    about `target` of the rows. NULL counts as a value. `weight` holds the number of rows a
-    pre-aggregated row stands for.
+def _thresholds(sizes: DataFrame, target: float) -> DataFrame:
+    """(column, threshold) from the value counts.
 
     Values with equal counts are interchangeable, so the running sum goes over distinct counts:
-    fewer than sqrt(2 x rows) of them, small for any table.
+    fewer than sqrt(2 x rows) of them per column, small for any table.
     """
-    sizes = (_sizes(df, col, weight).groupBy("c").agg(F.count("*").alias("m")))
-    down = Window.orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = F.sum(F.col("c") * F.col("m")).over(Window.partitionBy())
-    walked = sizes.select(
-        "c", "m", F.sum(F.col("c") * F.col("m")).over(down).alias("upto"), total.alias("total"))
+    runs = sizes.groupBy("column", "c").agg(F.count("*").alias("m"))
+    per = Window.partitionBy("column")
+    down = per.orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = F.col("c") * F.col("m")
+    walked = runs.select("column", "c", "m", (F.sum(rows).over(down) - rows).alias("before"),
+                         F.sum(rows).over(per).alias("total"))
     # In a run of m equal counts, this many keep the cumulative share within the target.
-    before = F.col("upto") - F.col("c") * F.col("m")
-    room = F.floor((F.lit(target) * F.col("total") - before) / F.col("c"))
-    fits = (before + (room + 1) * F.col("c")) / F.col("total") <= target
-    inside = F.greatest(F.lit(0), F.least(F.col("m"), room + F.when(fits, 1).otherwise(0)))
+    room = F.floor((F.lit(target) * F.col("total") - F.col("before")) / F.col("c"))
+    one_more = (F.col("before") + (room + 1) * F.col("c")) / F.col("total") <= target
+    inside = F.greatest(F.lit(0), F.least(F.col("m"), room + F.when(one_more, 1).otherwise(0)))
     # The threshold is the first count with a value outside; coverage 1.0 keeps every value.
     outside = F.max(F.when(inside < F.col("m"), F.col("c")))
-    return walked.agg(F.coalesce(outside, F.min("c")).alias("threshold"))
+    return walked.groupBy("column").agg(F.coalesce(outside, F.min("c")).alias("threshold"))
+
+
+def coverage_threshold(df: DataFrame, cols: Sequence[str], target: float = 0.95,
+                       weight: str | None = None) -> DataFrame:
+    """(column, threshold): the count a value needs so that the values at or above it cover
+    about `target` of the rows. NULL counts as a value. `weight` holds the number of rows a
+    pre-aggregated row stands for.
+    """
+    return _thresholds(_sizes(df, cols, weight), target)
 
 
 def group_rare(df: DataFrame, cols: Sequence[str], target: float = 0.95,
@@ -49,17 +60,20 @@ def group_rare(df: DataFrame, cols: Sequence[str], target: float = 0.95,
                weight: str | None = None) -> DataFrame:
     """Values rarer than the coverage threshold become `label`; NULL stays NULL.
 
-    `counted` with a `weight` column replaces the counting passes over `df` by a smaller table.
+    `counted` with a `weight` column replaces the counting pass over `df` by a smaller table.
     """
-    source = df if counted is None else counted
+    sizes = cut(_sizes(df if counted is None else counted, cols, weight))
+    # One threshold row per column.
+    rare, rows = cut_counted(
+        sizes.join(F.broadcast(_thresholds(sizes, target)), "column")
+        .filter(F.col("value").isNotNull() & (F.col("c") < F.col("threshold")))
+        .select("column", "value"))
     out = df
     for c in cols:
-        threshold = coverage_threshold(source, c, target, weight).scalar()
-        rare = (_sizes(source, c, weight)
-                .filter(F.col(c).isNotNull() & (F.col("c") < threshold))
-                .select(c, F.lit(True).alias("_rare")))
-        out = lookup(out, rare, [c]).withColumn(
-            c, F.when(F.col("_rare"), F.lit(label)).otherwise(F.col(c).cast("string")))
+        mine = rare.filter(F.col("column") == c).select(F.col("value").alias(c),
+                                                        F.lit(True).alias("_rare"))
+        out = join_counted(out.withColumn(c, F.col(c).cast("string")), mine, [c], rows)
+        out = out.withColumn(c, F.when(F.col("_rare"), F.lit(label)).otherwise(F.col(c)))
         out = out.drop("_rare")
     return out.select(*df.columns)
 
@@ -112,16 +126,14 @@ def one_hot(df: DataFrame, cols: Sequence[str], drop_first: bool = False,
 def label_encode(df: DataFrame, cols: Sequence[str], order: str = "sorted") -> DataFrame:
     """`<col>_code`: position of the value in sorted order, or in order of first appearance
     (by the smallest lineID that carries it)."""
-    if order == "sorted":
-        codes = cut(dense_codes(df, cols))
-    else:
-        codes = cut(_appearance_codes(df, cols))
+    codes, rows = cut_counted(dense_codes(df, cols) if order == "sorted"
+                              else _appearance_codes(df, cols))
     out = df
     for c in cols:
         one = codes.filter(F.col("column") == c).select(
             F.col("value").alias(f"_{c}"), F.col("code").alias(f"{c}_code"))
-        out = lookup(out.withColumn(f"_{c}", F.col(c).cast("string")), one, [f"_{c}"],
-                     stored=True).drop(f"_{c}")
+        out = join_counted(out.withColumn(f"_{c}", F.col(c).cast("string")), one, [f"_{c}"],
+                           rows).drop(f"_{c}")
     return out
 
 
@@ -136,10 +148,18 @@ def _appearance_codes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return ranked.select("column", "value", (F.col("cum_one") - 1).cast("long").alias("code"))
 
 
-def target_stats(df: DataFrame, col: str, label: str, fold: Column) -> DataFrame:
-    """(value, fold) row counts and label sums; a hot value combines before the shuffle."""
-    return (df.groupBy(F.col(col).cast("string").alias("value"), fold.alias("fold"))
-            .agg(F.count("*").alias("n"), F.sum(label).cast("double").alias("s")))
+def _key(value: Column) -> Column:
+    """NULL is a level of its own, so the key is made joinable."""
+    return F.coalesce(F.concat(F.lit("="), value.cast("string")), F.lit(""))
+
+
+def _target_stats(df: DataFrame, cols: Sequence[str], label: str, fold: Column) -> DataFrame:
+    """(column, _key, _fold, n, s): rows and label sum per value and fold, all columns in one
+    aggregation; a hot value combines before the shuffle."""
+    pairs = [F.struct(F.lit(c).alias("column"), _key(F.col(c)).alias("_key")) for c in cols]
+    return (df.select(fold.alias("_fold"), F.col(label).alias("_y"), F.inline(F.array(*pairs)))
+            .groupBy("column", "_key", "_fold")
+            .agg(F.count("*").alias("n"), F.sum("_y").cast("double").alias("s")))
 
 
 def _shrunk(n: Column, s: Column, big_n: Column, big_s: Column) -> Column:
@@ -153,57 +173,60 @@ def _shrunk(n: Column, s: Column, big_n: Column, big_s: Column) -> Column:
 
 def target_encode_cv(df: DataFrame, cols: Sequence[str], label: str, fold: Column) -> DataFrame:
     """Adds `<col>_te`: the encoding of a row learned from the other folds only."""
+    stats = _target_stats(df, cols, label, fold)
+    value = Window.partitionBy("column", "_key")
+    # One row per fold and column after this aggregation.
+    folds = stats.groupBy("column", "_fold").agg(F.sum("n").alias("fn"), F.sum("s").alias("fs"))
+    every = Window.partitionBy("column")
+    folds = folds.select("column", "_fold", (F.sum("fn").over(every) - F.col("fn")).alias("bn"),
+                         (F.sum("fs").over(every) - F.col("fs")).alias("bs"))
+    rest = stats.withColumns({"n": F.sum("n").over(value) - F.col("n"),
+                              "s": F.sum("s").over(value) - F.col("s")})
+    encoded, rows = cut_counted(rest.join(F.broadcast(folds), ["column", "_fold"]).select(
+        "column", "_key", "_fold",
+        _shrunk(F.col("n"), F.col("s"), F.col("bn"), F.col("bs")).alias("te")))
     out = df.withColumn("_fold", fold)
     for c in cols:
-        stats = cut(target_stats(df, c, label, fold))
-        value = Window.partitionBy("value")
-        fold_totals = stats.groupBy("fold").agg(F.sum("n").alias("fn"), F.sum("s").alias("fs"))
-        everything = F.struct(F.sum("n").alias("n"), F.sum("s").alias("s"))
-        total = stats.agg(everything.alias("t")).scalar()
-        # One row per fold, so the broadcast is as small as the fold count.
-        rest = (stats.join(F.broadcast(fold_totals), "fold")
-                .select(F.col("value").alias(f"_{c}"), F.col("fold").alias("_fold"),
-                        (F.sum("n").over(value) - F.col("n")).alias("n"),
-                        (F.sum("s").over(value) - F.col("s")).alias("s"),
-                        (total.getField("n") - F.col("fn")).alias("bn"),
-                        (total.getField("s") - F.col("fs")).alias("bs")))
-        encoded = rest.select(f"_{c}", "_fold", _shrunk(F.col("n"), F.col("s"), F.col("bn"),
-                                                        F.col("bs")).alias(f"{c}_te"))
-        encoded = encoded.withColumn(f"_{c}", _key(F.col(f"_{c}")))
-        keyed = out.withColumn(f"_{c}", _key(F.col(c)))
-        out = lookup(keyed, encoded, [f"_{c}", "_fold"]).drop(f"_{c}")
+        mine = encoded.filter(F.col("column") == c).select("_key", "_fold",
+                                                           F.col("te").alias(f"{c}_te"))
+        out = join_counted(out.withColumn("_key", _key(F.col(c))), mine, ["_key", "_fold"], rows)
+        out = out.drop("_key")
     return out.drop("_fold")
 
 
-def target_table(train: DataFrame, col: str, label: str) -> tuple[DataFrame, float]:
-    """(key, te) learned on all of `train`, written once, and the global mean."""
-    row = train.agg(F.count("*").alias("n"), F.sum(label).cast("double").alias("s")).first()
-    big_n, big_s = F.lit(float(row.n)), F.lit(row.s)
-    stats = target_stats(train, col, label, F.lit(0))
-    table = stats.select(_key(F.col("value")).alias("_key"),
-                         _shrunk(F.col("n"), F.col("s"), big_n, big_s).alias(f"{col}_te"))
-    return cut(table), row.s / row.n
+@dataclass
+class TargetTable:
+    """Encodings learned on all train rows, written once, and the global mean."""
 
+    table: DataFrame
+    rows: int
+    default: float
+    cols: Sequence[str]
 
-def _key(value: Column) -> Column:
-    """NULL is a level of its own, so the key is made joinable."""
-    return F.coalesce(F.concat(F.lit("="), value.cast("string")), F.lit(""))
+    def apply(self, df: DataFrame) -> DataFrame:
+        """Adds `<col>_te`; values the table does not know get the global mean."""
+        out = df
+        for c in self.cols:
+            mine = self.table.filter(F.col("column") == c).select(
+                "_key", F.col("te").alias(f"{c}_te"))
+            out = join_counted(out.withColumn("_key", _key(F.col(c))), mine, ["_key"], self.rows)
+            out = out.drop("_key").withColumn(
+                f"{c}_te", F.coalesce(F.col(f"{c}_te"), F.lit(self.default)))
+        return out
 
 
-def apply_target_table(df: DataFrame, col: str, table: DataFrame, default: float) -> DataFrame:
-    """Adds `<col>_te`; values the table does not know get `default`."""
-    out = lookup(df.withColumn("_key", _key(F.col(col))), table, ["_key"], stored=True)
-    return out.drop("_key").withColumn(
-        f"{col}_te", F.coalesce(F.col(f"{col}_te"), F.lit(default)))
+def target_table(train: DataFrame, cols: Sequence[str], label: str) -> TargetTable:
+    row = train.agg(F.count("*").alias("n"), F.sum(label).cast("double").alias("s")).first()
+    encoded = _target_stats(train, cols, label, F.lit(0)).select(
+        "column", "_key", _shrunk(F.col("n"), F.col("s"), F.lit(float(row.n)),
+                                  F.lit(row.s)).alias("te"))
+    table, rows = cut_counted(encoded)
+    return TargetTable(table, rows, row.s / row.n, list(cols))
 
 
 def target_encode(train: DataFrame, df: DataFrame, cols: Sequence[str], label: str) -> DataFrame:
     """Adds `<col>_te` learned on all of `train`; unseen values get the global mean."""
-    out = df
-    for c in cols:
-        table, default = target_table(train, c, label)
-        out = apply_target_table(out, c, table, default)
-    return out
+    return target_table(train, cols, label).apply(df)
 
 
 def standardize(train: DataFrame, df: DataFrame, cols: Sequence[str],

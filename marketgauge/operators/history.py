@@ -113,7 +113,8 @@ def add_history(df: DataFrame) -> DataFrame:
     """Product and category past-day features on every row, with history-available flags."""
     category = (rolling_history(df, "category", 7)
                 .select("category", "day", "category_prev_7d_order_rate"))
-    out = attach(attach(df, pid_history(df), ["pid", "day"]), category, ["category", "day"])
+    out = attach(df, pid_history(df), ["pid", "day"], facts=df)
+    out = attach(out, category, ["category", "day"], facts=df)
     return out.withColumns({
         "has_pid_history": F.col("pid_prev_day_order_rate").isNotNull().cast("int"),
         "has_category_history": F.col("category_prev_7d_order_rate").isNotNull().cast("int"),
@@ -125,7 +126,7 @@ def add_expanding_history(df: DataFrame, keys: Sequence[str] = ("pid", "manufact
     """Expanding history of each key on every row, and price against the product's average."""
     out = df
     for key in keys:
-        out = attach(out, expanding_history(df, key), [key, "day"])
+        out = attach(out, expanding_history(df, key), [key, "day"], facts=df)
     if "pid" in keys:
         out = out.withColumn("price_vs_hist_avg_pid", ratio("price", "historical_avg_price_pid"))
     return out

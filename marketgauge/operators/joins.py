@@ -7,39 +7,51 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import BROADCAST_ROWS, checked_broadcast, cut, fits
+from ..session import BROADCAST_ROWS, checked_broadcast, cut, cut_counted
 
 HEAVY_SHARE = 0.001
 SALTS = 512
 
 
 def lookup(df: DataFrame, table: DataFrame, keys: Sequence[str], stored: bool = False,
-           max_rows: int = BROADCAST_ROWS) -> DataFrame:
+           max_rows: int = BROADCAST_ROWS, facts: DataFrame | None = None) -> DataFrame:
     """Left join of a table with one row per key onto the fact rows.
 
     Broadcast when its counted size allows, else the skew-safe shuffle join. A computed table
     is written once so the count and the join do not compute it twice; pass `stored` for one
     that is read from files.
     """
-    small = table if stored else cut(table)
-    if fits(small, max_rows):
-        return df.join(F.broadcast(small), list(keys), "left")
-    return skew_safe_join(df, small, keys)
+    if stored:
+        return join_counted(df, table, keys, table.limit(max_rows + 1).count(), max_rows,
+                            facts)
+    small, rows = cut_counted(table)
+    return join_counted(df, small, keys, rows, max_rows, facts)
+
+
+def join_counted(df: DataFrame, table: DataFrame, keys: Sequence[str], rows: int,
+                 max_rows: int = BROADCAST_ROWS, facts: DataFrame | None = None) -> DataFrame:
+    """Left join of a table with one row per key and at most `rows` rows."""
+    if rows <= max_rows:
+        return df.join(F.broadcast(table), list(keys), "left")
+    return skew_safe_join(df, table, keys, facts=facts)
 
 
 def skew_safe_join(df: DataFrame, table: DataFrame, keys: Sequence[str],
-                   heavy_share: float = HEAVY_SHARE) -> DataFrame:
+                   heavy_share: float = HEAVY_SHARE, facts: DataFrame | None = None,
+                   ) -> DataFrame:
     """Left join, `table` unique on `keys`, for a `table` too large to broadcast.
 
     Keys above `heavy_share` of the rows are at most 1 / heavy_share many, so their table rows
     are broadcast; their fact rows, and rows with a NULL key, are spread over salts in the
-    shuffle join that serves all other keys.
+    shuffle join that serves all other keys. `facts` may name a cheaper table with the same
+    keys row for row (the facts `df` was derived from) to count the keys on.
     """
     keys = list(keys)
     values = [c for c in table.columns if c not in keys]
-    counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    total = df.agg(F.count("*").alias("n")).scalar()
-    heavy_keys = counts.filter(F.col("_n") > total * heavy_share).select(*keys)
+    source = df if facts is None else facts
+    counts = source.groupBy(*keys).agg(F.count("*").alias("_n"))
+    total = source.agg(F.count("*").alias("n")).scalar()
+    heavy_keys = cut(counts.filter(F.col("_n") > total * heavy_share).select(*keys))
     heavy = (table.join(F.broadcast(heavy_keys), keys, "left_semi")
              .select(*keys, F.struct(*values).alias("_heavy"), F.lit(True).alias("_hit")))
     first = df.join(F.broadcast(heavy), keys, "left")
@@ -70,9 +82,10 @@ def enrich(interactions: DataFrame, items: DataFrame, columns: Sequence[str] | N
     return lookup(interactions, items, ["pid"], stored=not dedupe)
 
 
-def attach(df: DataFrame, features: DataFrame, keys: Sequence[str]) -> DataFrame:
+def attach(df: DataFrame, features: DataFrame, keys: Sequence[str],
+           facts: DataFrame | None = None) -> DataFrame:
     """Merges (key, day) features back on the fact rows."""
-    return lookup(df, features, keys)
+    return lookup(df, features, keys, facts=facts)
 
 
 def unmatched_rows(interactions: DataFrame, items: DataFrame) -> DataFrame:

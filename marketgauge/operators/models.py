@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from ..session import cut
 from . import evaluate
 from .cleaning import modes
-from .encoders import (INFREQUENT, apply_target_table, frequent_levels, spline_basis,
-                       spline_ends, target_encode_cv, target_table)
+from .encoders import (INFREQUENT, TargetTable, frequent_levels, spline_basis, spline_ends,
+                       target_encode_cv, target_table)
 from .sampling import ROW_KEY, hash_ranks
 
 MAX_LEVELS = 1000
@@ -101,7 +101,7 @@ class Preprocessor:
     _levels: dict[str, list[str]] = field(default_factory=dict)
     _moments: dict[str, tuple[float, float]] = field(default_factory=dict)
     _ends: dict[str, tuple[float, float]] = field(default_factory=dict)
-    _tables: dict[str, tuple[DataFrame, float]] = field(default_factory=dict, repr=False)
+    _encoding: TargetTable | None = field(default=None, repr=False)
     _assembler: PipelineModel | None = field(default=None, repr=False)
 
     def fit(self, train: DataFrame) -> "Preprocessor":
@@ -120,7 +120,8 @@ class Preprocessor:
             if len(kept) > MAX_LEVELS:
                 raise ValueError(f"{c} has more than {MAX_LEVELS} frequent levels")
             self._levels[c] = [*sorted(kept), INFREQUENT]
-        self._tables = {c: target_table(train, c, self.label) for c in self.target}
+        if self.target:
+            self._encoding = target_table(train, self.target, self.label)
         if self.splines:
             self._ends = spline_ends(self._fill(train), [f"x_{c}" for c in self.splines])
         if self.scale and self.numeric:
@@ -170,9 +171,7 @@ class Preprocessor:
         return out.withColumns(made) if made else out
 
     def transform(self, df: DataFrame) -> DataFrame:
-        encoded = df
-        for c, (table, default) in self._tables.items():
-            encoded = apply_target_table(encoded, c, table, default)
+        encoded = self._encoding.apply(df) if self._encoding else df
         return self._assembler.transform(self._prepare(encoded)).select(*df.columns, "features")
 
     def transform_train(self, fold: Column) -> DataFrame:

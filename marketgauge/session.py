@@ -1,40 +1,47 @@
-"""Session helpers: lineage cuts and size-checked broadcasts."""
+"""Session helpers: written intermediate tables and size-checked broadcasts."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared ``spark.checkpoint.dir``; a local one only in local mode."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's shared ``spark.checkpoint.dir``; a folder of its own only in local mode."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured is None:
+    if configured:
+        return configured
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        configured = tempfile.mkdtemp(prefix="marketgauge-")
-    sc.setCheckpointDir(configured)
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="marketgauge-"))
+    return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write `df` to the checkpoint folder once; later steps read that copy."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """Writes `df` to the shared folder in one job and returns the written copy and its rows.
 
+    Later steps read the copy: it survives lost executors, keeps fitted values and partition
+    numbers fixed, is pruned by column and is not computed twice.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/marketgauge-{uuid.uuid4().hex}"
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), seen.get["rows"]
 
-def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a table has at most `max_rows` rows; counting stops one row later."""
-    return df.limit(max_rows + 1).count() <= max_rows
+
+def cut(df: DataFrame) -> DataFrame:
+    return cut_counted(df)[0]
 
 
 def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint behind a row count. Above the limit Spark picks a shuffle join."""
-    small = cut(df)
-    return F.broadcast(small) if fits(small, max_rows) else small
+    small, rows = cut_counted(df)
+    return F.broadcast(small) if rows <= max_rows else small
