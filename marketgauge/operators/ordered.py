@@ -11,10 +11,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, cut_counted
 
 # Up to this many distinct values the built-in `percentile` keeps its value map in memory.
-PERCENTILE_DISTINCT_LIMIT = 20_000
+PERCENTILE_DISTINCT_LIMIT = 100_000
+# Up to this many, every value is ranked; beyond, only those near the wanted ranks.
+RANK_ALL_LIMIT = 5_000_000
+MAX_BRACKETED_GROUPS = 10_000
 
 
 def _placed(df: DataFrame, by: Sequence[str], order: Sequence[Column],
@@ -54,19 +57,61 @@ def running_totals(df: DataFrame, by: Sequence[str], order: Sequence[str],
             .select(*df.columns, *[f"cum_{c}" for c in sums]))
 
 
-def _long_counts(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """(by, column, value, n) for the non-NULL values; copies combine before the shuffle."""
+def _long(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """(by.., column, value) for the non-NULL values."""
     pairs = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))
              for c in cols]
-    return (df.select(*by, F.inline(F.array(*pairs)))
-            .filter(F.col("value").isNotNull())
-            .groupBy(*by, "column", "value").agg(F.count("*").alias("n")))
+    return df.select(*by, F.inline(F.array(*pairs))).filter(F.col("value").isNotNull())
+
+
+def _thinned(long: DataFrame, groups: Sequence[str], probs: Sequence[float],
+             accuracy: int) -> DataFrame | None:
+    """Values near the wanted ranks as they are; all others replaced by the end of the bracket
+    below them (`gap` 1), so they merge into a few counts before any shuffle.
+
+    The brackets come from a sketch with rank error 1 / accuracy. None if there are too many
+    groups for a broadcast of their brackets.
+    """
+    slack = 2 / accuracy
+    levels = [max(0.0, p - slack) for p in probs] + [min(1.0, p + slack) for p in probs]
+    sketch = long.groupBy(*groups).agg(F.percentile_approx(
+        "value", F.array(*map(F.lit, levels)), accuracy).alias("_q"))
+    brackets, rows = cut_counted(sketch.select(
+        *groups, F.slice("_q", 1, len(probs)).alias("_lo"),
+        F.slice("_q", len(probs) + 1, len(probs)).alias("_hi")))
+    if rows > MAX_BRACKETED_GROUPS:
+        return None
+    v = F.col("value")
+    inside = F.exists(F.arrays_zip("_lo", "_hi"), lambda s: (s["_lo"] <= v) & (v <= s["_hi"]))
+    below = F.array_max(F.filter("_hi", lambda h: h < v))
+    near = long.join(F.broadcast(brackets), list(groups)).withColumn("_in", inside)
+    return near.select(
+        *groups, F.when(F.col("_in"), v).otherwise(
+            F.coalesce(below, F.lit(float("-inf")))).alias("value"),
+        F.when(F.col("_in"), 0).otherwise(1).alias("gap"))
 
 
 def _ranked_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                      by: Sequence[str]) -> DataFrame:
+                      by: Sequence[str], accuracy: int | None) -> DataFrame:
     groups = [*by, "column"]
-    placed, offsets = _placed(_long_counts(df, cols, by), groups, [F.col("value")], ["n"])
+    long = _long(df, cols, by)
+    thin = None if accuracy is None else _thinned(long, groups, probs, accuracy)
+    if thin is None:
+        return _rank_values(long.withColumn("gap", F.lit(0)), groups, probs)
+    found, rows = cut_counted(_rank_values(thin, groups, probs))
+    missing = found.filter(F.exists("quantiles", lambda x: x.isNull())
+                           | (F.size("quantiles") < len(probs)))
+    # A rank outside its bracket would show as a gap; then every value is ranked.
+    if rows and not missing.isEmpty():
+        return _ranked_quantiles(df, cols, probs, by, None)
+    return found
+
+
+def _rank_values(values: DataFrame, groups: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """(groups.., quantiles[]): NULL where a wanted rank falls in a gap."""
+    counts = values.groupBy(*groups, "value", "gap").agg(F.count("*").alias("n"))
+    order = [F.col("value"), F.col("gap")]
+    placed, offsets = _placed(counts, groups, order, ["n"])
     totals = offsets.groupBy(*groups).agg(F.sum("_all_n").alias("_total"))
     # Zero-based target position (n - 1) * p, linear between its two neighbours.
     points = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p"))
@@ -83,14 +128,14 @@ def _ranked_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]
               .select(*groups, "_part", "_before_n").distinct())
     ranked = (placed.join(needed, [*groups, "_part"])
               .withColumn("_end", F.col("_before_n")
-                          + F.sum("n").over(_within(groups, [F.col("value")])))
+                          + F.sum("n").over(_within(groups, order)))
               .withColumn("_start", F.col("_end") - F.col("n")))
     at_lo = (F.col("lo") >= F.col("_start")) & (F.col("lo") < F.col("_end"))
     at_hi = (F.col("hi") >= F.col("_start")) & (F.col("hi") < F.col("_end"))
     found = (ranked.join(targets, groups).filter(at_lo | at_hi)
              .groupBy(*groups, "i", "pos", "lo")
-             .agg(F.max(F.when(at_lo, F.col("value"))).alias("a"),
-                  F.max(F.when(at_hi, F.col("value"))).alias("b"))
+             .agg(F.max(F.when(at_lo & (F.col("gap") == 0), F.col("value"))).alias("a"),
+                  F.max(F.when(at_hi & (F.col("gap") == 0), F.col("value"))).alias("b"))
              .withColumn("q", F.col("a") + (F.col("b") - F.col("a")) * (F.col("pos") - F.col("lo"))))
     # One entry per probability: the list is as long as `probs`.
     return (found.groupBy(*groups)
@@ -100,19 +145,23 @@ def _ranked_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                     by: Sequence[str] = (), distinct_limit: int = PERCENTILE_DISTINCT_LIMIT,
-                    ) -> DataFrame:
+                    rank_all_limit: int = RANK_ALL_LIMIT,
+                    accuracy: int | None = 10_000) -> DataFrame:
     """Exact quantiles, linear between neighbours: rows (by.., column, quantiles[]).
 
     `percentile` keeps every distinct value of a group in one task, so it is used only when a
-    sketch counts few of them; beyond that the values are ranked across range partitions.
-    NULL groups are left out.
+    sketch counts few of them. A middle number is ranked across range partitions. Beyond that a
+    second sketch brackets the wanted ranks and values outside the brackets collapse into
+    counts, so hardly any value is shuffled. NULL groups are left out.
     """
     by = list(by)
     for key in by:
         df = df.filter(F.col(key).isNotNull())
     sketch = df.agg(*[F.approx_count_distinct(F.struct(*by, c)).alias(c) for c in cols]).first()
+    if distinct_limit < sum(sketch) <= rank_all_limit:
+        accuracy = None
     if sum(sketch) > distinct_limit:
-        return _ranked_quantiles(df, cols, probs, by)
+        return _ranked_quantiles(df, cols, probs, by, accuracy)
     levels = F.array(*[F.lit(float(p)) for p in probs])
     wide = df.groupBy(*by).agg(*[F.percentile(F.col(c).cast("double"), levels).alias(c)
                                  for c in cols])

@@ -15,12 +15,19 @@ from .ordered import exact_quantiles
 
 
 def _pair_rows(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    row = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"p{i}")
-                   for i, (a, b) in enumerate(pairs)])
-    rows = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"),
-                     F.nanvl(F.col(f"p{i}"), F.lit(None).cast("double")).alias("r"))
-            for i, (a, b) in enumerate(pairs)]
-    return row.select(F.inline(F.array(*rows)))
+    """(a, b, r) per pair in one pass: the pairs of a row become rows of one small group key,
+    combined before the shuffle."""
+    def number(c: str):
+        return F.col(c).cast("double")
+
+    names = df.sparkSession.createDataFrame(
+        [(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
+    values = [F.struct(F.lit(i).alias("i"), number(a).alias("x"), number(b).alias("y"))
+              for i, (a, b) in enumerate(pairs)]
+    r = (df.select(F.inline(F.array(*values))).groupBy("i")
+         .agg(F.corr("x", "y").alias("r")))
+    return (F.broadcast(names).join(r, "i", "left")
+            .select("a", "b", F.nanvl(F.col("r"), F.lit(None).cast("double")).alias("r")))
 
 
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
