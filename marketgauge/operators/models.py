@@ -9,7 +9,8 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
-                                       OneVsRest, RandomForestClassifier)
+                                       OneVsRest, RandomForestClassificationModel,
+                                       RandomForestClassifier)
 from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, IsotonicRegression
@@ -210,6 +211,9 @@ def fit(train: DataFrame, estimator, preprocessor: Preprocessor,
     fold = row_fold() if fold is None else fold
     prepared = cut(preprocessor.transform_train(fold))
     model = estimator.fit(prepared)
+    if isinstance(model, RandomForestClassificationModel):
+        # A forest's training summary holds on to its frame and cannot be sent to tasks.
+        model = model.copy()
     return Trained(preprocessor, model, time.time() - start)
 
 

@@ -23,7 +23,21 @@ HASH_BITS = 12
 
 def order_key(keys: Sequence[str], seed: int) -> Column:
     """A total, seeded pseudo-random order; `keys` identify a row."""
-    return F.struct(F.xxhash64(F.lit(seed), *keys).alias("h"), *[F.col(k) for k in keys])
+    return F.struct(_hash(keys, seed).alias("h"), *[F.col(k) for k in keys])
+
+
+def _hash(keys: Sequence[str], seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), *keys)
+
+
+def _before(t: Column, keys: Sequence[str], seed: int) -> Column:
+    """Whether the order key `t` comes before the row's own, field by field."""
+    result = F.lit(False)
+    for name in reversed(keys):
+        field = t.getField(name)
+        result = (field < F.col(name)) | ((field == F.col(name)) & result)
+    own = _hash(keys, seed)
+    return (t.getField("h") < own) | ((t.getField("h") == own) & result)
 
 
 def _bucket(key: Column, bits: int) -> Column:
@@ -62,9 +76,9 @@ def label_by_rank(df: DataFrame, strata: Sequence[str], cuts: DataFrame, keys: S
     ranked 1..r1 get 0, r1+1..r2 get 1, the rest 2. Each (stratum, cut_rank) must be distinct
     above rank 0."""
     thresholds = checked_broadcast(rank_thresholds(df, strata, cuts, keys, seed, bits))
-    key = order_key(keys, seed)
-    behind = F.size(F.filter(F.coalesce(F.col("thresholds"), F.array().cast(
-        thresholds.schema["thresholds"].dataType)), lambda t: t < key))
+    behind = F.coalesce(F.size(F.filter("thresholds", lambda t: _before(t, keys, seed))),
+                        F.lit(0))
+    behind = F.when(F.col("thresholds").isNull(), 0).otherwise(behind)
     return (df.join(thresholds, list(strata), "left")
             .withColumn(name, (F.coalesce("below_first", F.lit(0)) + behind).cast("int"))
             .drop("thresholds", "below_first"))
