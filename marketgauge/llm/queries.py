@@ -2,18 +2,31 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .curriculum_mix import curriculum_mix
+from .language_id import fit_languages, fold_of, predict_languages
 from .merkle_fingerprints import edit_fingerprints
+from .piece_codec import encode_pieces
+from .quality_cascade import quality_cascade
 from .secret_scan import KINDS, described, scan_secrets
 from .stratified_shards import stratified_shards
 from .texts import documents, whole_text
 
 
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def op1_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_cascade(documents(spark, sf_dir).select("doc_id", "text"), measures=MEASURES)
+    return judged.select("doc_id", *MEASURES, "kept")
+
+
 def op2_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.encode(whole_text(), "UTF-8")
     rows = documents(spark, sf_dir).select(
@@ -38,6 +51,21 @@ def op4_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         "near_next")
 
 
+def sha256(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_pieces(
+        documents(spark, sf_dir).select("doc_id", "text"),
+        public_tokenizers.path("piece_bpe_32k.model"),
+        {"n_tokens": lambda ids, n, decoded: n,
+         "ids_sha256": lambda ids, n, decoded: sha256(ids),
+         "decoded_sha256": lambda ids, n, decoded: sha256(decoded)},
+        {"n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"},
+        drop=("text",))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(documents(spark, sf_dir).select("doc_id", "text"))
     kinds = F.transform("secrets", lambda s: s["kind"])
@@ -48,6 +76,13 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         described(F.col("secrets")).alias("spans"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_stratified_shards, op3_curriculum_mix, op4_merkle_fingerprints,
-                            op9_secret_scan)}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = fit_languages(docs.filter(fold_of("doc_id") != 0))
+    found = predict_languages(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (fold_of("doc_id") == 0).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op1_quality_cascade, op2_stratified_shards, op3_curriculum_mix, op4_merkle_fingerprints,
+    op5_piece_codec, op9_secret_scan, op10_language_id)}
