@@ -17,6 +17,9 @@ from .quality_cascade import quality_cascade
 from .secret_scan import KINDS, described, scan_secrets
 from .stratified_shards import stratified_shards
 from .texts import documents, whole_text
+from .token_counts import count_tokens
+
+LIMIT = 512
 
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
@@ -66,6 +69,11 @@ def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
         drop=("text",))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > LIMIT)
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(documents(spark, sf_dir).select("doc_id", "text"))
     kinds = F.transform("secrets", lambda s: s["kind"])
@@ -85,4 +93,4 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_quality_cascade, op2_stratified_shards, op3_curriculum_mix, op4_merkle_fingerprints,
-    op5_piece_codec, op9_secret_scan, op10_language_id)}
+    op5_piece_codec, op6_token_counts, op9_secret_scan, op10_language_id)}
