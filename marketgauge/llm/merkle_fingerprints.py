@@ -132,7 +132,8 @@ def edit_fingerprints(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     Returns the key, n_chars, edited_sha256, fingerprint, edited_fingerprint, next_fingerprint,
     near_edited, near_next. The edited text has its last floor(n_chars / 2) code points replaced by
     as many (or all) from the beginning of the text with the next larger key; the last key is
-    followed by the first. NULL text is the empty text. A NULL key stands before all others. Of
+    followed by the first. NULL text is the empty text. Keys are longs above -2 ** 63; a NULL key
+    stands before all others. Of
     several texts with one key, the smallest beginning stands for the key as the next text; each
     row is edited by itself. Other columns are dropped; an empty table gives no rows.
 
@@ -140,8 +141,7 @@ def edit_fingerprints(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     length cross a second one. Links are made from keys and lengths alone.
     """
     lowest = F.lit(-2 ** 63)
-    texts = docs.select(F.coalesce(F.col(key), lowest).alias("_id"), F.col(key).alias("_given"),
-                        whole_text().alias("text"))
+    texts = docs.select(F.coalesce(F.col(key), lowest).alias("_id"), whole_text().alias("text"))
     needs = (docs.select(F.coalesce(F.col(key), lowest).alias("_id"),
                          F.char_length(whole_text()).alias("_chars"))
              .groupBy("_id").agg(F.max("_chars").alias("_chars")))
@@ -160,7 +160,7 @@ def edit_fingerprints(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     both = with_fingerprint(both, F.col("text"), "fingerprint")
     both = with_fingerprint(both, F.col("_edited"), "edited_fingerprint")
     return both.select(
-        F.col("_given").alias(key), "n_chars", F.sha2("_edited", 256).alias("edited_sha256"),
+        F.nullif(F.col("_id"), lowest).alias(key), "n_chars", F.sha2("_edited", 256).alias("edited_sha256"),
         "fingerprint", "edited_fingerprint", F.col("_n.fp").alias("next_fingerprint"),
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("_n.fp")).alias("near_next"))
