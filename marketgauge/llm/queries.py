@@ -16,6 +16,7 @@ from .piece_codec import encode_pieces
 from .quality_cascade import quality_cascade
 from .secret_scan import KINDS, described, scan_secrets
 from .stratified_shards import stratified_shards
+from .suffix_dedup import remove_repeats
 from .texts import documents, whole_text
 from .token_counts import count_tokens
 
@@ -74,6 +75,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > LIMIT)
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(documents(spark, sf_dir)).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(documents(spark, sf_dir).select("doc_id", "text"))
     kinds = F.transform("secrets", lambda s: s["kind"])
@@ -93,4 +99,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_quality_cascade, op2_stratified_shards, op3_curriculum_mix, op4_merkle_fingerprints,
-    op5_piece_codec, op6_token_counts, op9_secret_scan, op10_language_id)}
+    op5_piece_codec, op6_token_counts, op8_suffix_dedup,
+    op9_secret_scan, op10_language_id)}
