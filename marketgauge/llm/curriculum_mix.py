@@ -121,3 +121,22 @@ def training_order(mixed: DataFrame) -> DataFrame:
     return (rows.withColumn("position", F.col("reading.position"))
             .withColumn("words", F.col("reading.words")).drop("reading")
             .orderBy("position", "source", "doc_id"))
+
+
+def mixed_documents(docs: DataFrame, key: str = "doc_id", **settings) -> DataFrame:
+    """The documents as the mix reads them, in training order: a document that is read twice is
+    there twice, one that is not read is gone. Documents are read whole.
+
+    The mix is made from keys, sources and sizes; texts cross one exchange to meet their readings
+    and one to be range-sorted by position. Rows of one key are numbered by their contents, so that
+    each has its own readings.
+    """
+    numbered = docs.withColumn("_is", F.xxhash64("text", "source")).withColumn(
+        "_copy", F.row_number().over(Window.partitionBy(key).orderBy("_is")))
+    small = numbered.select(F.col(key).alias("_id"), "_copy", "source",
+                            word_count().alias("_words"))
+    read = curriculum_mix(small, size=F.col("_words"), key="_id", whole=True, **settings).select(
+        F.col("_id"), F.col("_copy").alias("_no"), F.explode("readings").alias("_reading"))
+    both = numbered.join(read, F.col(key).eqNullSafe(F.col("_id"))
+                         & (F.col("_copy") == F.col("_no")))
+    return both.orderBy("_reading.position", "source", key).select(*docs.columns)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .curriculum_mix import curriculum_mix
 from .language_id import fit_languages, fold_of, predict_languages
 from .merkle_fingerprints import edit_fingerprints
+from .parity_join import near_duplicates
 from .piece_codec import encode_pieces
 from .quality_cascade import quality_cascade
 from .secret_scan import KINDS, described, scan_secrets
@@ -75,6 +76,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > LIMIT)
 
 
+def op7_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir)).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -99,5 +104,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_quality_cascade, op2_stratified_shards, op3_curriculum_mix, op4_merkle_fingerprints,
-    op5_piece_codec, op6_token_counts, op8_suffix_dedup,
-    op9_secret_scan, op10_language_id)}
+    op5_piece_codec, op6_token_counts, op7_parity_join,
+    op8_suffix_dedup, op9_secret_scan, op10_language_id)}
