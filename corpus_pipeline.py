@@ -21,7 +21,7 @@ from marketgauge.session import cut
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass every rule."""
-    return quality_cascade(docs).filter("kept").drop("kept")
+    return quality_cascade(docs, name="_kept").filter("_kept").drop("_kept")
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -133,8 +133,9 @@ def rule_order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "te
 
 def quality_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text",
                     key: str = "doc_id", order: list[str] | None = None,
-                    measures: tuple[str, ...] = (), sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """Adds `kept`, and the named `measures` of `Measured`, to each row.
+                    measures: tuple[str, ...] = (), sample_rows: int = SAMPLE_ROWS,
+                    name: str = "kept") -> DataFrame:
+    """Adds `name`, whether the text breaks no rule, and the `measures` of `Measured` asked for.
 
     The rules run in the order of their rejections per cost, and a text that breaks one is not put
     to the rest. NULL and empty texts have no words and break `too_short`. Each row is judged by
@@ -145,8 +146,8 @@ def quality_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str
     ranked = sorted(rules, key=lambda r: order.index(r.name))
     with_base = "base_failed" in measures
     counts = [m for m in measures if m != "base_failed"]
-    docs = docs.drop("kept", *measures)
-    new = [("kept", pa.bool_()), *[(m, pa.int64()) for m in counts],
+    docs = docs.drop(name, *measures)
+    new = [(name, pa.bool_()), *[(m, pa.int64()) for m in counts],
            *([("base_failed", pa.bool_())] if with_base else [])]
     schema = T.StructType([*docs.schema.fields, *[
         T.StructField(n, T.BooleanType() if t == pa.bool_() else T.LongType()) for n, t in new]])

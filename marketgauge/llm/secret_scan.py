@@ -109,12 +109,12 @@ def is_random(candidate: Column, classes=CLASSES, allowed=ALLOWED, window: int =
 
 
 def scan_secrets(docs: DataFrame, text: str = "text", window: int = WINDOW, classes=CLASSES,
-                 allowed=ALLOWED) -> DataFrame:
-    """Adds `secrets`: array of (start, end, kind), by start, then kind as in KINDS.
+                 allowed=ALLOWED, name: str = "secrets") -> DataFrame:
+    """Adds `name`: array of (start, end, kind), by start, then kind as in KINDS.
 
     Places are code points from 0, `end` is exclusive. Known forms are always kept and may overlap
     each other; a span of high entropy is added only where it overlaps none of them. NULL and
-    empty texts have an empty array. A column `secrets` in the input is replaced. Rows are
+    empty texts have an empty array. A column of that name in the input is replaced. Rows are
     looked at one by one: no exchange.
     """
     whole = whole_text(text)
@@ -131,8 +131,8 @@ def scan_secrets(docs: DataFrame, text: str = "text", window: int = WINDOW, clas
     ordered = F.array_sort(F.transform(F.concat("_known", "_added"), lambda s: F.struct(
         s["start"].alias("start"), F.array_position(rank, s["kind"]).alias("rank"),
         s["end"].alias("end"), s["kind"].alias("kind"))))
-    return (docs.drop("secrets").withColumn("_known", known).withColumn("_added", added)
-            .withColumn("secrets", F.transform(ordered, lambda s: F.struct(
+    return (docs.drop(name).withColumn("_known", known).withColumn("_added", added)
+            .withColumn(name, F.transform(ordered, lambda s: F.struct(
                 s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
             .drop("_known", "_added"))
 
@@ -145,7 +145,7 @@ def described(spans: Column) -> Column:
 
 def redact(docs: DataFrame, text: str = "text", tag: str = "[SECRET]") -> DataFrame:
     """Puts `tag` in the place of each secret; spans that overlap become one. NULL stays NULL."""
-    scanned = scan_secrets(docs, text)
+    scanned = scan_secrets(docs, text, name="_secrets")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(state: Column, s: Column) -> Column:
@@ -154,7 +154,7 @@ def redact(docs: DataFrame, text: str = "text", tag: str = "[SECRET]") -> DataFr
         return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(
             apart, F.concat(state["out"], gap, F.lit(tag))).otherwise(state["out"]).alias("out"))
 
-    clean = F.aggregate("secrets", start, step, lambda s: F.concat(
+    clean = F.aggregate("_secrets", start, step, lambda s: F.concat(
         s["out"], F.substring(F.col(text), s["at"] + 1, F.char_length(F.col(text)))))
-    return (scanned.withColumn(text, F.when(F.size("secrets") > 0, clean).otherwise(F.col(text)))
-            .drop("secrets"))
+    return (scanned.withColumn(text, F.when(F.size("_secrets") > 0, clean).otherwise(F.col(text)))
+            .drop("_secrets"))
