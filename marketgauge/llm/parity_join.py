@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from .components import components
-from .word_codes import coded, mixed, runs
+from .word_codes import code_slices, mixed, runs
 
 SHINGLE = 5
 PERCENT = 80
@@ -22,31 +22,72 @@ BLOCKS = 11  # blocks of the first band above it (16 to 31 elements); doubled in
 COMMON = 0.001  # share of the documents that makes an element common
 COMMON_KEPT = 1_000_000  # the most common ones that are sent to all tasks, 8 MB; they settle an
 #                          order of blocks alone, so the result is the same with fewer
+TURNS = 3  # more leaders that signatures try before their pairs are compared; saves work alone
 NO_KEY = -2 ** 63
 SETS = ("id long, n int, h1 long, h2 long, sketch array<long>, element long, times long")
 
 
-def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
-    """Sorted codes of the distinct runs of `size` words; of all words if there are fewer."""
-    words = text.lower().split()  # ASCII letters only
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    width = min(size, len(words))
-    return np.unique(runs(coded(words), width) ^ np.uint64(size - width))
-
-
-def digest(elements: np.ndarray) -> tuple[int, int]:
-    """128 bits for a whole set, whatever the order."""
-    both = [np.bitwise_xor.reduce(mixed(elements)), np.add.reduce(mixed(elements ^ np.uint64(77)))]
-    return tuple(int(x.view(np.int64)) for x in both)
-
-
-def sketch(elements: np.ndarray, bits: int = SKETCH) -> np.ndarray:
-    """Each element flips one bit: the sketches of two sets differ in at most as many bits as the
-    sets in elements."""
-    odd = np.bincount((mixed(elements ^ np.uint64(5)) % np.uint64(bits)).astype(np.int64),
-                      minlength=bits) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+def set_slices(column: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(number of the first text, elements, bounds) for slices of a column of texts. An element is
+    the code of a run of `size` words, of all words if there are fewer; the elements of a text are
+    distinct and sorted."""
+    for lo, codes, words in code_slices(column, fold=True):
+        whole = runs(codes, size)
+        count = np.diff(words)
+        keep = np.maximum(count - size + 1, 0)
+        short = np.flatnonzero((count > 0) & (count < size))
+        keep[short] = 1
+        bounds = np.concatenate(([0], np.cumsum(keep)))
+        at = np.arange(bounds[-1]) - np.repeat(bounds[:-1] - words[:-1], keep)
+        elements = whole[np.minimum(at, max(len(whole) - 1, 0))] if len(whole) else np.zeros(
+            len(at), dtype=np.uint64)
+        for k in short:
+            width = int(count[k])
+            elements[bounds[k]] = runs(codes[words[k]:words[k + 1]], width)[0] ^ np.uint64(
+                size - width)
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            elements[a:b].sort()
+        new = np.ones(len(elements), dtype=bool)
+        new[1:] = elements[1:] != elements[:-1]
+        new[bounds[:-1][keep > 0]] = True
+        yield lo, elements[new], np.concatenate(([0], np.cumsum(new)))[bounds]
+
+
+def digests(elements: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits for each whole set, whatever the order; 0 for empty sets."""
+    filled = np.flatnonzero(np.diff(bounds))
+    one, two = (np.zeros(len(bounds) - 1, dtype=np.uint64) for _ in range(2))
+    if len(filled):
+        one[filled] = np.bitwise_xor.reduceat(mixed(elements), bounds[:-1][filled])
+        two[filled] = np.add.reduceat(mixed(elements ^ np.uint64(77)), bounds[:-1][filled])
+    return one.view(np.int64), two.view(np.int64)
+
+
+def sketches(elements: np.ndarray, bounds: np.ndarray, bits: int = SKETCH) -> np.ndarray:
+    """A row of 64-bit words for each set. Each element flips one bit: the sketches of two sets
+    differ in at most as many bits as the sets in elements."""
+    n = len(bounds) - 1
+    of = np.repeat(np.arange(n), np.diff(bounds)) * bits
+    bit = (mixed(elements ^ np.uint64(5)) % np.uint64(bits)).astype(np.int64)
+    odd = np.bincount(of + bit, minlength=n * bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(n, bits // 64)
+
+
+class Common:
+    """Whether elements are common ones: a table of bits tells most that aren't."""
+
+    def __init__(self, sorted_: np.ndarray) -> None:
+        self.sorted = sorted_
+        self.table = np.zeros(2 ** 20, dtype=bool)
+        self.table[(sorted_ >> np.uint64(44)).astype(np.int64)] = True
+
+    def __call__(self, elements: np.ndarray) -> np.ndarray:
+        out = self.table[(elements >> np.uint64(44)).astype(np.int64)]
+        if out.any():
+            asked = elements[out]
+            at = np.minimum(np.searchsorted(self.sorted, asked), len(self.sorted) - 1)
+            out[out] = self.sorted[at] == asked
+        return out
 
 
 def most_apart(n: np.ndarray | int, percent: int = PERCENT):
@@ -61,7 +102,7 @@ def bands_of(n: int, percent: int) -> list[int]:
     return [band, band + 1] if 100 * n >= percent * over else [band]
 
 
-def signatures(elements: np.ndarray, common: np.ndarray, percent: int) -> np.ndarray:
+def signatures(elements: np.ndarray, common: Common, percent: int) -> np.ndarray:
     """Codes of sketch blocks such that two linked sets have one in common.
 
     The sketch of a band is cut into blocks; a block's digest is the parity (xor) of the codes of
@@ -71,7 +112,7 @@ def signatures(elements: np.ndarray, common: np.ndarray, percent: int) -> np.nda
     those equal.
     """
     n = len(elements)
-    rare = ~np.isin(elements, common, assume_unique=True) if len(common) else np.ones(n, bool)
+    rare = ~common(elements)
     out = []
     for band in bands_of(n, percent):
         if band == 0:
@@ -92,7 +133,8 @@ def signatures(elements: np.ndarray, common: np.ndarray, percent: int) -> np.nda
         code = mixed(parity + np.uint64(0x9E3779B97F4A7C15 * (band + 1) % 2 ** 64))
         # Both sets rank a block alike: by what is in it alone.
         place = np.where(count == 0, 5, np.where(plain, 2, 4) - (count > 1))
-        out.append(code[np.lexsort((code, place))[:apart + 1]])
+        rank = (place.astype(np.uint64) << np.uint64(60)) | (code >> np.uint64(4))
+        out.append(code[np.argsort(rank)[:apart + 1]])
     return np.concatenate(out)
 
 
@@ -100,37 +142,39 @@ def shingle_sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """One row for each document (id, n, h1, h2, sketch), and for each task its common elements
     with the number of its documents that hold them."""
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size_held, docs_held = [], 0, 0
+        held: list[np.ndarray] = []
+        docs_held = 0
         for batch in batches:
-            ids, n, h1, h2, sketches = [], [], [], [], []
-            for i, x in zip(batch.column(0), batch.column(1)):
-                s = shingles(x.as_py(), size)
-                a, b = digest(s) if len(s) else (0, 0)
-                for column, value in zip((ids, n, h1, h2, sketches),
-                                         (i.as_py(), len(s), a, b, sketch(s))):
-                    column.append(value)
-                held.append(s)
-                size_held += len(s)
-                if size_held > 4_000_000:
-                    yield common_of(held)
-                    held, size_held = [], 0
-            none = [None] * len(ids)
-            yield rows(ids, n, h1, h2, sketches, none, none)
+            for lo, elements, bounds in set_slices(batch.column(1), size):
+                n = len(bounds) - 1
+                none = pa.nulls(n, pa.int64())
+                flat = sketches(elements, bounds)
+                lists = pa.ListArray.from_arrays(
+                    pa.array(np.arange(n + 1, dtype=np.int32) * flat.shape[1]),
+                    pa.array(flat.ravel()))
+                one, two = digests(elements, bounds)
+                yield rows(batch.column(0).slice(lo, n), np.diff(bounds).astype(np.int32), one,
+                           two, lists, none, none)
+                held.append(elements)
+                docs_held += n
+                if sum(map(len, held)) > 4_000_000:
+                    yield common_of(held, docs_held)
+                    held, docs_held = [], 0
         if held:
-            yield common_of(held)
+            yield common_of(held, docs_held)
 
-    def rows(ids, n, h1, h2, sketches, element, times) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(),
-                 pa.int64())
+    def rows(*columns) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip((ids, n, h1, h2, sketches, element, times), kinds)],
+            [c if isinstance(c, pa.Array) else pa.array(c) for c in columns],
             ["id", "n", "h1", "h2", "sketch", "element", "times"])
 
-    def common_of(held: list[np.ndarray]) -> pa.RecordBatch:
+    def common_of(held: list[np.ndarray], docs_held: int) -> pa.RecordBatch:
         found, times = np.unique(np.concatenate(held), return_counts=True)
-        some = times >= max(3, COMMON * len(held))
-        none = [None] * int(some.sum())
-        return rows(none, none, none, none, none, found[some].view(np.int64), times[some])
+        some = times >= max(3, COMMON * docs_held)
+        n = int(some.sum())
+        return rows(*(pa.nulls(n, k) for k in (pa.int64(), pa.int32(), pa.int64(), pa.int64(),
+                                               pa.list_(pa.int64()))),
+                    found[some].view(np.int64), times[some])
 
     return docs.mapInArrow(measured, SETS)
 
@@ -146,20 +190,20 @@ def buckets(texts: DataFrame, common: np.ndarray, size: int, percent: int) -> Da
     names = ["sig", "node", "leader"]
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common_ = Common(sent.value)
         sigs, nodes, held, seen = [], [], 0, set()
         for batch in batches:
-            for x in batch.column(1):
-                s = shingles(x.as_py(), size)
-                if len(s) < 2:  # single elements are equal or apart
-                    continue
-                node = digest(s)[0]
-                if node in seen:  # copies are one node
-                    continue
-                seen.add(node)
-                found = signatures(s, sent.value, percent)
-                sigs.append(found.view(np.int64))
-                nodes.append(np.full(len(found), node, np.int64))
-                held += len(found)
+            for _, elements, bounds in set_slices(batch.column(1), size):
+                for node, a, b in zip(digests(elements, bounds)[0].tolist(), bounds.tolist(),
+                                      bounds[1:].tolist()):
+                    # Single elements are equal or apart; copies are one node.
+                    if b - a < 2 or node in seen:
+                        continue
+                    seen.add(node)
+                    found = signatures(elements[a:b], common_, percent)
+                    sigs.append(found.view(np.int64))
+                    nodes.append(np.full(len(found), node, np.int64))
+                    held += len(found)
                 if held > 1_500_000:
                     yield led(np.concatenate(sigs), np.concatenate(nodes))
                     sigs, nodes, held, seen = [], [], 0, set()
@@ -216,26 +260,22 @@ def may_link(a: str, b: str, percent: int) -> Column:
             & (apart * (100 + percent) <= (na + nb) * (100 - percent)))
 
 
+def sets_in(column: pa.Array, size: int) -> list[np.ndarray]:
+    return [elements[a:b] for _, elements, bounds in set_slices(column, size)
+            for a, b in zip(bounds, bounds[1:])]
+
+
 def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets, made anew from the texts, are linked."""
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: dict[int, np.ndarray] = {}
-
-        def set_of(node: int, text) -> np.ndarray:
-            if node not in made:
-                if len(made) > 200:
-                    made.clear()
-                made[node] = shingles(text.as_py(), size)
-            return made[node]
-
         for batch in batches:
-            keep = []
-            for a, b, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(),
-                                  batch.column(2), batch.column(3)):
-                s, t = set_of(a, x), set_of(b, y)
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                keep.append(100 * both >= percent * (len(s) + len(t) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for lo in range(0, batch.num_rows, 400):
+                part = batch.slice(lo, 400)
+                x, y = (sets_in(part.column(i), size) for i in (2, 3))
+                both = np.array([len(np.intersect1d(s, t, assume_unique=True))
+                                 for s, t in zip(x, y)])
+                every = np.array([len(s) + len(t) for s, t in zip(x, y)]) - both
+                yield part.select(["a", "b"]).filter(pa.array(100 * both >= percent * every))
 
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("x"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
@@ -255,10 +295,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id",
     an empty table gives no rows.
 
     Copies are one node from the start. Each signature links its members to one leader, so a
-    signature of n sets gives n candidates. What the leaders have not brought together is then
-    compared within each signature across the components found so far: pairs inside a component
-    need no link of their own. Sizes and sketches sift candidates, sets made from whole texts
-    decide.
+    signature of n sets gives n candidates. In a few more turns the members of signatures that are
+    not yet in one component meet another leader; what is still apart is compared pair by pair,
+    across components alone: pairs inside a component need no link of their own. Sizes and
+    sketches sift candidates, sets made from whole texts decide.
     """
     texts = docs.select(F.coalesce(F.col(key), F.lit(NO_KEY)).alias("id"),
                         F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
@@ -278,9 +318,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id",
 
     def those_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:  # another row of the same key may have another text
-            same = [digest(shingles(x.as_py(), size))[0] == n
-                    for n, x in zip(batch.column(0).to_pylist(), batch.column(1))]
-            yield batch.filter(pa.array(same, pa.bool_()))
+            made = [digests(e, b)[0] for _, e, b in set_slices(batch.column(1), size)]
+            same = np.concatenate(made or [np.zeros(0, np.int64)]) == np.asarray(batch.column(0))
+            yield batch.filter(pa.array(same))
 
     known = cut(texts.join(wanted.hint("shuffle_hash"), F.col("id") == F.col("rep"))
                 .select("node", "text").mapInArrow(those_of, "node long, text binary")
