@@ -13,16 +13,39 @@ from ..functions.numbers import finite_or_null, is_present, ratio
 from ..functions.text import classify_content, normalize_text, parse_content
 from ..operators import cleaning, joins
 from ..plans.unified import build_features
-from ..session import shared_dir
+from ..session import run_folder
 from ..sources import tables as io
 from .registry import q, query, rounded
 
 PROFILE = ["lineID", "competitorPrice", "price", "category", "campaignIndex", "pharmForm", "unit"]
 
 
-@query("preview_hash")
+@query("preview_hash", """
+SELECT least(20, count(*)) AS rows, least(20, count(*)) AS distinct_rows,
+  least(20, count(*)) AS known_rows FROM interactions""", ("interactions",))
 def preview_hash(t):
-    return io.preview(t.interactions, 20, ["lineID", "price"], seed=42)
+    """What holds for any hash: the rows wanted, each once, all from the table."""
+    shown = io.preview(t.interactions, 20, ["lineID", "price"], seed=42)
+    known = shown.join(t.interactions, ["lineID", "price"], "left_semi")
+    return shown.agg(F.count("*").alias("rows"), F.count_distinct("lineID", "price").alias(
+        "distinct_rows")).crossJoin(known.agg(F.count("*").alias("known_rows")))
+
+
+@query("csv_roundtrip", """
+SELECT 'interactions' AS source, count(*) AS rows, 0::BIGINT AS differing FROM interactions
+UNION ALL SELECT 'items', count(*), 0 FROM items""", ("interactions", "items"))
+def csv_roundtrip(t):
+    """Both tables written with '|' and read strictly again; rows that are not as before."""
+    parts = []
+    for name, df, read in (("interactions", t.interactions, io.read_interactions),
+                           ("items", t.items, io.read_items)):
+        path = f"{run_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+        io.write_csv(df, path)
+        back = read(df.sparkSession, path)
+        changed = back.exceptAll(df.select(*back.columns)).agg(F.count("*").alias("differing"))
+        parts.append(back.agg(F.count("*").alias("rows")).crossJoin(changed).select(
+            F.lit(name).alias("source"), "rows", "differing"))
+    return parts[0].unionByName(parts[1])
 
 
 @query("schema_profile", """
@@ -265,7 +288,7 @@ def skew_safe_join(t):
 SELECT day, count(*) AS n, {q('sum(price)', 2)} AS price_sum FROM enriched
 WHERE content NOT IN ('PAK', 'L   125') GROUP BY day""", ("enriched",))
 def features_roundtrip(t):
-    path = f"{shared_dir(t.spark)}/features-{uuid.uuid4().hex}"
+    path = f"{run_folder(t.spark)}/features-{uuid.uuid4().hex}"
     io.write_features(build_features(t.interactions, t.items), path)
     back = io.read_features(t.spark, path)
     return rounded(back.groupBy("day").agg(F.count("*").alias("n"),

@@ -184,6 +184,31 @@ def threshold_cv(t):
     return rounded(evaluate.average_over_folds(sweep), mean_f1=8, std_f1=8)
 
 
+@query("threshold_cv_choice", sweep_sql(0.0, 0.01, 101, "pid % 5 AS fold").replace(
+    "SELECT pid % 5 AS fold, (round_even", "SELECT fold, (round_even") + f""",
+means AS (SELECT threshold, {q('avg(f1)', 8)} AS mean_f1, {q('stddev_pop(f1)', 8)} AS std_f1
+  FROM swept GROUP BY 1)
+SELECT * FROM means ORDER BY mean_f1 DESC, threshold LIMIT 1""", ("scored",))
+def threshold_cv_choice(t):
+    df = scored(t).withColumn("fold", F.col("pid") % 5)
+    sweep = rounded(evaluate.threshold_sweep(df, evaluate.sweep_grid(0.0, 1.01, 0.01), ["fold"]))
+    return rounded(evaluate.choose_threshold(evaluate.average_over_folds(sweep)),
+                   mean_f1=8, std_f1=8)
+
+
+@query("binary_metrics_null_score", f"""
+WITH n AS (SELECT label, CASE WHEN pid % 7 > 0 THEN score END AS score FROM scored)
+SELECT c.*, {q('(tp + tn) / (tp + fp + fn + tn)')} AS accuracy,
+  {q('1 - (tp + tn) / (tp + fp + fn + tn)')} AS error, {PRF}
+FROM (SELECT count(*) FILTER (score >= 0.5 AND label = 1) AS tp,
+  count(*) FILTER (score >= 0.5 AND label = 0) AS fp,
+  count(*) FILTER (coalesce(score < 0.5, true) AND label = 1) AS fn,
+  count(*) FILTER (coalesce(score < 0.5, true) AND label = 0) AS tn FROM n) c""", ("scored",))
+def binary_metrics_null_score(t):
+    df = scored(t).withColumn("score", F.when(F.col("pid") % 7 > 0, F.col("score")))
+    return rounded(evaluate.binary_metrics(df, 0.5))
+
+
 @query("operating_points", f"""
 SELECT v.name AS operating_point, v.t::DOUBLE AS threshold, c.tp, c.fn, c.fp,
   {q('100.0 * (c.tp + c.fp) / (c.tp + c.fp + c.fn + c.tn)')} AS flagged_pct, {PRF}

@@ -44,15 +44,58 @@ def stratified_split_counts(t):
     return split.groupBy("split", "order").agg(F.count("*").alias("n"))
 
 
-@query("stratified_split_drift")
+@query("stratified_split_null", f"""
+WITH {quota_sql('SELECT category, count(*) AS rows FROM items GROUP BY 1',
+                'category NULLS FIRST', '(SELECT ceil(count(*) * 0.2) FROM items)')}
+SELECT 'test' AS split, category, quota AS n FROM quotas WHERE quota > 0
+UNION ALL SELECT 'train', category, rows - quota FROM quotas WHERE rows > quota""", ("items",))
+def stratified_split_null(t):
+    split = sampling.stratified_split(t.items, "category", 0.2, keys=["pid"])
+    return split.groupBy("split", "category").agg(F.count("*").alias("n"))
+
+
+@query("oversample_null", """
+WITH c AS (SELECT category, count(*) AS n FROM items GROUP BY 1)
+SELECT category, (SELECT max(n) FROM c) AS n, n AS distinct_rows FROM c""", ("items",))
+def oversample_null(t):
+    out = sampling.oversample(t.items, "category", keys=["pid"])
+    return out.groupBy("category").agg(F.count("*").alias("n"),
+                                       F.count_distinct("pid").alias("distinct_rows"))
+
+
+@query("kfold_null", """
+SELECT category, f::INTEGER AS fold, (c // 5 + (f < c % 5)::INT)::BIGINT AS n
+FROM (SELECT category, count(*) AS c FROM items GROUP BY 1), range(5) r(f)
+WHERE c // 5 + (f < c % 5)::INT > 0""", ("items",))
+def kfold_null(t):
+    return (sampling.kfold(t.items, "category", 5, keys=["pid"]).groupBy("category", "fold")
+            .agg(F.count("*").alias("n")))
+
+
+@query("stratified_split_drift", f"""
+WITH {quota_sql('SELECT "order", count(*) AS rows FROM interactions GROUP BY 1', '"order"',
+                '(SELECT ceil(count(*) * 0.2) FROM interactions)')},
+s AS (SELECT 'test' AS split, "order" AS v, quota AS n FROM quotas
+  UNION ALL SELECT 'train', "order", rows - quota FROM quotas),
+o AS (SELECT avg("order") AS m FROM interactions)
+SELECT split, sum(n)::BIGINT AS n, {q('sum(v * n) / sum(n)')} AS rate,
+  {q('abs(sum(v * n) / sum(n) - any_value(m))')} AS drift FROM s, o GROUP BY 1""",
+       ("interactions",))
 def stratified_split_drift(t):
-    return sampling.split_drift(sampling.stratified_split(t.interactions, "order", 0.2), "order")
+    return rounded(sampling.split_drift(
+        sampling.stratified_split(t.interactions, "order", 0.2), "order"))
 
 
-@query("random_split")
+@query("random_split", """
+SELECT count(*) AS rows, count(*) AS distinct_rows, true AS near_share FROM interactions""",
+       ("interactions",))
 def random_split(t):
+    """What holds for any hash: each row on one side, and a test share within 5 deviations."""
     split = sampling.random_split(t.interactions, 0.2)
-    return split.groupBy("split").agg(F.count("*").alias("n"))
+    n, test = F.count("*"), F.count_if(F.col("split") == "test")
+    return split.filter(F.col("split").isin("train", "test")).agg(
+        n.alias("rows"), F.count_distinct("lineID", "price").alias("distinct_rows"),
+        (F.abs(test - 0.2 * n) < 5 * F.sqrt(0.16 * n)).alias("near_share"))
 
 
 @query("random_sample_counts", """

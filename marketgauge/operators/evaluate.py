@@ -1,5 +1,7 @@
 """Evaluation of scored rows: columns `label` (0/1) and `score`.
 
+A row without a score is never flagged and ranks below all others; no metric leaves it out.
+
 Curves work on one row per distinct score and range-partitioned running totals, so neither the
 rows nor the distinct scores pass through one task. `by` evaluates many models or folds at once.
 """
@@ -14,13 +16,18 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions.bins import equal_width_bin, equal_width_edges, quantile_bin
-from ..functions.numbers import ratio
+from ..functions.numbers import ratio, round_half_even
 from .ordered import quantile_values, running_totals
 
 
+def _ranked() -> Column:
+    return F.coalesce(F.col("score").cast("double"), F.lit(-float("inf")))
+
+
 def score_curve(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """(by.., score, pos, neg, cum_pos, cum_neg), totals over scores >= the row's score."""
-    counts = (df.filter(F.col("score").isNotNull()).groupBy(*by, "score")
+    """(by.., score, pos, neg, cum_pos, cum_neg), totals over scores >= the row's score. Rows
+    without a score stand at minus infinity."""
+    counts = (df.groupBy(*by, _ranked().alias("score"))
               .agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg")))
     return running_totals(counts, by, ["score"], ["pos", "neg"], descending=True)
 
@@ -81,7 +88,7 @@ def _prf(tp: Column, fp: Column, fn: Column) -> tuple[Column, Column, Column]:
 
 def binary_metrics(df: DataFrame, threshold: float, by: Sequence[str] = ()) -> DataFrame:
     """Counts, accuracy, error, precision, recall and F1 of `score >= threshold`."""
-    hit, pos = F.col("score") >= threshold, F.col("label") == 1
+    hit, pos = _ranked() >= threshold, F.col("label") == 1
     counts = df.groupBy(*by).agg(
         F.count_if(hit & pos).alias("tp"), F.count_if(hit & ~pos).alias("fp"),
         F.count_if(~hit & pos).alias("fn"), F.count_if(~hit & ~pos).alias("tn"))
@@ -169,7 +176,7 @@ def threshold_sweep(df: DataFrame, grid: Sequence[float], by: Sequence[str] = ()
     of a threshold are the cells at or above it (grid size + 1 rows per group).
     """
     cells = Bucketizer(splits=[-float("inf"), *grid, float("inf")], inputCol="score",
-                       outputCol="_cell").transform(df.filter(F.col("score").isNotNull()))
+                       outputCol="_cell").transform(df.withColumn("score", _ranked()))
     counts = cells.groupBy(*by, "_cell").agg(F.sum("label").alias("pos"),
                                              F.sum(1 - F.col("label")).alias("neg"))
     steps = [F.struct(F.lit(float(i)).alias("_cell"), F.lit(t).alias("threshold"))
@@ -200,12 +207,18 @@ def average_over_folds(sweep: DataFrame) -> DataFrame:
                                           F.stddev_pop("f1").alias("std_f1"))
 
 
-def tune_threshold_cv(df: DataFrame, fold: str, grid: Sequence[float]) -> DataFrame:
-    """The threshold with the best F1 averaged over folds (ties: the lowest)."""
-    means = average_over_folds(threshold_sweep(df, grid, [fold]))
+def choose_threshold(means: DataFrame) -> DataFrame:
+    """The threshold with the best averaged F1 (ties: the lowest)."""
+    # Means that differ in the last bits only are ties.
+    rounded = means.withColumn("mean_f1", round_half_even("mean_f1", 9))
     order = F.struct(-F.col("mean_f1"), F.col("threshold"))
     best = F.min_by(F.struct("threshold", "mean_f1", "std_f1"), order)
-    return means.agg(best.alias("best")).select("best.*")
+    return rounded.agg(best.alias("best")).select("best.*")
+
+
+def tune_threshold_cv(df: DataFrame, fold: str, grid: Sequence[float]) -> DataFrame:
+    """The threshold with the best F1 averaged over folds."""
+    return choose_threshold(average_over_folds(threshold_sweep(df, grid, [fold])))
 
 
 def nearest(sweep: DataFrame, points: Sequence[float]) -> DataFrame:

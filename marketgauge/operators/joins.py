@@ -7,14 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import BROADCAST_ROWS, checked_broadcast, cut, cut_counted
+from ..session import BROADCAST_BYTES, checked_broadcast, cut, cut_counted, row_bytes
 
 HEAVY_SHARE = 0.001
 SALTS = 512
 
 
 def lookup(df: DataFrame, table: DataFrame, keys: Sequence[str], stored: bool = False,
-           max_rows: int = BROADCAST_ROWS, facts: DataFrame | None = None) -> DataFrame:
+           max_bytes: int = BROADCAST_BYTES, facts: DataFrame | None = None) -> DataFrame:
     """Left join of a table with one row per key onto the fact rows.
 
     Broadcast when its counted size allows, else the skew-safe shuffle join. A computed table
@@ -22,16 +22,16 @@ def lookup(df: DataFrame, table: DataFrame, keys: Sequence[str], stored: bool =
     that is read from files.
     """
     if stored:
-        return join_counted(df, table, keys, table.limit(max_rows + 1).count(), max_rows,
-                            facts)
+        most = max_bytes // row_bytes(table)
+        return join_counted(df, table, keys, table.limit(most + 1).count(), max_bytes, facts)
     small, rows = cut_counted(table)
-    return join_counted(df, small, keys, rows, max_rows, facts)
+    return join_counted(df, small, keys, rows, max_bytes, facts)
 
 
 def join_counted(df: DataFrame, table: DataFrame, keys: Sequence[str], rows: int,
-                 max_rows: int = BROADCAST_ROWS, facts: DataFrame | None = None) -> DataFrame:
+                 max_bytes: int = BROADCAST_BYTES, facts: DataFrame | None = None) -> DataFrame:
     """Left join of a table with one row per key and at most `rows` rows."""
-    if rows <= max_rows:
+    if rows * row_bytes(table) <= max_bytes:
         return df.join(F.broadcast(table), list(keys), "left")
     return skew_safe_join(df, table, keys, facts=facts)
 
@@ -54,7 +54,7 @@ def skew_safe_join(df: DataFrame, table: DataFrame, keys: Sequence[str],
     heavy_keys = cut(counts.filter(F.col("_n") > total * heavy_share).select(*keys))
     heavy = (table.join(F.broadcast(heavy_keys), keys, "left_semi")
              .select(*keys, F.struct(*values).alias("_heavy"), F.lit(True).alias("_hit")))
-    first = df.join(F.broadcast(heavy), keys, "left")
+    first = df.join(F.broadcast(heavy), keys, "left")  # at most 1 / heavy_share rows
     no_key = F.lit(False)
     for k in keys:
         no_key = no_key | F.col(k).isNull()

@@ -9,7 +9,7 @@ returns at most k rows per query.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -79,17 +79,29 @@ def _reach(queries: DataFrame, pivots: np.ndarray, radius: np.ndarray, count: np
 
 def _nearest(k: int):
     def one(queries: pd.DataFrame, train: pd.DataFrame) -> pd.DataFrame:
-        empty = {"id": [], "train_id": [], "label": [], "dist": []}
         if not len(queries) or not len(train):
-            return pd.DataFrame(empty)
-        d = _distances(_matrix(queries["vec"]), _matrix(train["vec"]))
+            return pd.DataFrame({"id": [], "train_id": [], "label": pd.Series([], dtype=object),
+                                 "dist": []})
+        asked, known = _matrix(queries["vec"]), _matrix(train["vec"])
         ids, labels = train["id"].to_numpy(), train["label"].to_numpy()
         top = min(k, len(train))
-        # Ties at the k-th place go to the smaller id, as in the final merge.
-        pick = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :top]
-        return pd.DataFrame({
-            "id": np.repeat(queries["id"].to_numpy(), top), "train_id": ids[pick].ravel(),
-            "label": labels[pick].ravel(), "dist": np.take_along_axis(d, pick, axis=1).ravel()})
+        owner, found, dist = [], [], []
+        # A slice of queries at a time: memory follows the train chunk, not chunk times block.
+        rows = max(1, 1_000_000 // len(train))
+        for lo in range(0, len(asked), rows):
+            d = _distances(asked[lo:lo + rows], known)
+            last = np.partition(d, top - 1, axis=1)[:, top - 1]
+            for i in range(len(d)):
+                # Ties at the k-th place go to the smaller id, as in the final merge.
+                near = np.flatnonzero(d[i] <= last[i])
+                near = near[np.lexsort((ids[near], d[i][near]))[:top]]
+                owner.append(np.full(top, queries["id"].iat[lo + i]))
+                found.append(near)
+                dist.append(d[i][near])
+        found = np.concatenate(found)
+        return pd.DataFrame({"id": np.concatenate(owner), "train_id": ids[found],
+                             "label": pd.Series(labels[found], dtype=object),
+                             "dist": np.concatenate(dist)})
     return one
 
 
@@ -136,13 +148,42 @@ def nearest_neighbours(train: DataFrame, queries: DataFrame, k: int, pivots: int
             .drop("_r"))
 
 
-def knn_vote(train: DataFrame, queries: DataFrame, k: int = 7, **options) -> DataFrame:
-    """(id, prediction, score): the label with the largest inverse-distance weight and its
+def votes_of(near: DataFrame, by: Sequence[str] = ("id",)) -> DataFrame:
+    """(by.., prediction, score): the label with the largest inverse-distance weight and its
     share. Rows at distance 0 outvote all others; ties go to the smaller label."""
-    near = nearest_neighbours(train, queries, k, **options)
-    exact = F.max((F.col("dist") == 0).cast("int")).over(Window.partitionBy("id"))
+    exact = F.max((F.col("dist") == 0).cast("int")).over(Window.partitionBy(*by))
     weight = F.when(exact == 1, (F.col("dist") == 0).cast("double")).otherwise(1 / F.col("dist"))
-    votes = near.withColumn("w", weight).groupBy("id", "label").agg(F.sum("w").alias("w"))
+    votes = near.withColumn("w", weight).groupBy(*by, "label").agg(F.sum("w").alias("w"))
     best = F.min_by("label", F.struct(-F.col("w"), "label"))
-    return votes.groupBy("id").agg(best.alias("prediction"),
-                                   (F.max("w") / F.sum("w")).alias("score"))
+    return votes.groupBy(*by).agg(best.alias("prediction"),
+                                  (F.max("w") / F.sum("w")).alias("score"))
+
+
+def knn_vote(train: DataFrame, queries: DataFrame, k: int = 7, **options) -> DataFrame:
+    """(id, prediction, score) of every query row by the vote of its k nearest train rows."""
+    return votes_of(nearest_neighbours(train, queries, k, **options))
+
+
+def k_search(df: DataFrame, fold: str, ks: Sequence[int], **options) -> DataFrame:
+    """(k, mean_accuracy, std_accuracy, rank) over folds, best first; ties to the smaller k.
+
+    Each fold is asked once with the largest k; the nearest rows of that answer give every
+    smaller k. `df` has id, label, vec and `fold`.
+    """
+    folds = sorted(r[0] for r in df.select(fold).distinct().collect())
+    near = None
+    for f in folds:
+        part = nearest_neighbours(df.filter(F.col(fold) != f), df.filter(F.col(fold) == f),
+                                  max(ks), **options).withColumn("fold", F.lit(f))
+        near = part if near is None else near.unionByName(part)
+    place = F.row_number().over(Window.partitionBy("id").orderBy("dist", "train_id"))
+    tried = near.withColumn("_r", place).withColumn("k", F.explode(F.filter(
+        F.array(*map(F.lit, ks)), lambda k: k >= F.col("_r"))))
+    votes = votes_of(tried, ["k", "fold", "id"])
+    truth = df.select("id", F.col("label").cast("string").alias("truth"))
+    hits = votes.join(truth, "id").groupBy("k", "fold").agg(
+        F.avg((F.col("prediction") == F.col("truth")).cast("double")).alias("accuracy"))
+    means = hits.groupBy("k").agg(F.avg("accuracy").alias("mean_accuracy"),
+                                  F.stddev_pop("accuracy").alias("std_accuracy"))
+    best = Window.orderBy(F.desc(F.round("mean_accuracy", 9)), "k")  # one row for each k
+    return means.withColumn("rank", F.row_number().over(best))

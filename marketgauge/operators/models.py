@@ -33,8 +33,9 @@ MAX_LEVELS = 1000
 def class_weights(df: DataFrame, label: str, alpha: float = 1.0,
                   normalise: bool = True) -> DataFrame:
     """(label, n, weight): (rows / (classes x n)) ^ alpha, divided by its mean over classes.
-    alpha 1 without `normalise` is the balanced weight, alpha 0 no weighting."""
-    counts = df.groupBy(label).agg(F.count("*").alias("n"))
+    alpha 1 without `normalise` is the balanced weight, alpha 0 no weighting. A missing label is
+    no class."""
+    counts = df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n"))
     total = counts.agg(F.struct(F.sum("n").alias("rows"), F.count("*").alias("k"))
                        .alias("t")).scalar()
     raw = F.pow(total.getField("rows") / (total.getField("k") * F.col("n")), F.lit(alpha))
@@ -47,10 +48,11 @@ def class_weights(df: DataFrame, label: str, alpha: float = 1.0,
 
 def with_class_weight(df: DataFrame, label: str, alpha: float = 1.0,
                       normalise: bool = False) -> DataFrame:
-    """Adds `weight` by class; there is one weight row per class."""
+    """Adds `weight` by class; there is one weight row per class. Rows without a label weigh 0;
+    `fit` leaves them out."""
     weights = {r[label]: r["weight"]
                for r in class_weights(df, label, alpha, normalise).collect()}
-    weight = F.lit(1.0)
+    weight = F.lit(0.0)
     for value, w in weights.items():
         weight = F.when(F.col(label) == value, w).otherwise(weight)
     return df.withColumn("weight", weight)
@@ -197,20 +199,31 @@ class Trained:
     def predict(self, df: DataFrame) -> DataFrame:
         return self.model.transform(self.preprocessor.transform(df))
 
-    def score(self, df: DataFrame) -> DataFrame:
-        """Adds `score`, the probability of class 1."""
+    def score(self, df: DataFrame, cls: int = 1) -> DataFrame:
+        """Adds `score`, the probability of class `cls`."""
         out = self.predict(df)
-        return out.withColumn("score", vector_to_array("probability")[1])
+        return out.withColumn("score", vector_to_array("probability")[cls])
 
 
 def fit(train: DataFrame, estimator, preprocessor: Preprocessor,
-        fold: Column | None = None) -> Trained:
-    """Prepares the train rows once, writes them, and fits on the written vectors."""
+        fold: Column | None = None, valid: DataFrame | None = None) -> Trained:
+    """Prepares the train rows once, writes them, and fits on the written vectors. Rows without a
+    label are left out.
+
+    With `valid` the estimator sees those rows as well, marked in `is_valid`, to stop early. The
+    preparation learns from the train rows alone: a validation row is filled and encoded as a new
+    row, never from its own label.
+    """
     start = time.time()
-    preprocessor.fit(train)
+    labelled = F.col(preprocessor.label).isNotNull()
+    preprocessor.fit(train.filter(labelled))
     fold = row_fold() if fold is None else fold
-    prepared = cut(preprocessor.transform_train(fold))
-    model = estimator.fit(prepared)
+    prepared = preprocessor.transform_train(fold)
+    if valid is not None:
+        checked = preprocessor.transform(valid.filter(labelled))
+        prepared = prepared.withColumn("is_valid", F.lit(False)).unionByName(
+            checked.withColumn("is_valid", F.lit(True)))
+    model = estimator.fit(cut(prepared))
     if isinstance(model, RandomForestClassificationModel):
         # A forest's training summary holds on to its frame and cannot be sent to tasks.
         model = model.copy()
@@ -319,21 +332,25 @@ def random_params(space: Mapping[str, Sequence], trials: int, seed: int = 42) ->
     return [{k: draw.choice(list(v)) for k, v in space.items()} for _ in range(trials)]
 
 
+def stopping(estimator):
+    """The estimator with early stopping on the rows marked in `is_valid`, if it can."""
+    if not estimator.hasParam("validationIndicatorCol"):
+        return None
+    estimator = estimator.copy()
+    return estimator.set(estimator.getParam("validationIndicatorCol"), "is_valid")
+
+
 def tune_random(train: DataFrame, valid: DataFrame, label: str, params: Sequence[Mapping],
                 make: Callable[..., tuple]) -> tuple[DataFrame, Trained]:
     """Random search scored on the validation rows by PR-AUC, and the best setting refitted on
-    train and validation together. Boosting stops early on rows marked by `is_valid`."""
-    both = (train.withColumn("is_valid", F.lit(False))
-            .unionByName(valid.withColumn("is_valid", F.lit(True))))
+    train and validation together. Boosting stops early on the validation rows; preparation and
+    target encodings of a trial never see their labels."""
     rows = []
     for i, chosen in enumerate(params):
         estimator, preprocessor = make(**chosen)
-        estimator = estimator.copy()
-        if estimator.hasParam("validationIndicatorCol"):
-            estimator.set(estimator.getParam("validationIndicatorCol"), "is_valid")
-            trained = fit(both, estimator, preprocessor)
-        else:
-            trained = fit(both.filter(~F.col("is_valid")), estimator, preprocessor)
+        early = stopping(estimator)
+        trained = (fit(train, early, preprocessor, valid=valid) if early
+                   else fit(train, estimator, preprocessor))
         scored = trained.score(valid).select(F.col(label).alias("label"), "score")
         r = evaluate.binary_report(scored, 0.5).first()
         trees = trained.model.getNumTrees if hasattr(trained.model, "getNumTrees") else 0
@@ -342,7 +359,7 @@ def tune_random(train: DataFrame, valid: DataFrame, label: str, params: Sequence
                      "seconds": trained.seconds})
     best = max(rows, key=lambda r: (r["valid_pr_auc"], -r["trial"]))
     estimator, preprocessor = make(**params[best["trial"]])
-    refitted = fit(both.drop("is_valid"), estimator, preprocessor)
+    refitted = fit(train.unionByName(valid), estimator, preprocessor)
     return _report(train.sparkSession, rows), refitted
 
 
@@ -361,6 +378,47 @@ def sweep_weights(train: DataFrame, test: DataFrame, label: str, weights: Mappin
     return _report(train.sparkSession, rows)
 
 
+def class_names(labels: Sequence[str]) -> Callable[[Column], Column]:
+    """From a class number to its name."""
+    names = F.array(*map(F.lit, labels))
+    return lambda number: F.element_at(names, number.cast("int") + 1)
+
+
+def multiclass_report(trained: Trained, df: DataFrame, label: str,
+                      labels: Sequence[str]) -> DataFrame:
+    name = class_names(labels)
+    rows = trained.predict(df).select(name(F.col(label)).alias("label"),
+                                      name(F.col("prediction")).alias("prediction"))
+    return evaluate.multiclass_metrics(rows, labels)
+
+
+def sweep_alphas(train: DataFrame, test: DataFrame, label: str, alphas: Sequence[float],
+                 labels: Sequence[str], make: Callable[[], tuple]) -> DataFrame:
+    """One fit for each strength of class weighting; accuracy and macro-F1, best macro-F1 first.
+    `label` numbers the classes of `labels`; alpha 0 weighs all rows alike, 1 all classes."""
+    rows = []
+    for alpha in alphas:
+        estimator, preprocessor = make()
+        weighted = with_class_weight(train, label, alpha, normalise=True)
+        r = multiclass_report(fit(weighted, estimator, preprocessor), test, label, labels).first()
+        rows.append({"alpha": float(alpha), "accuracy": r.accuracy, "macro_f1": r.macro_f1})
+    rows.sort(key=lambda r: (-round(r["macro_f1"], 9), r["alpha"]))
+    return _report(train.sparkSession, rows)
+
+
+def tune_multiclass(train: DataFrame, valid: DataFrame, label: str, labels: Sequence[str],
+                    params: Sequence[Mapping], make: Callable[..., tuple]) -> DataFrame:
+    """Random search over class models, ranked by macro-F1 on the validation rows."""
+    rows = []
+    for i, chosen in enumerate(params):
+        trained = fit(train, *make(**chosen))
+        r = multiclass_report(trained, valid, label, labels).first()
+        rows.append({"trial": i, "params": str(dict(chosen)), "accuracy": r.accuracy,
+                     "macro_f1": r.macro_f1, "seconds": trained.seconds})
+    rows.sort(key=lambda r: (-round(r["macro_f1"], 9), r["trial"]))
+    return _report(train.sparkSession, [r | {"rank": n} for n, r in enumerate(rows, start=1)])
+
+
 def compare_feature_sets(train: DataFrame, test: DataFrame, label: str,
                          sets: Mapping[str, Sequence[str]], make: Callable[[Sequence[str]], tuple],
                          ) -> DataFrame:
@@ -506,10 +564,11 @@ def permutation_importance(trained: Trained, df: DataFrame, label: str,
 
 
 def partial_dependence(trained: Trained, df: DataFrame, col: str, grid: Sequence[float],
-                       ) -> DataFrame:
-    """Mean score with the column set to each grid value in turn, all values in one pass."""
+                       cls: int = 1) -> DataFrame:
+    """Mean probability of class `cls` with the column set to each grid value in turn, all values
+    in one pass."""
     values = F.explode(F.array(*[F.lit(float(v)) for v in grid]))
     filled = df.withColumn("_grid", values).withColumn(col, F.col("_grid"))
-    scored = trained.score(filled)
+    scored = trained.score(filled, cls)
     return scored.groupBy(F.col("_grid").alias("value")).agg(
         F.avg("score").alias("mean_score"), F.count("*").alias("rows"))

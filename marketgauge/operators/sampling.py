@@ -44,6 +44,16 @@ def _bucket(key: Column, bits: int) -> Column:
     return F.shiftright(key.getField("h"), 64 - bits)
 
 
+def join_strata(left: DataFrame, right: DataFrame, columns: Sequence[str],
+                how: str = "inner") -> DataFrame:
+    """Join on equal columns where NULL equals NULL: a NULL stratum is a stratum."""
+    named = {c: f"_on_{c}" for c in columns}
+    right = right.withColumnsRenamed(named)
+    on = [F.col(c).eqNullSafe(F.col(n)) for c, n in named.items()]
+    out = left.join(right, on, how)
+    return out if how in ("left_semi", "left_anti") else out.drop(*named.values())
+
+
 def rank_thresholds(df: DataFrame, strata: Sequence[str], cuts: DataFrame, keys: Sequence[str],
                     seed: int, bits: int = HASH_BITS) -> DataFrame:
     """(strata.., thresholds[], below_first): the order key of the row at each `cut_rank`
@@ -56,18 +66,18 @@ def rank_thresholds(df: DataFrame, strata: Sequence[str], cuts: DataFrame, keys:
     run = Window.partitionBy(*strata).orderBy("_b")
     spans = counts.withColumn("_end", F.sum("_n").over(run))
     spans = spans.withColumn("_start", F.col("_end") - F.col("_n")).drop("_n")
-    hits = (spans.join(cuts, strata)
+    hits = (join_strata(spans, cuts, strata)
             .filter((F.col("_start") < F.col("cut_rank")) & (F.col("cut_rank") <= F.col("_end")))
             .select(*strata, "_b", "_start", "cut_rank"))
     hits = cut(hits)
     edges = checked_broadcast(hits.select(*strata, "_b", "_start").distinct())
     inside = Window.partitionBy(*strata, "_b").orderBy("_k")
-    ranked = (tagged.join(edges, [*strata, "_b"])
+    ranked = (join_strata(tagged, edges, [*strata, "_b"])
               .withColumn("cut_rank", F.col("_start") + F.row_number().over(inside)))
-    found = (ranked.join(hits.select(*strata, "cut_rank"), [*strata, "cut_rank"])
+    found = (join_strata(ranked, hits.select(*strata, "cut_rank"), [*strata, "cut_rank"])
              .groupBy(*strata).agg(F.sort_array(F.collect_list("_k")).alias("thresholds")))
     zero = cuts.groupBy(*strata).agg(F.count_if(F.col("cut_rank") == 0).alias("below_first"))
-    return zero.join(found, strata, "left")
+    return join_strata(zero, found, strata, "left")
 
 
 def label_by_rank(df: DataFrame, strata: Sequence[str], cuts: DataFrame, keys: Sequence[str],
@@ -79,7 +89,7 @@ def label_by_rank(df: DataFrame, strata: Sequence[str], cuts: DataFrame, keys: S
     behind = F.coalesce(F.size(F.filter("thresholds", lambda t: _before(t, keys, seed))),
                         F.lit(0))
     behind = F.when(F.col("thresholds").isNull(), 0).otherwise(behind)
-    return (df.join(thresholds, list(strata), "left")
+    return (join_strata(df, thresholds, list(strata), "left")
             .withColumn(name, (F.coalesce("below_first", F.lit(0)) + behind).cast("int"))
             .drop("thresholds", "below_first"))
 
@@ -122,14 +132,14 @@ def sample_strata(df: DataFrame, n: int) -> tuple[DataFrame, list[str], DataFram
 def stratified_sample(df: DataFrame, n: int, keys: Sequence[str] = ROW_KEY,
                       seed: int = 42) -> DataFrame:
     """Exactly `n` rows (or the whole table if smaller) keeping order and week proportions."""
-    rows, strata, sizes = sample_strata(df, n)
     if fits_whole(df, n):
         return df
+    rows, strata, sizes = sample_strata(df, n)
     quotas = cut(largest_remainder(sizes, strata, n))
     cuts = quotas.select(*strata, F.col("quota").alias("cut_rank"))
     labelled = label_by_rank(rows, strata, cuts, keys, seed, "_side")
     # Strata left out of the quotas are left out of the sample.
-    kept = labelled.join(F.broadcast(quotas.select(*strata)), strata, "left_semi")
+    kept = join_strata(labelled, F.broadcast(quotas.select(*strata)), strata, "left_semi")
     return kept.filter(F.col("_side") == 0).select(*df.columns)
 
 
@@ -220,7 +230,7 @@ def oversample(df: DataFrame, label: str, keys: Sequence[str] = ROW_KEY,
                             (largest % F.col("rows")).alias("cut_rank")))
     sided = label_by_rank(df, [label], plan.select(label, "cut_rank"), keys, seed, "_side")
     # One row per label value.
-    counted = sided.join(F.broadcast(plan.select(label, "_copies")), label)
+    counted = join_strata(sided, F.broadcast(plan.select(label, "_copies")), [label])
     copies = F.col("_copies") + F.when(F.col("_side") == 0, 1).otherwise(0)
     return (counted.withColumn("copy", F.explode(F.sequence(F.lit(1), copies.cast("int"))))
             .select(*df.columns, "copy"))

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
+# A planner hint alone: results are the same on either side of it.
+BROADCAST_BYTES = 32 * 2 ** 20
+
+# Folder of this run in the shared folder, by application; the innermost `scratch` is in use.
+_FOLDERS: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,6 +31,40 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def run_folder(spark: SparkSession) -> str:
+    """The folder that intermediate tables go to: one for each application, removed when Python
+    ends, or the one of the `scratch` block that is open."""
+    app = spark.sparkContext.applicationId
+    if app not in _FOLDERS:
+        _FOLDERS[app] = [f"{shared_dir(spark)}/marketgauge-{app}-{uuid.uuid4().hex[:8]}"]
+        atexit.register(_remove, spark, _FOLDERS[app][0])
+    return _FOLDERS[app][-1]
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Intermediate tables made in the block are removed behind it. Frames that read them must
+    have been written or collected by then."""
+    inner = f"{run_folder(spark)}/{uuid.uuid4().hex[:8]}"
+    stack = _FOLDERS[spark.sparkContext.applicationId]
+    stack.append(inner)
+    try:
+        yield inner
+    finally:
+        stack.remove(inner)
+        _remove(spark, inner)
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder made here, with the file system that Spark writes to."""
+    try:
+        jvm = spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001 - a stopped session can delete nothing
+        pass
+
+
 def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
     """Writes `df` to the shared folder in one job and returns the written copy and its rows.
 
@@ -31,7 +72,7 @@ def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
     numbers fixed, is pruned by column and is not computed twice.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/marketgauge-{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/{uuid.uuid4().hex}"
     seen = Observation()
     df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), seen.get["rows"]
@@ -41,7 +82,13 @@ def cut(df: DataFrame) -> DataFrame:
     return cut_counted(df)[0]
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint behind a row count. Above the limit Spark picks a shuffle join."""
+def row_bytes(df: DataFrame) -> int:
+    """Bytes of a row by its types; text and nested columns count as in Spark's own estimate."""
+    return 8 + df._jdf.schema().defaultSize()
+
+
+def checked_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast hint behind a count of rows times their size. Above the limit Spark picks a
+    shuffle join; the result is the same."""
     small, rows = cut_counted(df)
-    return F.broadcast(small) if rows <= max_rows else small
+    return F.broadcast(small) if rows * row_bytes(small) <= max_bytes else small

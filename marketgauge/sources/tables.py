@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schema
+from ..functions.text import parse_number
 
 
 def require_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -20,20 +21,30 @@ def require_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def _read_csv(spark: SparkSession, path: str, wanted: T.StructType, sep: str) -> DataFrame:
-    header = spark.read.option("sep", sep).option("header", True).csv(path)
-    require_columns(header, wanted.names)
-    # The file may order its columns differently, so the schema follows its header.
-    by_name = {f.name: f for f in wanted.fields}
-    in_file = T.StructType([by_name.get(c, T.StructField(c, T.StringType()))
-                            for c in header.columns])
-    df = spark.read.schema(in_file).option("sep", sep).option("header", True).csv(path)
-    return null_nan(df.select(*wanted.names))
-
-
-def null_nan(df: DataFrame) -> DataFrame:
-    """Only NULL means missing; NaN from a file becomes NULL."""
-    doubles = [f.name for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)]
-    return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in doubles})
+    """Every column is read as text and parsed: what is not a number of the wanted kind raises."""
+    raw = spark.read.option("sep", sep).option("header", True).csv(path)
+    require_columns(raw, wanted.names)
+    return raw.select(*[strict(f).alias(f.name) for f in wanted.fields])
+
+
+def strict(wanted: T.StructField) -> Column:
+    """Text as the wanted type. Empty text and nan are NULL, 7.0 is a whole number, other text
+    that does not parse fails the job and names the column and the value."""
+    text = F.trim(F.col(f"`{wanted.name}`"))
+    if isinstance(wanted.dataType, T.StringType):
+        return F.col(f"`{wanted.name}`")
+    number = parse_number(text)
+    kind = wanted.dataType.simpleString()
+    if isinstance(wanted.dataType, T.IntegralType):
+        # Whole numbers are cast from the text, which keeps all digits of a long.
+        whole = text.try_cast(kind)
+        value = F.when(text.rlike(r"^[+-]?\d+$"), whole).when(
+            number == F.floor(number), number.try_cast(kind))
+    else:
+        value = number.cast(kind)
+    missing = text.isNull() | (text == "") | (F.lower(text) == "nan")
+    wrong = F.raise_error(F.concat(F.lit(f"column {wanted.name}: not a {kind}: "), text))
+    return F.when(missing, F.lit(None)).otherwise(F.coalesce(value, wrong)).cast(kind)
 
 
 def read_items(spark: SparkSession, path: str, sep: str = "|") -> DataFrame:
@@ -56,16 +67,19 @@ def write_features(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "
     if fmt == "csv":
         df.write.mode(mode).option("sep", "|").option("header", True).csv(path)
         return
-    # One shuffle on (day, salt): few files per day and no day held by one task.
-    salted = df.repartition("day", F.pmod(F.xxhash64("lineID"), F.lit(16)))
-    salted.write.mode(mode).partitionBy("day").parquet(path)
+    # One shuffle by day; Spark splits the days that are larger than its target size, so a day's
+    # files and tasks follow from its bytes.
+    df.hint("rebalance", F.col("day")).write.mode(mode).partitionBy("day").parquet(path)
 
 
 def write_csv(df: DataFrame, path: str, single_file: bool = False, sep: str = "|",
               mode: str = "error") -> None:
     """CSV sink; `single_file` is for report tables of a few rows only."""
     out = df.coalesce(1) if single_file else df
-    out.write.mode(mode).option("sep", sep).option("header", True).csv(path)
+    (out.write.mode(mode).option("sep", sep).option("header", True)
+     # Blanks at the ends of a value are part of it.
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+     .csv(path))
 
 
 def preview(df: DataFrame, n: int, keys: Sequence[str], seed: int = 42) -> DataFrame:

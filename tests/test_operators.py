@@ -53,7 +53,7 @@ def test_skew_safe_join_equals_plain_join(spark):
         got = joins.skew_safe_join(facts, table, ["k"], heavy_share=share)
         assert sorted(got.select("id", "k", "a", "b").collect(), key=lambda r: r.id) == want
     # The size check picks the same result on either side of the limit.
-    got = joins.lookup(facts, table, ["k"], max_rows=5).select("id", "k", "a", "b").collect()
+    got = joins.lookup(facts, table, ["k"], max_bytes=100).select("id", "k", "a", "b").collect()
     assert sorted(got, key=lambda r: r.id) == want
 
 
