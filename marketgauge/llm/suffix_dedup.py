@@ -10,26 +10,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .word_codes import coded, runs
+from .word_codes import code_slices, runs
 
 WINDOW = 35
 PREFIX = 12
-GROUP = 20_000  # suffix runs of one prefix that are put into memory together
+GROUP = 250_000  # suffixes of one prefix that are put into memory together
 BATCH = 600_000  # words of suffixes a tree is built over, whole groups apart
 PLACE = 28  # bits of a place in a text
 NO_KEY = -2 ** 63
-LINKS = "id long, hash long, grams array<long>, first array<int>, last array<int>"
+LINKS = ("id long, hash long, grams array<long>, first array<int>, last array<int>, "
+         "times array<int>")
 PARTS = "id long, hash long, first int, gram long, words binary, h1 long, h2 long"
 SPANS = "id long, hash long, start int, stop int"
 
 
 def anchors(codes: np.ndarray, window: int, prefix: int
-            ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each anchor its prefix code, and the first and last window that it anchors.
+            ) -> tuple[np.ndarray, ...]:
+    """Prefix codes, each with the first and last window of a run that it anchors, and how many
+    anchors the run has.
 
     A window's anchor is the run of `prefix` words in it with the least code, the leftmost of
     equals. Equal windows have their anchors at one place: all their suffixes from the anchor on
-    begin with the same prefix.
+    begin with the same prefix. Neighbouring anchors of one prefix (a text that repeats itself)
+    make one run.
     """
     grams = runs(codes, prefix)
     order = (grams >> np.uint64(PLACE) << np.uint64(PLACE)).astype(np.uint64) | np.arange(
@@ -41,8 +44,10 @@ def anchors(codes: np.ndarray, window: int, prefix: int
     if width < size:
         least = np.minimum(least[:len(order) - size + 1], least[size - width:])
     at = (least & np.uint64(2 ** PLACE - 1)).astype(np.int64)
-    new = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    return grams[at[new]].view(np.int64), new, np.append(new[1:], len(at)) - 1
+    moves = np.concatenate(([True], at[1:] != at[:-1]))
+    gram = grams[at].view(np.int64)
+    new = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
+    return gram[new], new, np.append(new[1:], len(at)) - 1, np.add.reduceat(moves, new, dtype=int)
 
 
 def ranks(values: np.ndarray) -> np.ndarray:
@@ -117,23 +122,23 @@ def repeated_spans(texts: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
     1. Each window is given a prefix: the one its anchor begins with. 2. Prefixes found once hold
     no repeat; their windows are dropped. 3. Windows of one prefix go to one task, as runs of words
     around the anchor, and a suffix tree is built over whole groups that fit into memory. 4. A
-    prefix found more than `group` times is made longer, up to the whole window: its suffixes are
+    prefix of more than `group` suffixes is made longer, up to the whole window: its suffixes are
     counted by their whole prefix with sums made before the exchange, and no task holds them all.
     """
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for i, h, x in zip(*(batch.column(c) for c in range(3))):
-                words = x.as_py().split()
-                if len(words) >= window:
-                    grams, first, last = anchors(coded(words), window, prefix)
-                    rows.append((i.as_py(), h.as_py(), grams, first, last))
-            cols = list(zip(*rows)) or [[]] * 5
+            ids, hashes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for lo, codes, words in code_slices(batch.column(2), fold=False):
+                for k in np.flatnonzero(np.diff(words) >= window):
+                    rows.append((ids[lo + k], hashes[lo + k], *anchors(
+                        codes[words[k]:words[k + 1]], window, prefix)))
+            cols = list(zip(*rows)) or [[]] * 6
             yield pa.RecordBatch.from_arrays(
                 [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()),
                  pa.array(cols[2], pa.list_(pa.int64())), pa.array(cols[3], pa.list_(pa.int32())),
-                 pa.array(cols[4], pa.list_(pa.int32()))],
-                ["id", "hash", "grams", "first", "last"])
+                 pa.array(cols[4], pa.list_(pa.int32())), pa.array(cols[5], pa.list_(pa.int32()))],
+                ["id", "hash", "grams", "first", "last", "times"])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["id", "hash", "first", "gram", "words", "h1", "h2"]
@@ -141,7 +146,7 @@ def repeated_spans(texts: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
                  pa.int64()]
         for batch in batches:
             rows: list[tuple] = []
-            for i, h, x, found in zip(*(batch.column(c) for c in range(4))):
+            for k, (i, h, x, found) in enumerate(zip(*(batch.column(c) for c in range(4)))):
                 i, h, words = i.as_py(), h.as_py(), x.as_py().split()
                 ones = twos = None
                 for a in found.as_py():
@@ -150,7 +155,7 @@ def repeated_spans(texts: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
                                      b" ".join(words[a["first"]:a["last"] + window]), None, None))
                         continue
                     if ones is None:
-                        codes = coded(words)
+                        codes = next(code_slices(batch.column(2).slice(k, 1), fold=False))[1]
                         ones = runs(codes, window).view(np.int64)
                         twos = runs(codes, window, 0xD6E8FEB86659FD93).view(np.int64)
                     rows += [(i, h, s, a["gram"], None, int(ones[s]), int(twos[s]))
@@ -178,11 +183,13 @@ def repeated_spans(texts: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
             yield spans_of(rows, window)
 
     found = cut(texts.mapInArrow(find, LINKS)).select("id", "hash", F.explode(F.arrays_zip(
-        F.col("grams").alias("gram"), "first", "last")).alias("a")).select("id", "hash", "a.*")
-    often = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+        F.col("grams").alias("gram"), "first", "last", "times")).alias("a")).select(
+            "id", "hash", "a.*")
+    often = found.groupBy("gram").agg(F.sum("times").alias("times"), F.sum(
+        F.col("last") - F.col("first") + 1).alias("n"))
 
     def parts(hot: bool) -> DataFrame:
-        some = often.filter(F.col("n") > group if hot else F.col("n").between(2, group))
+        some = often.filter((F.col("times") > 1) & ((F.col("n") > group) == hot))
         wanted = found.join(some.select("gram"), "gram").groupBy("id", "hash").agg(F.collect_set(
             F.struct("first", "last", "gram", F.lit(hot).alias("hot"))).alias("found"))
         return texts.join(wanted.hint("shuffle_hash"), ["id", "hash"]).mapInArrow(split, PARTS)

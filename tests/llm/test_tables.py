@@ -4,12 +4,13 @@ import hashlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from marketgauge.llm import parity_join, suffix_dedup
+from marketgauge.llm import parity_join, suffix_dedup, word_codes
 from marketgauge.llm.components import components
 from marketgauge.llm.curriculum_mix import (curriculum_mix, mixed_documents, source_targets,
                                             training_order)
@@ -205,8 +206,8 @@ def test_sketches_bound_the_difference():
         a = np.unique(r.integers(0, 2 ** 63, 300).astype(np.uint64))
         b = np.unique(np.append(a[:r.integers(200, 300)], r.integers(0, 2 ** 63, 30).astype(
             np.uint64)))
-        bits = sum(bin(int(x) & (2 ** 64 - 1)).count("1") for x in
-                   parity_join.sketch(a) ^ parity_join.sketch(b))
+        one, two = parity_join.sketches(np.append(a, b), np.array([0, len(a), len(a) + len(b)]))
+        bits = sum(bin(int(x) & (2 ** 64 - 1)).count("1") for x in one ^ two)
         assert bits <= len(np.setxor1d(a, b))
 
 
@@ -219,12 +220,25 @@ def test_linked_sets_share_a_signature():
             new = r.integers(0, 2 ** 63, int(r.integers(0, n // 4 + 1))).astype(np.uint64)
             b = np.unique(np.append(a[cut:], new))
             both = len(np.intersect1d(a, b))
-            common = np.sort(a[:n // 3])
+            common = parity_join.Common(np.sort(a[:n // 3]))
             if 100 * both >= 80 * (len(a) + len(b) - both):
                 assert set(parity_join.signatures(a, common, 80)) & set(
                     parity_join.signatures(b, common, 80))
 
 
+@pytest.mark.parametrize("fold", [False, True])
+def test_word_codes(odd_rows, fold, monkeypatch):
+    texts = [(r[1] or "").encode() for r in odd_rows] + [b"x" * 20_000, b" a", b"b ", b"", b"aB ab"]
+    want = [(t.lower() if fold else t).split() for t in texts]
+    for size in (50, 10 ** 6):  # long texts are cut at white space
+        monkeypatch.setattr(word_codes, "SLICE", size)
+        got = [codes[a:b].tolist() for _, codes, bounds in word_codes.code_slices(
+            pa.array(texts).slice(0), fold) for a, b in zip(bounds, bounds[1:])]
+        assert [len(g) for g in got] == [len(w) for w in want]
+        pairs = {(w, c) for g, ws in zip(got, want) for w, c in zip(ws, g)}
+        assert len(pairs) == len({p[0] for p in pairs}) == len({p[1] for p in pairs})
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(30)] + [(100, 101), (101, 100), (7, 7)] + [
         (200, 200 + i) for i in range(1, 50)]
@@ -248,7 +262,7 @@ def stripped(rows, window=35):
     return plain(out)
 
 
-@pytest.mark.parametrize("group", [20_000, 2])
+@pytest.mark.parametrize("group", [250_000, 20])
 def test_repeats(documents, odd, empty, group):
     for df in (documents, odd):
         rows = [(r.doc_id, r.text) for r in df.collect()]
