@@ -20,6 +20,11 @@ from .unified import build_features, model_frame
 # Inputs of the price models.
 NUMBERS = ["price", "price_to_rrp_ratio", "price_pct_diff_competitor", "unit_price",
            "is_cheaper_than_comp", "availability", "adFlag", "day"]
+# All numbers a feature ranking chooses from.
+RANKED = [*NUMBERS, "competitorPrice", "rrp", "content", "has_competitor", "salesIndex",
+          "genericProduct", "price_ratio_competitor", "discount_to_rrp_pct",
+          "is_more_expensive_than_comp", "is_undercutting_competitor", "unit_rrp",
+          "unit_competitor_price", "unit_price_to_rrp_ratio", "unit_price_to_comp_ratio"]
 CATEGORIES = ["unit", "pharmForm"]
 TARGETS = ["manufacturer", "category"]
 HISTORY = ["historical_conversion_pid", "historical_avg_price_pid", "n_prior_appearances_pid",
@@ -113,24 +118,34 @@ def _orders(interactions: DataFrame, items: DataFrame) -> DataFrame:
     return cut(df.filter(F.col("order") == 1).withColumn("quantity", quantity_rounded()))
 
 
-def quantity_experiment(interactions: DataFrame, items: DataFrame, rounds: int = 100,
-                        depth: int = 6, alpha: float = 0.5) -> DataFrame:
-    """Five quantity classes, damped class weights, boosted trees one against the rest."""
+def quantity_sides(interactions: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Train and test orders with `label`, the number of the quantity class."""
     df = _orders(interactions, items).withColumn("quantity_class",
                                                  quantity_class(F.col("quantity")))
     classes = F.array(*map(F.lit, schema.QUANTITY_CLASSES))
     df = df.withColumn("label", (F.array_position(classes, F.col("quantity_class")) - 1)
                        .cast("double"))
     split = sampling.stratified_split(df, "quantity_class", 0.2)
-    train = models.with_class_weight(split.filter(F.col("split") == "train").drop("split"),
-                                     "label", alpha=alpha, normalise=True)
-    test = split.filter(F.col("split") == "test").drop("split")
-    prep = models.Preprocessor(numeric=NUMBERS, one_hot=["unit"], flags=True)
-    trained = models.fit(train, models.quantity_classifier(rounds=rounds, depth=depth), prep)
-    rows = trained.predict(test).select(
-        F.col("quantity_class").alias("label"),
-        F.element_at(classes, F.col("prediction").cast("int") + 1).alias("prediction"))
-    return evaluate.multiclass_metrics(rows, schema.QUANTITY_CLASSES)
+    return tuple(split.filter(F.col("split") == s).drop("split") for s in ("train", "test"))
+
+
+def quantity_parts(rounds: int = 100, depth: int = 6, rate: float = 0.1, min_leaf: int = 1,
+                   subsample: float = 1.0, bins: int = 32, gain: float = 0.0,
+                   width: str = "all"):
+    """Boosted trees one against the rest; all seven settings of the search."""
+    estimator = models.quantity_classifier(
+        rounds=rounds, depth=depth, rate=rate, minInstancesPerNode=min_leaf,
+        subsamplingRate=subsample, maxBins=bins, minInfoGain=gain, featureSubsetStrategy=width)
+    return estimator, models.Preprocessor(numeric=NUMBERS, one_hot=["unit"], flags=True)
+
+
+def quantity_experiment(interactions: DataFrame, items: DataFrame, rounds: int = 100,
+                        depth: int = 6, alpha: float = 0.5) -> DataFrame:
+    """Five quantity classes, damped class weights, boosted trees one against the rest."""
+    train, test = quantity_sides(interactions, items)
+    weighted = models.with_class_weight(train, "label", alpha=alpha, normalise=True)
+    trained = models.fit(weighted, *quantity_parts(rounds=rounds, depth=depth))
+    return models.multiclass_report(trained, test, "label", schema.QUANTITY_CLASSES)
 
 
 def quantity_tree_experiment(interactions: DataFrame, items: DataFrame) -> DataFrame:

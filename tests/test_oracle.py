@@ -16,7 +16,9 @@ DEFAULT = ["features_core", "parse_content_int", "impute_median", "skew_safe_joi
            "category_rolling_7d", "price_position_buckets", "price_deciles", "price_conflicts",
            "order_autocorrelation", "cramers_v", "mutual_information", "split_by_day_share",
            "kfold_counts", "roc_auc", "threshold_cv", "operating_points", "baseline_mean",
-           "knn_vote"]
+           "knn_vote", "knn_k_search", "csv_roundtrip", "stratified_split_null",
+           "stratified_split_drift", "oversample_null", "kfold_null",
+           "binary_metrics_null_score", "threshold_cv_choice", "random_split", "preview_hash"]
 NAMES = sorted(entry.oracle_sql()) if os.environ.get("CHECK_ALL") else DEFAULT
 
 pytestmark = pytest.mark.skipif(not Path(FOLDER).is_dir(), reason="no data folder")
