@@ -157,7 +157,7 @@ def shingle_sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
                            two, lists, none, none)
                 held.append(elements)
                 docs_held += n
-                if sum(map(len, held)) > 4_000_000:
+                if sum(map(len, held)) > 2_000_000:
                     yield common_of(held, docs_held)
                     held, docs_held = [], 0
         if held:
@@ -204,7 +204,7 @@ def buckets(texts: DataFrame, common: np.ndarray, size: int, percent: int) -> Da
                     sigs.append(found.view(np.int64))
                     nodes.append(np.full(len(found), node, np.int64))
                     held += len(found)
-                if held > 1_500_000:
+                if held > 700_000:
                     yield led(np.concatenate(sigs), np.concatenate(nodes))
                     sigs, nodes, held, seen = [], [], 0, set()
         if held:
@@ -325,24 +325,39 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id",
     known = cut(texts.join(wanted.hint("shuffle_hash"), F.col("id") == F.col("rep"))
                 .select("node", "text").mapInArrow(those_of, "node long, text binary")
                 .dropDuplicates(["node"]))
-    first = members.select(F.col("node").alias("x"), F.col("leader").alias("y")).distinct()
-    a, b = info.alias("a"), info.alias("b")
-    sifted = (first.join(a, F.col("x") == F.col("a.node")).join(b, F.col("y") == F.col("b.node"))
-              .filter(may_link("a", "b", percent)).select(F.col("x").alias("a"),
-                                                          F.col("y").alias("b")))
-    links = cut(verified(sifted, known, size, percent))
-    found = components(links)
 
-    labelled = cut(info.join(of_sig, "node").join(found, "node", "left").select(
-        "sig", "node", "n", "sketch", F.coalesce("component", "node").alias("label")))
-    open_ = labelled.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-    rest = labelled.join(open_.filter("lo <> hi").select("sig"), "sig")
-    a, b = rest.alias("a"), rest.alias("b")
-    across = (a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.label") < F.col("b.label"))
-                     & may_link("a", "b", percent))
-              .select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct())
-    more = cut(verified(across, known, size, percent))
-    found = components(links.union(more))
+    def linked(pairs: DataFrame) -> DataFrame:
+        """The links among pairs (a, b): sifted by sizes and sketches, then verified."""
+        x, y = info.alias("x"), info.alias("y")
+        sifted = (pairs.distinct().join(x, F.col("a") == F.col("x.node"))
+                  .join(y, F.col("b") == F.col("y.node")).filter(may_link("x", "y", percent)))
+        return cut(verified(sifted.select("a", "b"), known, size, percent))
+
+    def undecided(rows: DataFrame, found: DataFrame) -> DataFrame:
+        """(sig, node, label) of the signatures whose members are not yet in one component."""
+        labelled = rows.select("sig", "node").join(found, "node", "left").select(
+            "sig", "node", F.coalesce("component", "node").alias("label"))
+        ends = labelled.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+        return cut(labelled.join(ends.filter("lo <> hi").select("sig"), "sig"))
+
+    links = linked(members.select(F.col("node").alias("a"), F.col("leader").alias("b")))
+    found = components(links)
+    open_ = undecided(of_sig, found)
+    for turn in range(TURNS):
+        pivots = open_.groupBy("sig").agg(F.min(F.struct(
+            F.xxhash64("node", F.lit(turn)).alias("order"), "node", "label")).alias("p"))
+        pairs = open_.join(pivots, "sig").filter(F.col("label") != F.col("p.label"))
+        more = linked(pairs.select(F.col("node").alias("a"), F.col("p.node").alias("b")))
+        if more.isEmpty():
+            break
+        found = components(found.toDF("a", "b").union(more))
+        open_ = undecided(open_, found)
+    sketched = open_.join(info.drop("rep"), "node")
+    x, y = sketched.alias("x"), sketched.alias("y")
+    across = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.label") < F.col("y.label"))
+                    & may_link("x", "y", percent))
+    across = across.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    found = components(found.toDF("a", "b").union(verified(across, known, size, percent)))
 
     of_node = nodes.select("h1", "h2", "n", "rep").join(
         found.withColumnRenamed("node", "h1"), "h1", "left").withColumn(
