@@ -65,21 +65,21 @@ def _remove(spark: SparkSession, folder: str) -> None:
         pass
 
 
-def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
+def cut_counted(df: DataFrame, folder: str | None = None) -> tuple[DataFrame, int]:
     """Writes `df` to the shared folder in one job and returns the written copy and its rows.
 
     Later steps read the copy: it survives lost executors, keeps fitted values and partition
     numbers fixed, is pruned by column and is not computed twice.
     """
     spark = df.sparkSession
-    path = f"{run_folder(spark)}/{uuid.uuid4().hex}"
+    path = f"{folder or run_folder(spark)}/{uuid.uuid4().hex}"
     seen = Observation()
     df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), seen.get["rows"]
 
 
-def cut(df: DataFrame) -> DataFrame:
-    return cut_counted(df)[0]
+def cut(df: DataFrame, folder: str | None = None) -> DataFrame:
+    return cut_counted(df, folder)[0]
 
 
 def row_bytes(df: DataFrame) -> int:
