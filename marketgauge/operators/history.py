@@ -8,13 +8,25 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import ratio
+from ..session import cut
 from .joins import attach
 
 
+def first_price() -> Column:
+    """Aggregate: the price of the smallest (lineID, price), prices told apart to four decimals.
+
+    Both are put into one number: unlike a pair it fits a hash aggregate, which needs no sort of
+    the facts.
+    """
+    line = F.col("lineID").cast("decimal(19,0)") * F.lit(10 ** 14).cast("decimal(15,0)")
+    cents = F.round(F.col("price") * 10_000).cast("decimal(14,0)")
+    return F.min_by("price", line + F.coalesce(cents, F.lit(0)))
+
+
 def by_day(df: DataFrame, key: str) -> DataFrame:
     """(key, day) totals; rows without a key have no history."""
     return (df.filter(F.col(key).isNotNull())
@@ -23,7 +35,7 @@ def by_day(df: DataFrame, key: str) -> DataFrame:
                  F.sum("order").alias("orders"),
                  F.sum("click").alias("clicks"),
                  F.sum("price").alias("price_sum"),
-                 F.min_by("price", F.struct("lineID", "price")).alias("first_price")))
+                 first_price().alias("first_price")))
 
 
 def _days(key: str):
@@ -34,7 +46,7 @@ def price_diff_prev_day(df: DataFrame) -> DataFrame:
     """(pid, day) with the change of the day's first price against the previous day the
     product was seen. First = smallest (lineID, price)."""
     daily = (df.groupBy("pid", "day")
-             .agg(F.min_by("price", F.struct("lineID", "price")).alias("first_price")))
+             .agg(first_price().alias("first_price")))
     change = F.col("first_price") - F.lag("first_price").over(_days("pid"))
     return daily.select("pid", "day", change.alias("price_diff_vs_previous_available_day"))
 
@@ -110,7 +122,9 @@ def pid_history(df: DataFrame) -> DataFrame:
 
 
 def add_history(df: DataFrame) -> DataFrame:
-    """Product and category past-day features on every row, with history-available flags."""
+    """Product and category past-day features on every row, with history-available flags. The
+    rows are written once: they are read for each history and each count of its keys."""
+    df = cut(df)
     category = (rolling_history(df, "category", 7)
                 .select("category", "day", "category_prev_7d_order_rate"))
     out = attach(df, pid_history(df), ["pid", "day"], facts=df)
@@ -123,8 +137,9 @@ def add_history(df: DataFrame) -> DataFrame:
 
 def add_expanding_history(df: DataFrame, keys: Sequence[str] = ("pid", "manufacturer", "group"),
                           ) -> DataFrame:
-    """Expanding history of each key on every row, and price against the product's average."""
-    out = df
+    """Expanding history of each key on every row, and price against the product's average. The
+    rows are written once."""
+    df = out = cut(df)
     for key in keys:
         out = attach(out, expanding_history(df, key), [key, "day"], facts=df)
     if "pid" in keys:
