@@ -131,12 +131,16 @@ def mixed_documents(docs: DataFrame, key: str = "doc_id", **settings) -> DataFra
     and one to be range-sorted by position. Rows of one key are numbered by their contents, so that
     each has its own readings.
     """
-    numbered = docs.withColumn("_is", F.xxhash64("text", "source")).withColumn(
-        "_copy", F.row_number().over(Window.partitionBy(key).orderBy("_is")))
-    small = numbered.select(F.col(key).alias("_id"), "_copy", "source",
-                            word_count().alias("_words"))
+    def numbered(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_copy", F.row_number().over(
+            Window.partitionBy(key).orderBy("_is")))
+
+    marked = docs.withColumn("_is", F.xxhash64("text", "source"))
+    # Sizes are taken before the exchange: no text crosses it for them.
+    small = numbered(marked.select(key, "source", "_is", word_count().alias("_words"))).select(
+        F.col(key).alias("_id"), "_copy", "source", "_words")
     read = curriculum_mix(small, size=F.col("_words"), key="_id", whole=True, **settings).select(
         F.col("_id"), F.col("_copy").alias("_no"), F.explode("readings").alias("_reading"))
-    both = numbered.join(read, F.col(key).eqNullSafe(F.col("_id"))
+    both = numbered(marked).join(read, F.col(key).eqNullSafe(F.col("_id"))
                          & (F.col("_copy") == F.col("_no")))
     return both.orderBy("_reading.position", "source", key).select(*docs.columns)
