@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, run_folder, scratch
 from .components import components
 from .word_codes import code_slices, mixed, runs
 
@@ -22,7 +22,7 @@ BLOCKS = 11  # blocks of the first band above it (16 to 31 elements); doubled in
 COMMON = 0.001  # share of the documents that makes an element common
 COMMON_KEPT = 1_000_000  # the most common ones that are sent to all tasks, 8 MB; they settle an
 #                          order of blocks alone, so the result is the same with fewer
-TURNS = 3  # more leaders that signatures try before their pairs are compared; saves work alone
+TURNS = 3  # more leaders that signatures try before their pairs are compared: saves work alone
 NO_KEY = -2 ** 63
 SETS = ("id long, n int, h1 long, h2 long, sketch array<long>, element long, times long")
 
@@ -295,11 +295,18 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id",
     an empty table gives no rows.
 
     Copies are one node from the start. Each signature links its members to one leader, so a
-    signature of n sets gives n candidates. In a few more turns the members of signatures that are
-    not yet in one component meet another leader; what is still apart is compared pair by pair,
-    across components alone: pairs inside a component need no link of their own. Sizes and
-    sketches sift candidates, sets made from whole texts decide.
+    signature of n sets gives n candidates. The members of signatures that are not yet in one
+    component then meet a few leaders more; what is still apart is compared pair by pair, across
+    components alone: pairs inside a component need no link of their own. Sizes and
+    sketches sift candidates, sets made from whole texts decide. The result is written; what was
+    written on the way is removed.
     """
+    outer = run_folder(docs.sparkSession)
+    with scratch(docs.sparkSession):
+        return cut(grouped(docs, text, key, size, percent), outer)
+
+
+def grouped(docs: DataFrame, text: str, key: str, size: int, percent: int) -> DataFrame:
     texts = docs.select(F.coalesce(F.col(key), F.lit(NO_KEY)).alias("id"),
                         F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
     rows = cut(shingle_sets(texts, size, percent))
@@ -343,15 +350,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id",
     links = linked(members.select(F.col("node").alias("a"), F.col("leader").alias("b")))
     found = components(links)
     open_ = undecided(of_sig, found)
-    for turn in range(TURNS):
-        pivots = open_.groupBy("sig").agg(F.min(F.struct(
-            F.xxhash64("node", F.lit(turn)).alias("order"), "node", "label")).alias("p"))
-        pairs = open_.join(pivots, "sig").filter(F.col("label") != F.col("p.label"))
-        more = linked(pairs.select(F.col("node").alias("a"), F.col("p.node").alias("b")))
-        if more.isEmpty():
-            break
-        found = components(found.toDF("a", "b").union(more))
-        open_ = undecided(open_, found)
+    pivots = open_.groupBy("sig").agg(*[F.min(F.struct(
+        F.xxhash64("node", F.lit(turn)).alias("order"), "node", "label")).alias(f"p{turn}")
+        for turn in range(TURNS)])
+    pivots = pivots.select("sig", F.explode(F.array_distinct(F.array(*[
+        F.struct(f"p{turn}.node", f"p{turn}.label") for turn in range(TURNS)]))).alias("p"))
+    pairs = open_.join(pivots, "sig").filter(F.col("label") != F.col("p.label"))
+    more = linked(pairs.select(F.col("node").alias("a"), F.col("p.node").alias("b")))
+    found = components(found.toDF("a", "b").union(more))
+    open_ = undecided(open_, found)
     sketched = open_.join(info.drop("rep"), "node")
     x, y = sketched.alias("x"), sketched.alias("y")
     across = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.label") < F.col("y.label"))
