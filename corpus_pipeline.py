@@ -47,12 +47,9 @@ def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids with the end id, and whether decoding them gives the text again."""
     return encode_pieces(
         docs.select("doc_id", "source", "text"), public_tokenizers.path("piece_bpe_32k.model"),
-        {"n_tokens": lambda ids, n, decoded: n,
-         "ids": lambda ids, n, decoded: [int(i) for i in ids.split(" ")],
-         "decoded": lambda ids, n, decoded: decoded},
-        {"n_tokens": "bigint", "ids": "array<bigint>", "decoded": "string"}).select(
-            "doc_id", "source", "n_tokens", "ids",
-            (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+        {"n_tokens": lambda e: e.n_tokens, "ids": lambda e: e.numbers,
+         "round_trip": lambda e: e.decoded == e.text},
+        {"n_tokens": "bigint", "ids": "array<int>", "round_trip": "boolean"}, drop=("text",))
 
 
 STAGES = [("quality_rules", quality_rules), ("ngram_jaccard_join", ngram_jaccard_join),

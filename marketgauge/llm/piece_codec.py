@@ -5,7 +5,9 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -17,6 +19,19 @@ CACHE = 500_000  # segments a worker keeps
 CHARS = 2_000_000  # characters that are encoded together
 
 
+class Encoded(NamedTuple):
+    """A text, its ids with the end id (decimals and blanks), their number, the decoded text."""
+
+    text: str
+    ids: str
+    n_tokens: int
+    decoded: str
+
+    @property
+    def numbers(self) -> np.ndarray:
+        return np.fromstring(self.ids, dtype=np.int32, sep=" ")
+
+
 class PieceCodec:
     """Encodes by an agenda of adjacent symbol pairs, and decodes, as the library does.
 
@@ -51,7 +66,8 @@ class PieceCodec:
         self.lines = not any("\n" in p for p in self.ids if len(p) > 1)
         self.segments = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n" if self.lines
                                    else f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
-        self.known: dict[str, tuple[str, int]] = {}
+        self.names = [str(i) for i in range(len(proto.pieces))]
+        self.known: dict[str, str] = {}  # the ids of a segment
         self.again: set[str] = set()
 
     def merged(self, segment: str) -> list[str]:
@@ -97,14 +113,12 @@ class PieceCodec:
         return [s for s in symbols if s]
 
     def encoded(self, segment: str) -> list[int]:
-        out: list[int] = []
-        for s in self.merged(segment):
-            i = self.ids.get(s)
-            if i is None:
-                out.extend(self.bytes[b] for b in s.encode())
-            else:
-                out.append(i)
-        return out
+        pieces = self.merged(segment)
+        out = [self.ids.get(s) for s in pieces]
+        if None not in out:
+            return out
+        return [i for s, known in zip(pieces, out) for i in (
+            [known] if known is not None else [self.bytes[b] for b in s.encode()])]
 
     def learn(self, segments: list[str]) -> None:
         """Encodes new segments and holds each against the library, both ways."""
@@ -113,37 +127,36 @@ class PieceCodec:
         asked = [s[1:] if s[0] == SPACE else "\n" + s for s in segments]
         told = self.library.encode(asked, num_threads=1)
         back = self.library.decode(ids, num_threads=1)
-        for s, mine, theirs, text in zip(segments, ids, told, back):
-            plain = s.replace(SPACE, " ")
-            marked = s[0] == SPACE
-            theirs = theirs if marked else theirs[2:]
+        names, known = self.names, self.known
+        for s, ask, mine, theirs, text in zip(segments, asked, ids, told, back):
+            if s[0] != SPACE:
+                theirs = theirs[2:]
+                same = text == s
+            else:
+                same = text == (ask.replace(SPACE, " ") if SPACE in ask else ask)
             # A mark alone has nothing to merge, and no text of its own to ask with.
-            if s != SPACE and theirs != mine or text != plain[marked:]:
+            if not same or theirs != mine and s != SPACE:
                 raise ValueError(f"the library encodes {s!r} in another way")
-            self.known[s] = " ".join(map(str, mine)), len(mine)
+            known[s] = " ".join([names[i] for i in mine])
 
     def normalized(self, text: str) -> str:
         return SPACE + text.replace(" ", SPACE) if text else ""
 
-    def encode_batch(self, texts: list[str]) -> list[tuple[str, int, str]]:
-        """For each text its ids with the end id, as decimals and blanks, their number, and the
-        decoded text."""
+    def encode_batch(self, texts: list[str]) -> list[Encoded]:
         cut = [self.segments(self.normalized(t)) for t in texts]
         wanted = set().union(*cut)
         if len(self.known) > CACHE:  # those that came again of late stay
             self.known = {s: k for s, k in self.known.items() if s in self.again}
             self.again = set()
-        self.again.update(s for s in wanted if s in self.known)
+        self.again |= self.known.keys() & wanted
         new = wanted.difference(self.known)
         if new:
             self.learn(list(new))
-        known, out = self.known, []
-        for segments in cut:
-            found = [known[s] for s in segments]
-            ids = [f[0] for f in found]
-            ids.append(str(self.end))
-            out.append((" ".join(ids), sum([f[1] for f in found]) + 1,
-                        "".join(segments).replace(SPACE, " ")[1:]))
+        ids_of, end, out = self.known.__getitem__, self.names[self.end], []
+        for text, segments in zip(texts, cut):
+            ids = " ".join([*map(ids_of, segments), end])
+            out.append(Encoded(text, ids, ids.count(" ") + 1,
+                               "".join(segments).replace(SPACE, " ")[1:]))
         return out
 
 
@@ -157,48 +170,48 @@ def codec(path: str) -> PieceCodec:
     return CODECS[path]
 
 
-def encode_pieces(docs: DataFrame, path: str, columns: dict[str, Callable[[str, int, str], object]],
+ARROW = {"bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_(),
+         "array<int>": pa.list_(pa.int32())}
+
+
+def encode_pieces(docs: DataFrame, path: str, columns: dict[str, Callable[[Encoded], object]],
                   types: dict[str, str], text: str = "text", drop: tuple[str, ...] = ()
                   ) -> DataFrame:
-    """Adds a column for each of `columns`: a function of (ids, n_tokens, decoded text).
-
-    `types` has the Spark types of the new columns, `drop` names columns that are not wanted in the
-    result. Texts are taken whole, NULL as the empty text, whose ids are the end id alone. Rows are
-    encoded one by one in Arrow batches with no exchange: equal rows give equal results, an empty
-    table no rows; other columns go through, columns of the new names are replaced. A worker keeps
-    at most CACHE segments and works on about CHARS characters, or one text, at a time.
+    """Adds a column for each of `columns`: a function of what was encoded.
+
+    `types` has the Spark types of the new columns (those of ARROW), `drop` names columns that are
+    not wanted in the result. Texts are taken whole, NULL as the empty text, whose ids are the end
+    id alone. Rows are encoded one by one in Arrow batches with no exchange: equal rows give equal
+    results, an empty table no rows; other columns go through, columns of the new names are
+    replaced. A worker keeps about CACHE segments, and works on and gives out about CHARS
+    characters, or one text, at a time.
     """
     source = docs.drop(*columns)
     kept = [f for f in source.schema.fields if f.name not in drop]
-    new = [T.StructField(n, T._parse_datatype_string(types[n])) for n in columns]
-    schema = T.StructType([*kept, *new])
-    arrow = {"bigint": pa.int64(), "string": pa.string(), "array<bigint>": pa.list_(pa.int64())}
-    kinds = [arrow[f.dataType.simpleString()] for f in new]
+    schema = T.StructType([*kept, *[T.StructField(n, T._parse_datatype_string(types[n]))
+                                    for n in columns]])
+    names = [f.name for f in kept]
+
+    def parts(batch: pa.RecordBatch) -> Iterator[tuple[int, list[str]]]:
+        begin, texts, size = 0, [], 0
+        for i, x in enumerate(batch.column(text)):
+            texts.append(x.as_py() or "")
+            size += len(texts[-1])
+            if size > CHARS:
+                yield begin, texts
+                begin, texts, size = i + 1, [], 0
+        if texts:
+            yield begin, texts
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in batches:
-            rows: list[list] = [[] for _ in new]
-            waiting: list[str] = []
-            size = 0
-
-            def work() -> None:
-                for found in c.encode_batch(waiting):
-                    for out, fn in zip(rows, columns.values()):
-                        out.append(fn(*found))
-                waiting.clear()
-
-            for x in batch.column(text):
-                waiting.append(x.as_py() or "")
-                size += len(waiting[-1])
-                if size > CHARS:
-                    work()
-                    size = 0
-            if waiting:
-                work()
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(f.name) for f in kept],
-                 *[pa.array(r, type=k) for r, k in zip(rows, kinds)]],
-                names=[f.name for f in schema.fields])
+            for begin, texts in parts(batch):
+                found = c.encode_batch(texts)
+                new = [pa.array([fn(e) for e in found], type=ARROW[types[n]])
+                       for n, fn in columns.items()]
+                part = batch.slice(begin, len(texts))
+                yield pa.RecordBatch.from_arrays([*[part.column(n) for n in names], *new],
+                                                 names=[*names, *columns])
 
     return source.mapInArrow(encoded, schema)

@@ -64,9 +64,8 @@ def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(
         documents(spark, sf_dir).select("doc_id", "text"),
         public_tokenizers.path("piece_bpe_32k.model"),
-        {"n_tokens": lambda ids, n, decoded: n,
-         "ids_sha256": lambda ids, n, decoded: sha256(ids),
-         "decoded_sha256": lambda ids, n, decoded: sha256(decoded)},
+        {"n_tokens": lambda e: e.n_tokens, "ids_sha256": lambda e: sha256(e.ids),
+         "decoded_sha256": lambda e: sha256(e.decoded)},
         {"n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"},
         drop=("text",))
 
@@ -99,7 +98,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = fit_languages(docs.filter(fold_of("doc_id") != 0))
     found = predict_languages(docs.select("doc_id", "text"), model)
-    return found.select("doc_id", (fold_of("doc_id") == 0).alias("held_out"), "lang_pred", "score")
+    held_out = F.coalesce(fold_of("doc_id") == 0, F.lit(False)).alias("held_out")
+    return found.select("doc_id", held_out, "lang_pred", "score")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (

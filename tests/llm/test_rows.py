@@ -51,7 +51,8 @@ def test_cascade_stops_at_the_first_broken_rule():
 
 
 def test_codec_is_the_library(documents, odd, empty):
-    columns = {"ids": lambda i, n, d: i, "n_tokens": lambda i, n, d: n, "back": lambda i, n, d: d}
+    columns = {"ids": lambda e: e.ids, "n_tokens": lambda e: e.n_tokens,
+               "back": lambda e: e.decoded}
     kinds = {"ids": "string", "n_tokens": "bigint", "back": "string"}
     library = PieceCodec(MODEL).library
     for df in (documents, odd):
