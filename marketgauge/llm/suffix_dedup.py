@@ -18,9 +18,11 @@ GROUP = 250_000  # suffixes of one prefix that are put into memory together
 BATCH = 600_000  # words of suffixes a tree is built over, whole groups apart
 PLACE = 28  # bits of a place in a text
 NO_KEY = -2 ** 63
+SECOND = 0xD6E8FEB86659FD93  # factor of the second half of a window's code
 LINKS = ("id long, hash long, grams array<long>, first array<int>, last array<int>, "
          "times array<int>")
-PARTS = "id long, hash long, first int, gram long, words binary, h1 long, h2 long"
+PARTS = ("id long, hash long, first int, gram long, words binary, h1 long, h2 long, "
+         "starts array<int>")
 SPANS = "id long, hash long, start int, stop int"
 
 
@@ -141,32 +143,42 @@ def repeated_spans(texts: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
                 ["id", "hash", "grams", "first", "last", "times"])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "hash", "first", "gram", "words", "h1", "h2"]
+        names = ["id", "hash", "first", "gram", "words", "h1", "h2", "starts"]
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(),
-                 pa.int64()]
+                 pa.int64(), pa.list_(pa.int32())]
+
+        def packed(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+
         for batch in batches:
             rows: list[tuple] = []
             for k, (i, h, x, found) in enumerate(zip(*(batch.column(c) for c in range(4)))):
                 i, h, words = i.as_py(), h.as_py(), x.as_py().split()
-                ones = twos = None
+                hot = []
                 for a in found.as_py():
-                    if not a["hot"]:
+                    if a["hot"]:
+                        hot.append(np.arange(a["first"], a["last"] + 1))
+                    else:
                         rows.append((i, h, a["first"], a["gram"],
-                                     b" ".join(words[a["first"]:a["last"] + window]), None, None))
-                        continue
-                    if ones is None:
-                        codes = next(code_slices(batch.column(2).slice(k, 1), fold=False))[1]
-                        ones = runs(codes, window).view(np.int64)
-                        twos = runs(codes, window, 0xD6E8FEB86659FD93).view(np.int64)
-                    rows += [(i, h, s, a["gram"], None, int(ones[s]), int(twos[s]))
-                             for s in range(a["first"], a["last"] + 1)]
+                                     b" ".join(words[a["first"]:a["last"] + window]), None, None,
+                                     None))
+                if hot:  # one row for each different window of the text, with all its places
+                    starts = np.concatenate(hot)
+                    codes = next(code_slices(batch.column(2).slice(k, 1), fold=False))[1]
+                    ones = runs(codes, window).view(np.int64)[starts]
+                    twos = runs(codes, window, SECOND).view(np.int64)[starts]
+                    order = np.lexsort((starts, twos, ones))
+                    starts, ones, twos = starts[order], ones[order], twos[order]
+                    new = np.flatnonzero(np.concatenate((
+                        [True], (ones[1:] != ones[:-1]) | (twos[1:] != twos[:-1]))))
+                    rows += [(i, h, None, None, None, int(ones[n]), int(twos[n]), at)
+                             for n, at in zip(new, np.split(starts, new[1:]))]
                 if len(rows) > 20_000:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+                    yield packed(rows)
                     rows = []
             if rows:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+                yield packed(rows)
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -196,11 +208,11 @@ def repeated_spans(texts: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
 
     near = (parts(False).select("id", "hash", "first", "gram", "words")
             .repartition("gram").sortWithinPartitions("gram").mapInArrow(trees, SPANS))
-    deep = parts(True).select("id", "hash", "first", "h1", "h2")
-    twice = deep.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    far = deep.join(twice, ["h1", "h2"]).select(
-        "id", "hash", F.col("first").alias("start"), (F.col("first") + window).alias("stop"))
-    return near.unionByName(far)
+    deep = parts(True).select("id", "hash", "h1", "h2", "starts")
+    twice = (deep.groupBy("h1", "h2").agg(F.sum(F.size("starts")).alias("n")).filter("n > 1")
+             .drop("n"))
+    far = deep.join(twice, ["h1", "h2"]).select("id", "hash", F.explode("starts").alias("start"))
+    return near.unionByName(far.withColumn("stop", F.col("start") + window))
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW,
