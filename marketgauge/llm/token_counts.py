@@ -22,7 +22,7 @@ BLOCK_CHARS = 32_000_000
 BLOCK_DOCS = 65_000  # below 2 ** 16, as places in a block take two bytes
 HOT_SHARE = 16  # a pre-token in one of so many documents of a block is spread over SALTS tasks
 SALTS = 256
-HELD = 4_000_000  # sums a task holds before it passes them on
+HELD = 2_000_000  # sums a task holds before it passes them on
 NO_KEY = -2 ** 63
 POSTINGS = "pretoken string, salt int, block long, docs binary, counts binary"
 PARTIAL = "block long, kind int, docs binary, counts binary"
@@ -111,9 +111,17 @@ class Block:
 
     def postings(self, number: int) -> Iterator[pa.RecordBatch]:
         n = len(self.keys)
-        doc = np.repeat(np.arange(n), [len(c) for c in self.chunks])
-        pairs, times = summed(np.concatenate(self.chunks) * n + doc, np.ones(len(doc), np.int64))
+        lengths = [len(c) for c in self.chunks]
+        pairs = np.concatenate(self.chunks)
         self.chunks.clear()
+        # In place: a block's tokens are there once, not in several arrays.
+        pairs *= n
+        pairs += np.repeat(np.arange(n, dtype=np.int32), lengths)
+        pairs.sort()
+        first = np.flatnonzero(np.concatenate(([True], pairs[1:] != pairs[:-1]))) if len(
+            pairs) else np.zeros(0, np.int64)
+        times = np.diff(np.append(first, len(pairs)))
+        pairs = pairs[first]
         # Each chunk becomes its pre-tokens.
         names: dict[str, int] = {}
         parts = [[names.setdefault(p, len(names)) for p in self.cutter.cut(c)]
