@@ -25,6 +25,7 @@ from .encoders import (INFREQUENT, TargetTable, frequent_levels, spline_basis, s
 from .sampling import ROW_KEY, hash_ranks
 
 MAX_LEVELS = 1000
+DEEPEST = 30  # the deepest tree of MLlib
 
 
 # ---- weights and trivial baselines ----

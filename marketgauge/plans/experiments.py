@@ -52,11 +52,13 @@ def boosted_fit(train: DataFrame, **params) -> models.Trained:
     return models.fit(train, *boosted_parts(**params))
 
 
-def forest_parts(trees: int = 100, depth: int = 30, min_leaf: int = 10,
+def forest_parts(trees: int = 100, depth: int | None = 30, min_leaf: int = 10,
                  split_width: str = "sqrt"):
-    """`split_width`: share of the inputs tried at a split ("sqrt", "0.3", "0.5")."""
-    estimator = models.forest(weight=None, trees=trees, depth=depth, min_leaf=min_leaf,
-                              featureSubsetStrategy=split_width)
+    """`split_width`: share of the inputs tried at a split ("sqrt", "0.3", "0.5"). `depth` None is
+    as deep as MLlib goes."""
+    estimator = models.forest(weight=None, trees=trees,
+                              depth=models.DEEPEST if depth is None else depth,
+                              min_leaf=min_leaf, featureSubsetStrategy=split_width)
     return estimator, models.Preprocessor(numeric=NUMBERS, target=TARGETS, flags=True)
 
 
