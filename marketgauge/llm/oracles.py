@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from .curriculum_mix import MAX_READINGS, SHARE, WEIGHTS
 from .curriculum_mix import SEED as MIX_SEED
+from .lexical_search import TOP
+from .line_dedup import MIN_CHARS, MIN_DOCS
 from .merkle_fingerprints import LEAF, PARAGRAPH
 from .parity_join import PERCENT, SHINGLE
 from .secret_scan import (ACCESS, ALLOWED, ASSIGN, CANDIDATE, CLASSES, HEX, KINDS, MIN_VALUE,
@@ -236,7 +238,96 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
   coalesce(spans, '') AS spans
 FROM d LEFT JOIN joined USING (doc_id)"""
 
+LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+LINES = f"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+e AS (
+  SELECT doc_id, i, l[i] AS line, translate(trim(l[i], ' ' || chr(9) || chr(10) || chr(11)
+    || chr(12) || chr(13)), {LETTERS}) AS k FROM d, unnest(range(1, len(l) + 1)) AS r(i)),
+often AS (
+  SELECT k, max(doc_id) AS last FROM e WHERE length(k) >= {MIN_CHARS} GROUP BY k
+  HAVING count(DISTINCT doc_id) >= {MIN_DOCS}),
+told AS (
+  SELECT e.*, last IS NOT NULL AND last <> doc_id AS gone FROM e LEFT JOIN often USING (k))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM told GROUP BY doc_id"""
+
+# Equal runs of six words a period apart, joined to stretches of one diagonal: any run has one.
+RUNS = rf"""
+WITH RECURSIVE steps AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda a, b:
+    CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS crc),
+hashed AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w,
+    xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(
+      regexp_extract_all(hex(encode(doc_id::VARCHAR)), '..'), lambda x: ('0x' || x)::BIGINT)),
+      lambda a, b: xor(a >> 8, crc[(xor(a, b) & 255) + 1]))) AS h
+  FROM documents, steps),
+planned AS (
+  SELECT doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS changed,
+    CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a, 3 + (h // 10) % 8 AS c FROM hashed),
+d AS (
+  SELECT doc_id, n, CASE WHEN changed THEN list_transform(range(n), lambda i:
+    w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // c) END]) ELSE w END AS w
+  FROM planned),
+grams AS (
+  SELECT doc_id, i, array_to_string(w[i + 1:i + 6], ' ') AS g
+  FROM d, unnest(range(greatest(n - 5, 0))) AS r(i)),
+often AS (SELECT doc_id, g, list(i ORDER BY i) AS spots FROM grams GROUP BY ALL HAVING count(*) > 1),
+firsts AS (SELECT doc_id, spots, unnest(range(1, len(spots) + 1)) AS k FROM often),
+pairs AS (
+  SELECT doc_id, spots[k] AS i, unnest(spots[k + 1:]) - spots[k] AS lag FROM firsts),
+islands AS (
+  SELECT doc_id, lag, min(i) AS start, count(*) + 5 AS overlap FROM (
+    SELECT *, i - row_number() OVER (PARTITION BY doc_id, lag ORDER BY i) AS b FROM pairs)
+  GROUP BY doc_id, lag, b),
+runs AS (
+  SELECT doc_id, start, overlap + lag AS length, min(lag) AS period FROM islands
+  WHERE overlap >= greatest(12 - lag, lag) GROUP BY doc_id, start, overlap + lag),
+spans AS (
+  SELECT doc_id, start + period AS a, start + length AS b FROM runs),
+gone AS (SELECT DISTINCT doc_id, unnest(range(a, b)) AS i FROM spans),
+told AS (
+  SELECT doc_id, count(*) AS n_runs, arg_min({{'s': start, 'l': length, 'p': period}},
+      (-length, start, period)) AS best,
+    string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS r
+  FROM runs GROUP BY doc_id),
+kept AS (
+  SELECT d.doc_id, string_agg(w[x.i + 1], ' ' ORDER BY x.i) AS c
+  FROM d, unnest(range(n)) AS x(i) LEFT JOIN gone g ON g.doc_id = d.doc_id AND g.i = x.i
+  WHERE g.i IS NULL GROUP BY d.doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.l AS length,
+  best.p AS period, 1000 * best.l // best.p AS exponent_milli,
+  sha256(coalesce(r, '')) AS runs_sha256, sha256(coalesce(c, '')) AS collapsed_sha256
+FROM d LEFT JOIN told USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+SEARCH = rf"""
+WITH words AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, {LETTERS}), '{TERM}')) AS term
+  FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+sizes AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY doc_id),
+whole AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM sizes),
+m AS (SELECT doc_id, 10 + (90 * n * docs) // terms AS m FROM sizes, whole),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w
+  FROM tf, whole GROUP BY term, docs),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, {LETTERS}), '{TERM}')) AS term
+  FROM benchmark),
+scored AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM asked JOIN w USING (term) JOIN tf USING (term) JOIN m USING (doc_id) GROUP BY ALL),
+ranked AS (
+  SELECT item_id, doc_id, score,
+    row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank
+  FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= {TOP}"""
+
 ORACLES: dict[str, str] = {
     "op1_quality_cascade": QUALITY, "op2_stratified_shards": SHARDING,
     "op3_curriculum_mix": MIXING, "op4_merkle_fingerprints": FINGERPRINTS,
-    "op7_parity_join": JACCARD, "op8_suffix_dedup": REPEATS, "op9_secret_scan": SECRETS}
+    "op7_parity_join": JACCARD, "op8_suffix_dedup": REPEATS, "op9_secret_scan": SECRETS,
+    "op11_line_dedup": LINES, "op12_periodic_runs": RUNS, "op13_lexical_search": SEARCH}

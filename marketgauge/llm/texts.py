@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -58,3 +60,21 @@ def totals_before(df: DataFrame, group: list[str], bucket: str, order: list[str]
     on = [*grouped, F.col(bucket) == F.col(f"_{bucket}")]
     return (local.join(offsets, on).withColumn(name, F.col("_local") + F.col("_offset"))
             .drop("_local", "_offset", *[f"_{k}" for k in keys]))
+
+
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of an operator's own that no column of `df` has, in either case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once. A column that a lambda names is put into it as an
+    expression, which runs again for every element; a lambda's own variable is not."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
