@@ -8,8 +8,8 @@ from .lexical_search import TOP
 from .line_dedup import MIN_CHARS, MIN_DOCS
 from .merkle_fingerprints import LEAF, PARAGRAPH
 from .parity_join import PERCENT, SHINGLE
-from .secret_scan import (ACCESS, ALLOWED, ASSIGN, CANDIDATE, CLASSES, HEX, KINDS, MIN_VALUE,
-                          WINDOW)
+from .secret_scan import (ACCESS, ALLOWED, ASSIGN, CANDIDATE, CAPITALS, CLASSES, HEAD, HEX, KINDS,
+                          MIN_VALUE, MIXED_BITS, PART, WINDOW)
 from .stratified_shards import SEED as SHARD_SEED
 from .stratified_shards import SHARDS
 from .suffix_dedup import WINDOW as REPEAT
@@ -187,7 +187,7 @@ SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed,
 FROM d LEFT JOIN kept USING (doc_id)"""
 
 
-def hits(kind: str, pattern: str, group: int, condition: str) -> str:
+def hits(kind: str, pattern: str, group: int, condition: str, source: str = "d") -> str:
     """Matches with the gap before each; their places follow by running sums."""
     p = quoted(pattern)
     return f"""SELECT doc_id, '{kind}' AS kind, hit, part, e - length(hit) AS start, e AS "end"
@@ -196,12 +196,32 @@ def hits(kind: str, pattern: str, group: int, condition: str) -> str:
     FROM (SELECT doc_id, generate_subscripts(h, 1) AS k, unnest(h) AS hit, unnest(g) AS part,
         unnest(gaps[1:len(h)]) AS gap
       FROM (SELECT doc_id, regexp_extract_all(t, {p}) AS h, regexp_extract_all(t, {p}, {group})
-          AS g, string_split_regex(t, {p}) AS gaps FROM d)))
+          AS g, string_split_regex(t, {p}) AS gaps FROM {source})))
   WHERE {condition}"""
 
 
+def blanked(source: str, spans: str) -> str:
+    """The texts of `source` with a blank for every character in one of `spans`."""
+    return f"""
+  SELECT doc_id, t FROM {source} ANTI JOIN {spans} USING (doc_id) UNION ALL
+  SELECT c.doc_id, string_agg(CASE WHEN g.i IS NULL THEN c.c ELSE ' ' END, '' ORDER BY c.i) AS t
+  FROM (SELECT doc_id, unnest(string_split(t, '')) AS c, unnest(range(length(t))) AS i
+        FROM {source} SEMI JOIN {spans} USING (doc_id)) c
+  LEFT JOIN (SELECT DISTINCT doc_id, unnest(range(start, "end")) AS i FROM {spans}) g
+    ON g.doc_id = c.doc_id AND g.i = c.i GROUP BY c.doc_id"""
+
+
+def letters(pattern: str) -> str:
+    return f"length(regexp_replace(hit, '[^{pattern}]', '', 'g'))"
+
+
+# Letters of both cases alone are a class of their own, unless they hold a placeholder word.
+MIXED_SQL = f"""WHEN NOT regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[a-z]')
+  AND regexp_matches(hit, '[A-Z]') AND NOT regexp_matches(hit, {quoted(ALLOWED[-1])})
+  AND {letters('A-Z')} / {letters('A-Za-z')} BETWEEN {CAPITALS[0]} AND {CAPITALS[1]}
+  THEN {MIXED_BITS}"""
 ENTROPY = " ".join(
-    [f"WHEN regexp_matches(hit, {quoted(a)}) THEN 99" for a in ALLOWED]
+    [MIXED_SQL] + [f"WHEN regexp_matches(hit, {quoted(a)}) THEN 99" for a in ALLOWED]
     + [f"WHEN regexp_matches(hit, {quoted(p)}) THEN {bits}" for _, p, _, bits in CLASSES])
 SECRETS = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
@@ -209,7 +229,10 @@ base AS (
   {hits("assign", ASSIGN, 2, f"length(part) >= {MIN_VALUE}")}
   UNION ALL {hits("access", ACCESS, 0, "true")}
   UNION ALL {hits("hex", HEX, 0, "true")}),
-candidates AS ({hits("entropy", CANDIDATE, 0, "true")}),
+beside AS ({blanked("d", "base")}),
+parts AS ({hits("part", PART.removeprefix(HEAD), 0, "true", "beside")}),
+rest AS ({blanked("beside", "parts")}),
+candidates AS ({hits("entropy", CANDIDATE, 0, "true", "rest")}),
 classed AS (SELECT *, CASE {ENTROPY} END AS bits FROM candidates),
 letters AS (
   SELECT doc_id, start, i, c, count(*) AS n FROM (
@@ -223,8 +246,7 @@ tops AS (
 found AS (
   SELECT doc_id, kind, start, "end" FROM base
   UNION ALL SELECT c.doc_id, c.kind, c.start, c."end" FROM classed c
-  JOIN tops p ON p.doc_id = c.doc_id AND p.start = c.start WHERE h >= bits AND NOT EXISTS (
-    SELECT 1 FROM base b WHERE b.doc_id = c.doc_id AND b.start < c."end" AND c.start < b."end")),
+  JOIN tops p ON p.doc_id = c.doc_id AND p.start = c.start WHERE h >= bits),
 told AS (
   SELECT *, concat_ws(':', kind, start::VARCHAR, "end"::VARCHAR) AS s,
     list_position({list(KINDS)}, kind) AS rank FROM found),

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .texts import whole_text
+from .texts import bound, whole_text
 
 
 def either_case(word: str) -> str:
@@ -41,7 +42,8 @@ ALLOWED = (
 SPAN = "array<struct<start:int,end:int,kind:string>>"
 # The parts of a path or assignment that hold a word of the last pattern above: from one / or = to
 # the next. A look-behind lets a search start at the head of a part alone.
-PART = r"(?<![A-Za-z0-9+_-])[A-Za-z0-9+_-]*" + ALLOWED[-1] + r"[A-Za-z0-9+_-]*"
+HEAD = "(?<![A-Za-z0-9+_-])"
+PART = HEAD + r"[A-Za-z0-9+_-]*" + ALLOWED[-1] + r"[A-Za-z0-9+_-]*"
 # Candidates without a digit, of both cases: words have few capitals. Of random letters of both
 # cases, 94 (20 letters) to 99.9 (40) of 100 reach these bits with such a share of capitals.
 MIXED = r"^(?=[^0-9]*[a-z])(?=[^0-9]*[A-Z])[^0-9]*$"
@@ -77,31 +79,41 @@ def top_entropy(candidate: Column, alphabet: str, window: int = WINDOW) -> Colum
     """The highest entropy, in bits a character, of any `window` characters in a row.
 
     The window moves by one character: one count goes up, one down, and the sum of c * log2(c)
-    changes by their terms alone. H = log2(window) - sum / window.
+    changes by their terms alone. H = log2(window) - sum / window. The candidate is cut up once,
+    and each state is made once: the time is in proportion to the length.
     """
-    terms = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 2)])
-    chars = F.split(candidate, "")
-    start = F.struct(F.array_repeat(F.lit(0), len(alphabet)).alias("n"), F.lit(0.0).alias("sum"),
+    terms = [c * math.log2(c) if c else 0.0 for c in range(window + 2)]
+    rise = F.array(*[F.lit(b - a) for a, b in zip(terms, terms[1:])])
+    size = len(alphabet)
+    start = F.struct(F.array_repeat(F.lit(0), size).alias("n"), F.lit(0.0).alias("sum"),
                      F.lit(0.0).alias("best"))
 
-    def moved(state: Column, char: Column, by: int) -> Column:
-        place = F.instr(F.lit(alphabet), char)
-        count = F.get(state["n"], place - 1)
-        change = F.get(terms, count + by) - F.get(terms, count)
-        return F.struct(F.transform(state["n"], lambda v, k: F.when(
-            k == place - 1, v + by).otherwise(v)).alias("n"),
+    def moved(state: Column, place: Column, by: int) -> Column:
+        count = F.get(state["n"], place)
+        change = F.get(rise, count) if by > 0 else -F.get(rise, count - 1)
+        return F.struct(
+            F.concat(F.slice(state["n"], F.lit(1), place), F.array(count + by),
+                     F.slice(state["n"], place + 2, F.lit(size))).alias("n"),
             (state["sum"] + change).alias("sum"), state["best"].alias("best"))
 
-    def step(state: Column, i: Column) -> Column:
-        state = moved(state, F.get(chars, i), 1)
-        state = F.when(i >= window, moved(state, F.get(chars, i - window), -1)).otherwise(state)
+    def rated(state: Column, i: Column) -> Column:
         bits = math.log2(window) - state["sum"] / window
         return F.struct(state["n"].alias("n"), state["sum"].alias("sum"), F.when(
             (i >= window - 1) & (bits > state["best"]), bits).otherwise(state["best"])
             .alias("best"))
 
-    return F.aggregate(F.sequence(F.lit(0), F.char_length(candidate) - 1), start, step,
-                       lambda s: s["best"])
+    def over(places: Column) -> Column:
+        def step(state: Column, i: Column) -> Column:
+            added = moved(state, F.get(places, i), 1)
+            left = lambda s: F.when(i >= window, moved(s, F.get(places, i - window), -1)
+                                    ).otherwise(s)
+            return bound(added, lambda s: bound(left(s), lambda t: rated(t, i)))
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(places) - 1), start, step,
+                           lambda s: s["best"])
+
+    chars = F.split(candidate, "")
+    return bound(F.transform(chars, lambda c: F.instr(F.lit(alphabet), c) - 1), over)
 
 
 def is_random(candidate: Column, classes=CLASSES, allowed=ALLOWED, window: int = WINDOW) -> Column:
@@ -120,19 +132,41 @@ def is_random(candidate: Column, classes=CLASSES, allowed=ALLOWED, window: int =
     return verdict.otherwise(F.lit(False))
 
 
-def masked(text: Column, spans: Column) -> Column:
-    """The text with blanks in the place of each span; all places stay. Spans are in order."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
+def disjoint(spans: Column) -> Column:
+    """Spans in order, those that overlap made one."""
     def step(state: Column, s: Column) -> Column:
-        begin = F.greatest(s["start"], state["at"])
-        gap = F.substring(text, state["at"] + 1, begin - state["at"])
-        blank = F.repeat(F.lit(" "), s["end"] - begin)
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"),
-                        F.concat(state["out"], gap, blank).alias("out"))
+        last = F.element_at(state, -1)
+        wider = F.struct(last["start"].alias("start"),
+                         F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"))
+        return F.when((F.size(state) > 0) & (s["start"] < last["end"]), F.concat(
+            F.slice(state, F.lit(1), F.size(state) - 1), F.array(wider))
+            ).otherwise(F.concat(state, F.array(s)))
 
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, step, lambda s: (
-        F.concat(s["out"], F.substring(text, s["at"] + 1, F.char_length(text))))))
+    return F.aggregate(spans, F.array().cast(SPAN), step)
+
+
+def replaced(text: Column, spans: Column, put: Callable[[Column], Column]) -> Column:
+    """The text with `put` of each span in its place; spans that overlap are one. Spans are in
+    order. The text is cut up once, whatever the number of spans."""
+    def piece(chars: Column, apart: Column) -> Callable[[Column, Column], Column]:
+        def one(s: Column, i: Column) -> Column:
+            begin = F.when(i == 0, 0).otherwise(F.get(apart, i - 1)["end"])
+            gap = F.slice(chars, begin + 1, s["start"] - begin)
+            return F.concat(F.array_join(gap, ""), put(s))
+        return one
+
+    def joined(chars: Column, apart: Column) -> Column:
+        end = F.element_at(apart, -1)["end"]
+        tail = F.array_join(F.slice(chars, end + 1, F.size(chars)), "")
+        return F.concat(F.array_join(F.transform(apart, piece(chars, apart)), ""), tail)
+
+    return F.when(F.size(spans) == 0, text).otherwise(bound(F.split(text, ""), lambda chars: bound(
+        disjoint(spans), lambda apart: joined(chars, apart))))
+
+
+def masked(text: Column, spans: Column) -> Column:
+    """The text with blanks in the place of each span; all places stay."""
+    return replaced(text, spans, lambda s: F.repeat(F.lit(" "), s["end"] - s["start"]))
 
 
 def scan_secrets(docs: DataFrame, text: str = "text", window: int = WINDOW, classes=CLASSES,
@@ -142,33 +176,44 @@ def scan_secrets(docs: DataFrame, text: str = "text", window: int = WINDOW, clas
     Places are code points from 0, `end` is exclusive. Known forms are always kept and may overlap
     each other; what is left of a candidate beside them is judged by itself, so a span of high
     entropy overlaps none of them. A placeholder word lets its own part of a path through (from
-    one / or = to the next), not the parts beside it. NULL and empty texts have an empty array. A column of that name in the input is replaced. Rows are
-    looked at one by one: no exchange.
+    one / or = to the next), not the parts beside it. NULL and empty texts have an empty array. A
+    column of that name in the input is replaced. Rows are looked at one by one: no exchange. The
+    time is in proportion to the length of a text, and of a candidate.
     """
-    whole = whole_text(text)
+    return docs.withColumn(name, secrets_of(whole_text(text), window, classes, allowed))
+
+
+def secrets_of(whole: Column, window: int = WINDOW, classes=CLASSES, allowed=ALLOWED) -> Column:
+    """The spans of `scan_secrets` as an expression."""
+    none = F.array().cast(SPAN)
     long_values = F.transform(F.regexp_extract_all(whole, F.lit(ASSIGN), 2),
                               lambda v: F.char_length(v) >= MIN_VALUE)
     known = F.concat(located(whole, ASSIGN, "assign", long_values),
                      F.when(whole.contains("AKIA"), located(whole, ACCESS, "access"))
-                     .otherwise(F.array().cast(SPAN)), located(whole, HEX, "hex"))
-    known = F.array_sort(known)  # by start
-    rest = F.col("_rest")
-    random = F.transform(F.regexp_extract_all(rest, F.lit(CANDIDATE), 0),
-                         lambda c: is_random(c, classes, allowed, window))
-    added = located(rest, CANDIDATE, "entropy", random)
+                     .otherwise(none), located(whole, HEX, "hex"))
     rank = F.array(*map(F.lit, KINDS))
-    ordered = F.array_sort(F.transform(F.concat("_known", "_added"), lambda s: F.struct(
-        s["start"].alias("start"), F.array_position(rank, s["kind"]).alias("rank"),
-        s["end"].alias("end"), s["kind"].alias("kind"))))
-    beside = masked(whole, F.col("_known"))
-    parts = F.when(F.col("_rest").rlike(CANDIDATE), located(F.col("_rest"), PART, "part"))
-    words = F.coalesce(parts, F.array().cast(SPAN))
-    return (docs.drop(name).withColumn("_known", known).withColumn("_rest", beside)
-            .withColumn("_words", words).withColumn("_rest", masked(rest, F.col("_words")))
-            .withColumn("_added", added)
-            .withColumn(name, F.transform(ordered, lambda s: F.struct(
-                s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-            .drop("_known", "_added", "_rest", "_words"))
+
+    def ordered(spans: Column) -> Column:
+        keyed = F.array_sort(F.transform(spans, lambda s: F.struct(
+            s["start"].alias("start"), F.array_position(rank, s["kind"]).alias("rank"),
+            s["end"].alias("end"), s["kind"].alias("kind"))))
+        return F.transform(keyed, lambda s: F.struct(
+            s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
+
+    def judged(rest: Column) -> Column:
+        random = F.transform(F.regexp_extract_all(rest, F.lit(CANDIDATE), 0),
+                             lambda c: is_random(c, classes, allowed, window))
+        return located(rest, CANDIDATE, "entropy", random)
+
+    def beside(rest: Column) -> Column:
+        """Spans of high entropy in a text whose known forms are blank."""
+        words = lambda parts: bound(masked(rest, parts), judged)
+        return F.when(rest.rlike(CANDIDATE), bound(located(rest, PART, "part"), words)
+                      ).otherwise(none)
+
+    # By start; each step is bound, for lambdas would compute it anew for each element.
+    return bound(F.array_sort(known), lambda spans: ordered(F.concat(
+        spans, bound(masked(whole, spans), beside))))
 
 
 def described(spans: Column) -> Column:
@@ -179,16 +224,6 @@ def described(spans: Column) -> Column:
 
 def redact(docs: DataFrame, text: str = "text", tag: str = "[SECRET]") -> DataFrame:
     """Puts `tag` in the place of each secret; spans that overlap become one. NULL stays NULL."""
-    scanned = scan_secrets(docs, text, name="_secrets")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(state: Column, s: Column) -> Column:
-        apart = s["start"] >= state["at"]
-        gap = F.substring(F.col(text), state["at"] + 1, s["start"] - state["at"])
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(
-            apart, F.concat(state["out"], gap, F.lit(tag))).otherwise(state["out"]).alias("out"))
-
-    clean = F.aggregate("_secrets", start, step, lambda s: F.concat(
-        s["out"], F.substring(F.col(text), s["at"] + 1, F.char_length(F.col(text)))))
-    return (scanned.withColumn(text, F.when(F.size("_secrets") > 0, clean).otherwise(F.col(text)))
-            .drop("_secrets"))
+    clean = bound(secrets_of(whole_text(text)), lambda spans: replaced(
+        F.col(text), spans, lambda s: F.lit(tag)))
+    return docs.withColumn(text, clean)
