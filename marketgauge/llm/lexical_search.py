@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut
-from .texts import ROWS_PER_BUCKET
 
 TOP = 10
 # Fixed values of the score: full credit of a term, saturation, and the share of the length in it.
@@ -22,6 +21,7 @@ CREDIT, TF_SCALE, LENGTH_SCALE = 1_000_000_000, 1000, 8
 LENGTH_SHARE = 90
 # A block of items: so many at most, with so many terms together (one item may have more).
 BLOCK_ITEMS, BLOCK_TERMS = 2048, 400_000
+ROWS_PER_TASK = 20_000
 POSTINGS = 4_000_000  # postings of whole strata that a task holds at once
 SALTS = 64
 # Bytes of terms, A-Z as a-z; all others part the terms.
@@ -223,9 +223,10 @@ def search_block(docs: DataFrame, block: list, key: str, text: str, top: int,
         dtype=np.int64)
     m = F.expr(f"{100 - LENGTH_SHARE}L + (({LENGTH_SHARE}L * n * {total.docs}L) div {total.terms}L)")
     rows = index.filter(F.size("terms") > 0).withColumn("m", m)
-    # Documents of one m lie together, spread over partitions by a hash where they are many.
+    # Documents of one m lie together, and go on in the next task where they are many. Strata are
+    # in the order of a hash: those of long documents, with most postings, are not neighbours.
     strata = rows.repartitionByRange(
-        max(1, -(-total.docs // rows_per_task)), "m", F.xxhash64("key", "n")
+        max(1, -(-total.docs // rows_per_task)), F.xxhash64("m"), "m", F.xxhash64("key", "n")
     ).sortWithinPartitions("m", F.col("key").asc_nulls_last())
     found = best_in_tasks(strata, asked, weights, top, postings)
     order = [F.desc("score"), F.col("key").asc_nulls_last()]
@@ -238,7 +239,7 @@ def search_block(docs: DataFrame, block: list, key: str, text: str, top: int,
 
 def ranked_search(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text",
                   item_key: str = "item_id", item_text: str = "text", top: int = TOP,
-                  rows_per_task: int = ROWS_PER_BUCKET, postings: int = POSTINGS,
+                  rows_per_task: int = ROWS_PER_TASK, postings: int = POSTINGS,
                   block_items: int = BLOCK_ITEMS, block_terms: int = BLOCK_TERMS) -> DataFrame:
     """(item_key, rank, key, score): the `top` documents of highest score above 0 for each item.
 
