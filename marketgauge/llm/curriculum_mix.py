@@ -7,7 +7,8 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .texts import ROWS_PER_BUCKET, bucket_digits, shuffle_key, totals_before, word_count
+from .texts import (ROWS_PER_BUCKET, bucket_digits, shuffle_key, spare, totals_before,
+                    word_count)
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -16,7 +17,7 @@ SEED = 7041
 # Weight over training time, as knots of a piecewise linear curve, for each weight of a source:
 # heavy sources fade out, light ones come in late. Only the shape counts, not the scale.
 SCHEDULES = {5: ((0.0, 1.5), (1.0, 0.5)), 1: ((0.0, 0.5), (0.5, 1.0), (1.0, 1.5))}
-INTERNAL = ["_key", "_bucket", "_before", "_of", "_weight", "_demand"]
+NAMES = ("size", "source_size", "target", "taken", "readings")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE,
@@ -66,7 +67,8 @@ def curve_time(knots: tuple[tuple[float, float], ...], share: Column) -> Column:
 def curriculum_mix(docs: DataFrame, size: Column | None = None, weights=WEIGHTS,
                    share: float = SHARE, most: int = MAX_READINGS, schedules=SCHEDULES,
                    seed: int = SEED, key: str = "doc_id", whole: bool = False,
-                   rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+                   ties: tuple[str, ...] = (), rows_per_bucket: int = ROWS_PER_BUCKET
+                   ) -> DataFrame:
     """Adds size, source_size, target, taken and `readings`: array of (position, words).
 
     Within a source the documents stand in a seeded order; the mix reads on through them, again
@@ -77,39 +79,43 @@ def curriculum_mix(docs: DataFrame, size: Column | None = None, weights=WEIGHTS,
     wanted. No document is read more than `most` times.
 
     NULL text and empty text have size 0, are never taken and have no readings. A NULL source is a
-    source. Rows of one key are ordered by size; equal rows are interchangeable. An empty table
-    gives no rows. Columns of these names in the input are replaced.
+    source. The seeded order is of the key and `ties` together: with columns of the contents there,
+    rows of one key (or none) don't stay together; equal rows are interchangeable. An empty table
+    gives no rows. Columns of these names in the input are replaced, others go through.
     """
-    out_names = ["size", "source_size", "target", "taken", "readings"]
-    sized = docs.withColumn("_size", word_count() if size is None else size)
-    sized = sized.drop(*[c for c in out_names + INTERNAL if c in docs.columns])
-    sized = sized.withColumnRenamed("_size", "size")
+    docs = docs.withColumn(spare(docs, "_size")[0], word_count() if size is None else size)
+    counted = docs.columns[-1]
+    sized = docs.drop(*[c for c in NAMES if c in docs.columns]).withColumnRenamed(counted, "size")
+    order_key, bucket, before, of, weight, demand = spare(
+        sized, "_key", "_bucket", "_before", "_of", "_weight", "_demand")
     digits = bucket_digits(docs.count(), rows_per_bucket)
-    keyed = sized.withColumn("_key", shuffle_key(seed, key)).withColumn(
-        "_bucket", F.substring("_key", 1, digits))
-    before = totals_before(keyed, ["source"], "_bucket", ["_key", key, "size"], F.col("size"),
-                           "_before")
+    keyed = sized.withColumn(order_key, shuffle_key(seed, key, *ties)).withColumn(
+        bucket, F.substring(order_key, 1, digits))
+    earlier = totals_before(keyed, ["source"], bucket, [order_key, key, "size"], F.col("size"),
+                            before)
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")),
                              weights, share, most)
-    targets = targets.select(F.col("source").alias("_of"), F.col("weight").alias("_weight"),
-                             "source_size", "target", F.floor("target").alias("_demand"))
-    joined = before.join(targets, F.col("source").eqNullSafe(F.col("_of")))
-    readings = F.array_compact(F.array(*[reading(n, whole, schedules) for n in range(most)]))
+    targets = targets.select(F.col("source").alias(of), F.col("weight").alias(weight),
+                             "source_size", "target", F.floor("target").alias(demand))
+    joined = earlier.join(targets, F.col("source").eqNullSafe(F.col(of)))
+    readings = F.array_compact(F.array(*[
+        reading(n, whole, schedules, before, demand, weight) for n in range(most)]))
     words = F.aggregate("readings", F.lit(0).cast("long"), lambda a, r: a + r["words"])
-    return (joined.withColumn("readings", readings).withColumn("taken", words).drop(*INTERNAL)
-            .withColumn("size", F.col("size").cast("long")))
+    others = [F.col(f"`{c}`") for c in sized.columns if c != "size"]
+    return (joined.withColumn("readings", readings).withColumn("taken", words)
+            .select(*others, F.col("size").cast("long").alias("size"), *NAMES[1:]))
 
 
-def reading(n: int, whole: bool, schedules) -> Column:
+def reading(n: int, whole: bool, schedules, before: str, demand: str, weight_: str) -> Column:
     """Reading n of a document: NULL if the source's demand ends before it."""
-    start = F.col("source_size") * n + F.col("_before")
-    wanted = F.col("_demand") - start
+    start = F.col("source_size") * n + F.col(before)
+    wanted = F.col(demand) - start
     words = (F.when(wanted * 2 >= F.col("size"), F.col("size")) if whole
              else F.least(wanted, F.col("size"))).cast("long")
     share = start / F.col("target")
     at = F.when(F.lit(False), F.lit(0.0))
     for weight, knots in schedules.items():
-        at = at.when(F.col("_weight") == weight, curve_time(knots, share))
+        at = at.when(F.col(weight_) == weight, curve_time(knots, share))
     at = at.otherwise(share)
     return F.when((words > 0) & (F.col("size") > 0),
                   F.struct(at.alias("position"), words.alias("words")))
@@ -127,20 +133,25 @@ def mixed_documents(docs: DataFrame, key: str = "doc_id", **settings) -> DataFra
     """The documents as the mix reads them, in training order: a document that is read twice is
     there twice, one that is not read is gone. Documents are read whole.
 
-    The mix is made from keys, sources and sizes; texts cross one exchange to meet their readings
-    and one to be range-sorted by position. Rows of one key are numbered by their contents, so that
-    each has its own readings.
+    The mix is made from keys, sources, sizes and codes of whole rows; texts cross one exchange to
+    meet their readings and one to be range-sorted by position. Equal rows are counted, and one of
+    them stands for all in what is read; rows of one key (or none) are told apart by their codes.
     """
-    def numbered(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("_copy", F.row_number().over(
-            Window.partitionBy(key).orderBy("_is")))
-
-    marked = docs.withColumn("_is", F.xxhash64("text", "source"))
+    columns = docs.columns
+    one, two = spare(docs, "_one", "_two")
+    marked = docs.withColumn(one, F.xxhash64(*columns)).withColumn(two, F.xxhash64(
+        F.lit(1), *columns))
     # Sizes are taken before the exchange: no text crosses it for them.
-    small = numbered(marked.select(key, "source", "_is", word_count().alias("_words"))).select(
-        F.col(key).alias("_id"), "_copy", "source", "_words")
-    read = curriculum_mix(small, size=F.col("_words"), key="_id", whole=True, **settings).select(
-        F.col("_id"), F.col("_copy").alias("_no"), F.explode("readings").alias("_reading"))
-    both = numbered(marked).join(read, F.col(key).eqNullSafe(F.col("_id"))
-                         & (F.col("_copy") == F.col("_no")))
-    return both.orderBy("_reading.position", "source", key).select(*docs.columns)
+    small = marked.select(F.col(key).alias("id"), "source", F.col(one).alias("one"),
+                          F.col(two).alias("two"), word_count().alias("words"))
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
+    small = (small.groupBy("id", "source", "one", "two", "words").agg(
+        F.count("*").alias("copies")).withColumn("copy", copies).drop("copies"))
+    read = curriculum_mix(small, size=F.col("words"), key="id", whole=True,
+                          ties=("one", "copy"), **settings)
+    at, read_one, read_two = spare(marked, "_at", "_of_one", "_of_two")
+    read = read.select(F.col("one").alias(read_one), F.col("two").alias(read_two),
+                       F.explode("readings.position").alias(at))
+    each = marked.dropDuplicates([one, two])
+    both = each.join(read, (F.col(one) == F.col(read_one)) & (F.col(two) == F.col(read_two)))
+    return both.orderBy(at, "source", key, one).select(*[F.col(f"`{c}`") for c in columns])

@@ -63,7 +63,8 @@ c AS (
   FROM d, steps),
 r AS (
   SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5(concat_ws(':', '{SHARD_SEED}',
-      coalesce(doc_id::VARCHAR, ''))), doc_id, size, text_crc32) - 1 AS rank,
+      coalesce(doc_id::VARCHAR, ''), size::VARCHAR, text_crc32::VARCHAR)), doc_id, size,
+      text_crc32) - 1 AS rank,
     count(*) OVER (PARTITION BY source) AS n
   FROM c),
 p AS (
@@ -76,7 +77,8 @@ FROM s"""
 
 WORDS_OF = rf"len(regexp_extract_all(coalesce(text, ''), '{WORD}'))"
 MIXING = rf"""
-WITH d AS (SELECT doc_id, source, {WORDS_OF} AS size FROM documents),
+WITH d AS (
+  SELECT doc_id, source, {WORDS_OF} AS size, md5(coalesce(text, '')) AS content FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (
   SELECT *, {list(WEIGHTS)}[(row_number() OVER (ORDER BY source NULLS LAST) - 1)
@@ -94,7 +96,7 @@ t AS (
 b AS (
   SELECT d.doc_id, d.size, t.*, floor(target)::BIGINT AS demand, coalesce(sum(size) OVER (
     PARTITION BY d.source ORDER BY md5(concat_ws(':', '{MIX_SEED}',
-      coalesce(doc_id::VARCHAR, ''))), doc_id, size
+      coalesce(doc_id::VARCHAR, ''), content)), doc_id, size
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 x AS (

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut, run_folder, scratch
 from .components import components
+from .texts import spare
 from .word_codes import code_slices, mixed, runs
 
 SHINGLE = 5
@@ -24,7 +25,8 @@ COMMON_KEPT = 1_000_000  # the most common ones that are sent to all tasks, 8 MB
 #                          order of blocks alone, so the result is the same with fewer
 TURNS = 3  # more leaders that signatures try before their pairs are compared: saves work alone
 NO_KEY = -2 ** 63
-SETS = ("id long, n int, h1 long, h2 long, sketch array<long>, element long, times long")
+SETS = ("id long, code long, n int, h1 long, h2 long, sketch array<long>, element long, "
+        "times long")
 
 
 def set_slices(column: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -153,8 +155,8 @@ def shingle_sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
                     pa.array(np.arange(n + 1, dtype=np.int32) * flat.shape[1]),
                     pa.array(flat.ravel()))
                 one, two = digests(elements, bounds)
-                yield rows(batch.column(0).slice(lo, n), np.diff(bounds).astype(np.int32), one,
-                           two, lists, none, none)
+                yield rows(batch.column(0).slice(lo, n), batch.column(2).slice(lo, n),
+                           np.diff(bounds).astype(np.int32), one, two, lists, none, none)
                 held.append(elements)
                 docs_held += n
                 if sum(map(len, held)) > 2_000_000:
@@ -166,14 +168,14 @@ def shingle_sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
     def rows(*columns) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
             [c if isinstance(c, pa.Array) else pa.array(c) for c in columns],
-            ["id", "n", "h1", "h2", "sketch", "element", "times"])
+            ["id", "code", "n", "h1", "h2", "sketch", "element", "times"])
 
     def common_of(held: list[np.ndarray], docs_held: int) -> pa.RecordBatch:
         found, times = np.unique(np.concatenate(held), return_counts=True)
         some = times >= max(3, COMMON * docs_held)
         n = int(some.sum())
-        return rows(*(pa.nulls(n, k) for k in (pa.int64(), pa.int32(), pa.int64(), pa.int64(),
-                                               pa.list_(pa.int64()))),
+        return rows(*(pa.nulls(n, k) for k in (pa.int64(), pa.int64(), pa.int32(), pa.int64(),
+                                               pa.int64(), pa.list_(pa.int64()))),
                     found[some].view(np.int64), times[some])
 
     return docs.mapInArrow(measured, SETS)
@@ -284,8 +286,10 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id",
-                    size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """key, n_shingles and component_id of every document.
+                    size: int = SHINGLE, percent: int = PERCENT, codes: bool = False) -> DataFrame:
+    """key, n_shingles and component_id of every document; with `codes` also `code`, xxhash64 of
+    the text, and `component`, a number of the component itself (NULL for empty sets): rows may
+    share keys, and then components may share their least one.
 
     A document's set has its distinct runs of `size` words, ASCII letters made small; all its words
     as one if there are fewer. Two documents link if their sets' Jaccard likeness is at least
@@ -303,14 +307,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id",
     """
     outer = run_folder(docs.sparkSession)
     with scratch(docs.sparkSession):
-        return cut(grouped(docs, text, key, size, percent), outer)
+        return cut(grouped(docs, text, key, size, percent, codes), outer)
 
 
-def grouped(docs: DataFrame, text: str, key: str, size: int, percent: int) -> DataFrame:
+def grouped(docs: DataFrame, text: str, key: str, size: int, percent: int,
+            codes: bool = False) -> DataFrame:
     texts = docs.select(F.coalesce(F.col(key), F.lit(NO_KEY)).alias("id"),
-                        F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
+                        F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"),
+                        F.xxhash64(text).alias("code"))
     rows = cut(shingle_sets(texts, size, percent))
-    sets = rows.filter("id IS NOT NULL").select("id", "n", "h1", "h2", "sketch")
+    sets = rows.filter("id IS NOT NULL").select("id", "code", "n", "h1", "h2", "sketch")
     least = max(3, int(COMMON * sets.count()))
     common = (rows.filter("element IS NOT NULL").groupBy("element").agg(F.sum("times").alias("t"))
               .filter(F.col("t") >= least).orderBy(F.desc("t"), "element").limit(COMMON_KEPT))
@@ -370,8 +376,32 @@ def grouped(docs: DataFrame, text: str, key: str, size: int, percent: int) -> Da
         found.withColumnRenamed("node", "h1"), "h1", "left").withColumn(
         "component", F.coalesce("component", "h1"))
     lowest = of_node.groupBy("component").agg(F.min("rep").alias("lowest"))
-    of_node = of_node.join(lowest, "component").select("h1", "h2", "n", "lowest")
+    of_node = of_node.join(lowest, "component").select("h1", "h2", "n", "lowest", "component")
     return sets.drop("sketch").join(of_node, ["h1", "h2", "n"], "left").select(
         F.nullif("id", F.lit(NO_KEY)).alias(key), F.col("n").cast("long").alias("n_shingles"),
         F.nullif(F.when(F.col("n") > 0, F.col("lowest")).otherwise(F.col("id")), F.lit(NO_KEY))
-        .alias("component_id"))
+        .alias("component_id"), *[F.col(c) for c in (("code", "component") if codes else ())])
+
+
+def survivors(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = SHINGLE,
+              percent: int = PERCENT) -> DataFrame:
+    """The rows of `docs` that stay if one of each component does: the one with the least key (NULL
+    before all), of several texts with that key the one with the least code, of equal texts one.
+
+    Rows without words link with nothing: of those, only rows of equal key and text are one. The
+    choice is one aggregate over components of rows, not of keys, so rows of one key or of none
+    are kept or dropped by themselves. Other columns go through; an empty table gives no rows.
+    """
+    found = near_duplicates(docs, text, key, size, percent, codes=True)
+    row = F.struct(F.col(key).alias("id"), F.col("code"))
+    # NULL keys come first in a struct's order.
+    chosen = found.filter("n_shingles > 0").groupBy("component").agg(F.min(row).alias("row"))
+    alone = found.filter("n_shingles = 0").select(row.alias("row")).distinct()
+    of, code, mine = spare(docs, "_of", "_code", "_mine")
+    first = chosen.select("row").unionByName(alone).select(
+        F.col("row.id").alias(of), F.col("row.code").alias(code))
+    # A NULL text has the code of its seed, as xxhash64 gives it.
+    each = docs.withColumn(mine, F.xxhash64(text)).dropDuplicates([key, mine])
+    kept = each.join(first, F.col(key).eqNullSafe(F.col(of)) & (F.col(mine) == F.col(code)),
+                     "left_semi")
+    return kept.drop(mine)

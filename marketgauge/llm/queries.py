@@ -46,7 +46,9 @@ def op2_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = curriculum_mix(documents(spark, sf_dir).select("doc_id", "source", "text"))
+    rows = documents(spark, sf_dir).select("doc_id", "source", "text",
+                                           F.md5(whole_text()).alias("content"))
+    mixed = curriculum_mix(rows, ties=("content",))
     first = F.get("readings", F.lit(0))["position"]
     return (mixed.select("doc_id", "size", "source_size", "target", "taken",
                          F.round(first, 9).alias("position"))

@@ -48,18 +48,19 @@ def totals_before(df: DataFrame, group: list[str], bucket: str, order: list[str]
     what the earlier buckets hold is summed from one row for each bucket. Groups may be NULL.
     """
     keys = [*group, bucket]
-    grouped = [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in group]
-    per_bucket = df.groupBy(*keys).agg(F.sum(value).alias("_held"))
+    held, offset, local = spare(df, "_held", "_offset", "_local")
+    of = dict(zip(keys, spare(df, *[f"_{k}" for k in keys])))
+    per_bucket = df.groupBy(*keys).agg(F.sum(value).alias(held))
     w = Window.partitionBy(*group).orderBy(bucket) if group else Window.orderBy(bucket)
     offsets = per_bucket.select(
-        *[F.col(k).alias(f"_{k}") for k in keys],
-        F.coalesce(F.sum("_held").over(w.rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("_offset"))
+        *[F.col(k).alias(of[k]) for k in keys],
+        F.coalesce(F.sum(held).over(w.rowsBetween(Window.unboundedPreceding, -1)),
+                   F.lit(0)).alias(offset))
     inner = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    local = df.withColumn("_local", F.coalesce(F.sum(value).over(inner), F.lit(0)))
-    on = [*grouped, F.col(bucket) == F.col(f"_{bucket}")]
-    return (local.join(offsets, on).withColumn(name, F.col("_local") + F.col("_offset"))
-            .drop("_local", "_offset", *[f"_{k}" for k in keys]))
+    inside = df.withColumn(local, F.coalesce(F.sum(value).over(inner), F.lit(0)))
+    on = [*[F.col(g).eqNullSafe(F.col(of[g])) for g in group], F.col(bucket) == F.col(of[bucket])]
+    return (inside.join(offsets, on).withColumn(name, F.col(local) + F.col(offset))
+            .drop(local, offset, *of.values()))
 
 
 def spare(df: DataFrame, *names: str) -> list[str]:

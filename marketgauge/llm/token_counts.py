@@ -11,6 +11,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .word_codes import mixed
+
 # White space of plain texts; characters that libraries class as space or not; letters
 # that every library takes for letters.
 CHUNK = re.compile(r" ?[^\t-\r ]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+").findall
@@ -144,7 +146,7 @@ class Block:
         starts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1]))) if len(
             token) else np.zeros(0, np.int64)
         seen = np.diff(np.append(starts, len(token)))
-        salt = np.where(seen * HOT_SHARE >= n, number % SALTS, 0).astype(np.int32)
+        salt = np.where(seen * HOT_SHARE >= n, salt_of(number), 0).astype(np.int32)
         listed = list(names)
         for a in range(0, len(starts), 100_000):  # several batches: each is small
             part = starts[a:a + 100_000]
@@ -156,11 +158,16 @@ class Block:
                 ["pretoken", "salt", "block", "docs", "counts"])
         # The block's documents travel as the postings of the empty pre-token.
         yield pa.RecordBatch.from_pydict(
-            {"pretoken": [""], "salt": pa.array([number % SALTS], pa.int32()), "block": [number],
+            {"pretoken": [""], "salt": pa.array([salt_of(number)], pa.int32()), "block": [number],
              "docs": [np.array(self.keys, np.int64).tobytes()],
              "counts": [np.array(self.sizes, np.int64).tobytes()]})
 
 
+def salt_of(block: int) -> int:
+    """A block's salt: its partition, in the upper bits of its number, counts as its place does."""
+    return int(mixed(np.array([block + 1], dtype=np.uint64))[0] % SALTS)
+
+
 def count_tokens(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, n_bytes (UTF-8) and n_tokens of every whole text, for a byte-level tokenizer file.
 
