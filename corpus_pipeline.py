@@ -12,24 +12,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketgauge.llm.curriculum_mix import mixed_documents
-from marketgauge.llm.parity_join import near_duplicates
+from marketgauge.llm.parity_join import survivors
 from marketgauge.llm.piece_codec import encode_pieces
 from marketgauge.llm.quality_cascade import quality_cascade
 from marketgauge.llm.secret_scan import redact
+from marketgauge.llm.texts import spare
 from marketgauge.session import cut
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass every rule."""
-    return quality_cascade(docs, name="_kept").filter("_kept").drop("_kept")
+    kept = spare(docs, "_kept")[0]
+    return quality_cascade(docs, name=kept).filter(kept).drop(kept)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the least doc_id."""
-    first = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    first = first.select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return kept.withColumn("_is", F.xxhash64("text")).dropDuplicates(["doc_id", "_is"]).drop("_is")
+    return survivors(docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
