@@ -6,7 +6,9 @@ import random
 import time
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
                                        OneVsRest, RandomForestClassificationModel,
@@ -17,12 +19,13 @@ from pyspark.ml.regression import DecisionTreeRegressor, IsotonicRegression
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, cut_counted
 from . import evaluate
 from .cleaning import modes
 from .encoders import (INFREQUENT, TargetTable, frequent_levels, spline_basis, spline_ends,
                        target_encode_cv, target_table)
-from .sampling import ROW_KEY, hash_ranks
+from .sampling import ROW_KEY, hash_ranks, random_sample
+from .staged import staged_log_loss, staged_scores
 
 MAX_LEVELS = 1000
 DEEPEST = 30  # the deepest tree of MLlib
@@ -297,49 +300,125 @@ def _report(spark, rows: Sequence[dict]) -> DataFrame:
     return spark.createDataFrame([Row(**r) for r in rows])
 
 
+# Labelled rows a cell of a grid or a trial of a search is fitted on, at most, unless told
+# otherwise; all rows are scored. Fits that run at the same time, and rows for one task of a fit.
+FIT_ROWS = 8_000
+PARALLEL = 8
+ROWS_PER_TASK = 25_000
+
+
+def fitting_rows(prepared: DataFrame, most: int | None = FIT_ROWS,
+                 keys: Sequence[str] = ROW_KEY) -> DataFrame:
+    """The written rows that a fit reads: exactly `most` of them, by a hash of their key, if there
+    are more. Small tables are put into few partitions: each step of a tree fit exchanges
+    statistics of every node from each partition."""
+    rows, n = cut_counted(prepared)
+    if most is not None and n > most:
+        rows, n = cut_counted(random_sample(rows, most, keys))
+    return rows.coalesce(max(1, n // ROWS_PER_TASK))
+
+
+def concurrently(work: Callable, tasks: Sequence, parallel: int = PARALLEL) -> list:
+    """`work` for each task from several threads, in the order of the tasks: jobs of small fits
+    leave most cores idle. Local properties of the caller (its pool) hold in the threads."""
+    with ThreadPool(max(1, min(parallel, len(tasks)))) as pool:
+        return pool.map(inheritable_thread_target(work), tasks, chunksize=1)
+
+
+def _prepared(train: DataFrame, others: DataFrame, preprocessor: Preprocessor,
+              most: int | None) -> tuple[DataFrame, DataFrame]:
+    """Written vectors of the rows to fit on, and of the rows to score."""
+    preprocessor.fit(train.filter(F.col(preprocessor.label).isNotNull()))
+    return (fitting_rows(preprocessor.transform_train(row_fold()), most),
+            cut(preprocessor.transform(others)))
+
+
+def _one_fit(estimator, preprocessor: Preprocessor) -> str:
+    """Forests that differ in their trees alone are one fit."""
+    settings = {p.name: str(v) for p, v in estimator.extractParamMap().items()}
+    if isinstance(estimator, RandomForestClassifier):
+        del settings["numTrees"]
+    return repr((type(estimator).__name__, sorted(settings.items()), preprocessor))
+
+
 def tune_grid(df: DataFrame, label: str, grid: Sequence[Mapping], make: Callable[..., tuple],
-              fold: str = "fold") -> DataFrame:
+              fold: str = "fold", fit_rows: int | None = FIT_ROWS,
+              parallel: int = PARALLEL) -> DataFrame:
     """Cross-validated grid: mean train and test ROC-AUC and F1, gap, fit time, rank.
 
     Preparation is fitted once for each fold and each different setting of it, on the other
-    folds' rows; the cells that share it fit and score its written vectors. Only metric rows come
-    back to the driver.
+    folds' rows. Cells that differ only in the number of trees are scored from the largest of
+    their forests: the first 100 trees of 300 are a forest of 100 (not the one MLlib draws for
+    100, whose rows are drawn in another order). Fits run at the same time, on `fit_rows` of the
+    prepared rows at most (None: all); all rows are scored. Only metric rows come back to the
+    driver.
     """
+    spark = df.sparkSession
     folds = sorted(r[fold] for r in df.select(fold).distinct().collect())
-    measured = ("train_auc", "test_auc", "train_f1", "test_f1", "secs")
-    scores = [{m: [] for m in measured} for _ in grid]
-    for f in folds:
-        ready: dict[str, tuple[DataFrame, DataFrame]] = {}
-        for cell, params in zip(scores, grid):
-            estimator, preprocessor = make(**params)
-            setting = repr(preprocessor)
-            if setting not in ready:
-                train = df.filter((F.col(fold) != f) & F.col(preprocessor.label).isNotNull())
-                preprocessor.fit(train)
-                ready[setting] = (cut(preprocessor.transform_train(row_fold())),
-                                  cut(preprocessor.transform(df)))
-            prepared, every = ready[setting]
-            start = time.time()
-            model = estimator.fit(prepared)
-            cell["secs"].append(time.time() - start)
-            if isinstance(model, RandomForestClassificationModel):
-                model = model.copy()
-            sides = model.transform(every).select(
-                F.when(F.col(fold) == f, "test").otherwise("train").alias("side"),
-                F.col(label).alias("label"), vector_to_array("probability")[1].alias("score"))
-            for r in evaluate.binary_report(sides, 0.5, ["side"]).collect():
-                cell[f"{r.side}_auc"].append(r.roc_auc)
-                cell[f"{r.side}_f1"].append(r.f1)
+    fits: dict[str, list[int]] = {}
+    for i, params in enumerate(grid):
+        fits.setdefault(_one_fit(*make(**params)), []).append(i)
+    cells = list(fits.values())
+    settings = {repr(make(**p)[1]): p for p in grid}
+
+    def prepare(task: tuple) -> tuple[DataFrame, DataFrame]:
+        f, setting = task
+        preprocessor = make(**settings[setting])[1]
+        return _prepared(df.filter(F.col(fold) != f), df, preprocessor, fit_rows)
+
+    parts = [(f, setting) for f in folds for setting in settings]
+    ready = dict(zip(parts, concurrently(prepare, parts, parallel)))
+
+    def fitted(task: tuple) -> tuple[list[int], float, DataFrame]:
+        f, k = task
+        made = [make(**grid[i]) for i in cells[k]]
+        train, every = ready[f, repr(made[0][1])]
+        every = every.select(fold, F.col(label).alias("label"), "features")
+        forest_ = isinstance(made[0][0], RandomForestClassifier)
+        trees = [e.getNumTrees() if forest_ else 1 for e, _ in made]
+        estimator = made[trees.index(max(trees))][0]
+        start = time.time()
+        model = estimator.fit(train)
+        secs = time.time() - start
+        stages = sorted(set(trees))
+        if forest_:
+            # A forest's training summary holds on to its frame and cannot be sent to tasks.
+            scored = staged_scores(spark, model.copy(), every, stages)
+        else:
+            scored = model.transform(every).withColumn(
+                "scores", F.array(vector_to_array("probability")[1]))
+        places = [stages.index(t) for t in trees]
+        return places, secs, scored.select(
+            F.lit(f).alias("tested"), F.lit(k).alias("fit"), "label",
+            F.when(F.col(fold) == f, "test").otherwise("train").alias("side"),
+            F.posexplode("scores").alias("stage", "score"))
+
+    tasks = [(f, k) for f in folds for k in range(len(cells))]
+    done = dict(zip(tasks, concurrently(fitted, tasks, parallel)))
+    frames = [d[2] for d in done.values()]
+    every = frames[0]
+    for frame in frames[1:]:
+        every = every.unionByName(frame)
+    report = {(r.tested, r.fit, r.stage, r.side): r for r in evaluate.binary_report(
+        cut(every), 0.5, ["tested", "fit", "stage", "side"]).collect()}
     rows = []
-    for i, (cell, params) in enumerate(zip(scores, grid)):
-        mean = {k: sum(v) / len(v) for k, v in cell.items()}
-        spread = (sum((s - mean["test_auc"]) ** 2 for s in cell["test_auc"]) / len(folds)) ** 0.5
-        rows.append({"cell": i, "params": str(dict(params)), "mean_train_auc": mean["train_auc"],
-                     "mean_test_auc": mean["test_auc"], "std_test_auc": spread,
-                     "mean_train_f1": mean["train_f1"], "mean_test_f1": mean["test_f1"],
-                     "gap": mean["train_auc"] - mean["test_auc"], "fit_seconds": mean["secs"]})
+    for k, members in enumerate(cells):
+        for j, i in enumerate(members):
+            side = {s: [report[f, k, done[f, k][0][j], s] for f in folds]
+                    for s in ("train", "test")}
+            mean = {(s, m): sum(r[m] for r in side[s]) / len(folds)
+                    for s in side for m in ("roc_auc", "f1")}
+            spread = (sum((r.roc_auc - mean["test", "roc_auc"]) ** 2 for r in side["test"])
+                      / len(folds)) ** 0.5
+            rows.append({
+                "cell": i, "params": str(dict(grid[i])),
+                "mean_train_auc": mean["train", "roc_auc"],
+                "mean_test_auc": mean["test", "roc_auc"], "std_test_auc": spread,
+                "mean_train_f1": mean["train", "f1"], "mean_test_f1": mean["test", "f1"],
+                "gap": mean["train", "roc_auc"] - mean["test", "roc_auc"],
+                "fit_seconds": sum(done[f, k][1] for f in folds) / len(folds)})
     rows.sort(key=lambda r: (-r["mean_test_auc"], r["cell"]))
-    return _report(df.sparkSession, [r | {"rank": n} for n, r in enumerate(rows, start=1)])
+    return _report(spark, [r | {"rank": n} for n, r in enumerate(rows, start=1)])
 
 
 def random_params(space: Mapping[str, Sequence], trials: int, seed: int = 42) -> list[dict]:
