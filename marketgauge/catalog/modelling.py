@@ -69,9 +69,9 @@ def knn_vote(t):
 
 
 KS = list(range(3, 32, 2))
-# Boosting rounds of the registered queries: of the main order model, of models that are fitted
-# many times. The operators' own default is 100. See the README for the time of a round.
-ROUNDS, FEW = 20, 5
+# Boosting rounds of the registered queries: of the two order models that are benchmarked, of other
+# order models and searches, of quantity models (five class models each). The README has times.
+ROUNDS, MANY, QUANTITY = 20, 100, 20
 
 
 @query("knn_k_search", f"""
@@ -177,7 +177,7 @@ def history_model(t):
 
 @query("model_quantity")
 def model_quantity(t):
-    return experiments.quantity_experiment(t.interactions, t.items, rounds=FEW, depth=6)
+    return experiments.quantity_experiment(t.interactions, t.items, rounds=MANY, depth=6)
 
 
 @query("model_quantity_tree")
@@ -187,14 +187,20 @@ def model_quantity_tree(t):
 
 @query("model_calibrated")
 def model_calibrated(t):
+    """Forests of 100 trees: one as it is, and five with a curve each from the fold they have not
+    seen. Each is fitted on FIT_ROWS rows at most; curves and reports are of all rows."""
     train, valid, test = sides(t)
     folded = cut(sampling.kfold(train.unionByName(valid), "order", 5))
-    plain = experiments.boosted_fit(folded.drop("fold"), rounds=FEW)
-    calibrated = models.calibrate_isotonic(
-        folded, "label", "fold", lambda: experiments.boosted_parts(rounds=FEW))
+    estimator, prep = experiments.forest_parts()
+    prep.fit(folded)
+    rows = models.fitting_rows(prep.transform_train(models.row_fold()).drop("fold"))
+    plain = models.Trained(prep, estimator.fit(rows).copy())
+    calibrated = models.calibrate_isotonic(folded, "label", "fold", experiments.forest_parts,
+                                           fit_rows=models.FIT_ROWS)
     both = (plain.score(test).select(F.lit("uncalibrated").alias("model"), "label", "score")
             .unionByName(calibrated.score(test).select(F.lit("calibrated").alias("model"),
                                                        "label", "score")))
+    both = cut(both)
     return evaluate.brier(both, ["model"]).join(
         evaluate.ranking_metrics(both.withColumn("label", F.col("label").cast("int")),
                                  ["model"]), "model")
@@ -208,7 +214,8 @@ FOREST_GRID += [{"depth": 30, "min_leaf": 10, "split_width": w, "trees": n}
 
 @query("tuning_report")
 def tuning_report(t):
-    """Both grids over five folds, on all rows; 100 trees where a cell names no number."""
+    """Both grids over five folds; 100 trees where a cell names no number. Forests are fitted on
+    GRID_ROWS rows of a fold at most, all rows are scored."""
     train, _, _ = sides(t)
     folded = cut(sampling.kfold(train, "order", 5))
     return models.tune_grid(folded, "order", FOREST_GRID, experiments.forest_parts)
@@ -224,7 +231,7 @@ def random_search(t):
     train, valid, test = sides(t)
     trials, best = models.tune_random(
         train, valid, "order", models.random_params(SEARCH, TRIALS),
-        lambda **p: experiments.boosted_parts(rounds=FEW, **p))
+        lambda **p: experiments.boosted_parts(rounds=MANY, **p))
     final = _order_report(best, test).select(F.col("roc_auc").alias("test_roc_auc"),
                                              F.col("pr_auc").alias("test_pr_auc")).first()
     return trials.withColumns({"test_roc_auc": F.lit(final.test_roc_auc),
@@ -233,13 +240,19 @@ def random_search(t):
 
 @query("quantity_search")
 def quantity_search(t):
-    """Seven settings, ranked by macro-F1 of the five quantity classes on held-out orders."""
+    """Seven settings, ranked by macro-F1 of the five quantity classes on a validation part of the
+    train orders; the best one, refitted on both, is scored on the test orders."""
     train, test = experiments.quantity_sides(t.interactions, t.items)
     space = {**SEARCH, "bins": [32, 64], "gain": [0.0, 0.001], "width": ["all", "sqrt"]}
-    weighted = models.with_class_weight(train, "label", 0.5, normalise=True)
-    return models.tune_multiclass(weighted, test, "label", schema.QUANTITY_CLASSES,
-                                  models.random_params(space, TRIALS),
-                                  lambda **p: experiments.quantity_parts(rounds=1, **p))
+    weighted = cut(models.with_class_weight(train, "label", 0.5, normalise=True))
+    split = sampling.stratified_split(weighted, "label", 0.2, seed=43)
+    fit_on, valid = (split.filter(F.col("split") == s).drop("split") for s in ("train", "test"))
+    trials, best = models.tune_multiclass(
+        fit_on, valid, "label", schema.QUANTITY_CLASSES, models.random_params(space, TRIALS),
+        lambda **p: experiments.quantity_parts(rounds=QUANTITY, **p))
+    final = models.multiclass_report(best, test, "label", schema.QUANTITY_CLASSES).first()
+    return trials.withColumns({"test_accuracy": F.lit(final.accuracy),
+                               "test_macro_f1": F.lit(final.macro_f1)})
 
 
 @query("alpha_sweep")
@@ -247,7 +260,7 @@ def alpha_sweep(t):
     train, test = experiments.quantity_sides(t.interactions, t.items)
     return models.sweep_alphas(
         train, test, "label", [0.0, 0.25, 0.4, 0.5, 0.6, 0.75, 1.0], schema.QUANTITY_CLASSES,
-        lambda: experiments.quantity_parts(rounds=2, depth=5))
+        lambda: experiments.quantity_parts(rounds=QUANTITY))
 
 
 def _weightings(train):
@@ -260,7 +273,7 @@ def _weightings(train):
 def weight_sweep(t):
     train, valid, _ = sides(t)
     return models.sweep_weights(train, valid, "order", _weightings(train),
-                                lambda: experiments.boosted_parts(rounds=FEW, weight="weight"))
+                                lambda: experiments.boosted_parts(rounds=MANY))
 
 
 @query("select_bundle")
@@ -268,7 +281,7 @@ def select_bundle(t):
     train, valid, test = sides(t)
     return models.select_bundle(train, valid, test, "order", _weightings(train),
                                 evaluate.sweep_grid(0.20, 0.80, 0.05),
-                                lambda: experiments.boosted_parts(rounds=FEW, weight="weight"))
+                                lambda: experiments.boosted_parts(rounds=MANY))
 
 
 @query("feature_set_comparison")
@@ -285,7 +298,7 @@ def feature_set_comparison(t):
     sets = {"top_10": ranked[:10], "top_15": ranked[:15], "all": ranked}
     return models.compare_feature_sets(
         train, valid, "order", sets,
-        lambda columns: experiments.boosted_parts(rounds=FEW, numeric=columns, target=[]))
+        lambda columns: experiments.boosted_parts(rounds=MANY, numeric=columns, target=[]))
 
 
 @query("per_group_models")
@@ -296,7 +309,7 @@ def per_group_models(t):
 @query("feature_importance")
 def feature_importance(t):
     train, _, _ = sides(t)
-    return models.feature_importance(experiments.boosted_fit(train, rounds=FEW), top=15)
+    return models.feature_importance(experiments.boosted_fit(train, rounds=MANY), top=15)
 
 
 @query("logit_coefficients")
@@ -318,7 +331,7 @@ def tree_rules(t):
 @query("permutation_importance")
 def permutation_importance(t):
     train, _, test = sides(t)
-    trained = experiments.boosted_fit(train, rounds=FEW)
+    trained = experiments.boosted_fit(train, rounds=MANY)
     return models.permutation_importance(
         trained, test, "order", [*experiments.NUMBERS, *experiments.TARGETS], repeats=5)
 
@@ -329,7 +342,7 @@ GRID = [0.1, 0.5, 0.9, 1.0, 1.1, 1.5, 2.0, 5.0, 10.0]
 @query("partial_dependence")
 def partial_dependence(t):
     train, _, test = sides(t)
-    trained = experiments.boosted_fit(train, rounds=FEW)
+    trained = experiments.boosted_fit(train, rounds=MANY)
     return models.partial_dependence(trained, test, "price_to_rrp_ratio", GRID)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.features import competitor_gap, null_nonpositive, rrp_position
 from ..operators import joins, stats
+from ..operators.neighbour_information import neighbour_information
 from .exploring import quantile_bins_sql
 from .registry import q, query, rounded
 
@@ -111,6 +112,41 @@ def mutual_information(t):
     return rounded(out, 8)
 
 
+def digamma_sql(x: str) -> str:
+    z = f"({x} + 6.0::DOUBLE)"
+    steps = " + ".join(f"1.0::DOUBLE / ({x} + {j})" for j in range(6))
+    return (f"(ln({z}) - 1 / (2 * {z}) - 1 / (12 * {z} * {z}) + 1 / (120 * pow({z}, 4))"
+            f" - 1 / (252 * pow({z}, 6)) - ({steps}))")
+
+
+INFORMED = ["price", "competitorPrice", "rrp", "day"]
+GAIN = (f"greatest(0, {digamma_sql('count(*)')} + avg({digamma_sql('k')} "
+        f"- {digamma_sql('rows')} - {digamma_sql('m')}))")
+PLACES = "(PARTITION BY \"column\", y ORDER BY x, id)"
+
+
+@query("mutual_information_neighbours", f"""
+WITH long AS ({" UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", "order" AS y, "lineID" AS id,
+    floor("{c}"::DOUBLE / 1e-6::DOUBLE + 0.5::DOUBLE)::BIGINT AS x
+    FROM enriched WHERE "{c}" IS NOT NULL""" for c in INFORMED)}),
+kept AS (SELECT *, count(*) OVER (PARTITION BY "column", y) AS rows FROM long
+  QUALIFY rows > 1),
+near AS (
+  SELECT *, least(3, rows - 1) AS k, list_sort(list_filter([{", ".join(
+    f"abs(x - {f}(x, {j}) OVER {PLACES})" for f in ("lag", "lead") for j in (1, 2, 3))}],
+    lambda d: d IS NOT NULL)) AS far FROM kept),
+radius AS (SELECT *, greatest(far[k] - 1, 0) AS inside FROM near),
+counted AS (
+  SELECT *, count(*) OVER (PARTITION BY "column" ORDER BY x
+    RANGE BETWEEN inside PRECEDING AND inside FOLLOWING) AS m FROM radius)
+SELECT "column", {q(GAIN, 8)} AS mi FROM counted GROUP BY "column"
+""", ("enriched",))
+def mutual_information_neighbours(t):
+    df = _joined(t, "rrp")
+    return rounded(neighbour_information(df, "order", INFORMED), 8)
+
+
 @query("zero_variance", """
 SELECT 'single' AS "column" FROM interactions HAVING count(DISTINCT click + basket + "order") = 1
 """, ("interactions",))

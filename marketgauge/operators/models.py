@@ -4,23 +4,25 @@ from __future__ import annotations
 
 import random
 import time
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Model, Pipeline, PipelineModel
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
-                                       OneVsRest, RandomForestClassificationModel,
+from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassificationModel,
+                                       GBTClassifier, LogisticRegression, OneVsRest,
+                                       RandomForestClassificationModel,
                                        RandomForestClassifier)
 from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor, IsotonicRegression
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.ml.regression import DecisionTreeRegressor
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut, cut_counted
-from . import evaluate
+from ..session import cut, cut_counted, run_folder
+from . import evaluate, isotonic
 from .cleaning import modes
 from .encoders import (INFREQUENT, TargetTable, frequent_levels, spline_basis, spline_ends,
                        target_encode_cv, target_table)
@@ -29,6 +31,11 @@ from .staged import staged_log_loss, staged_scores
 
 MAX_LEVELS = 1000
 DEEPEST = 30  # the deepest tree of MLlib
+# Labelled rows that a trial of a search and a cell of a grid are fitted on, at most, unless told
+# otherwise; all rows are scored. Fits that run at the same time, and rows for one task of a fit.
+FIT_ROWS, GRID_ROWS = 5_000, 2_000
+PARALLEL = 8
+ROWS_PER_TASK = 25_000
 
 
 # ---- weights and trivial baselines ----
@@ -255,7 +262,8 @@ def tree(label: str = "label", weight: str | None = "weight", depth: int = 5,
 def forest(label: str = "label", weight: str | None = "weight", trees: int = 100,
            depth: int = 30, min_leaf: int = 10, **params):
     chosen = dict(labelCol=label, numTrees=trees, maxDepth=depth, minInstancesPerNode=min_leaf,
-                  featureSubsetStrategy="sqrt", seed=42) | params
+                  featureSubsetStrategy="sqrt", cacheNodeIds=True, seed=42) | params
+    # Without the cached ids each step sends the whole forest to each task.
     if weight:
         chosen["weightCol"] = weight
     return RandomForestClassifier(**chosen)
@@ -272,25 +280,80 @@ def boosted(label: str = "label", weight: str | None = "weight", rounds: int = 1
 
 def quantity_classifier(label: str = "label", weight: str = "weight", **params):
     """Boosted trees one class against the rest (MLlib boosting is two-class)."""
-    return OneVsRest(classifier=boosted(label, None, **params), labelCol=label, weightCol=weight)
+    return OneVsRest(classifier=boosted(label, None, **params), labelCol=label, weightCol=weight,
+                     parallelism=PARALLEL)
 
 
 def quantity_tree(label: str = "label", depth: int = 5):
     return DecisionTreeRegressor(labelCol=label, maxDepth=depth, seed=42)
 
 
-def train_per_group(df: DataFrame, group: str, make: Callable[[], tuple],
-                    max_groups: int = 200) -> dict[str, Trained]:
-    """One model per group value, each fitted on the cluster over its own rows."""
-    values = [r[group] for r in df.filter(F.col(group).isNotNull()).select(group).distinct()
-              .limit(max_groups + 1).collect()]
-    if len(values) > max_groups:
-        raise ValueError(f"{group} has more than {max_groups} values; group rare ones first")
-    out = {}
-    for v in sorted(values):
-        estimator, preprocessor = make()
-        out[v] = fit(df.filter(F.col(group) == v).drop(group), estimator, preprocessor)
-    return out
+@dataclass
+class GroupModels:
+    """A model for each large group, and one for all small groups together."""
+
+    group: str
+    own: Mapping[str, Trained]
+    pooled: Trained | None
+
+    def score(self, df: DataFrame) -> DataFrame:
+        """Adds `score` (probability of class 1) and `pooled`. Groups without a model of their own,
+        unseen ones and NULL, go to the pooled model; there is no score if there is none."""
+        known = F.col(self.group).cast("string")
+        mine = F.when(known.isin(list(self.own)), known)
+        spread = cut(df.withColumn("_model", F.coalesce(mine, F.lit(""))))
+        columns = [*df.columns, "score", "pooled"]
+        rest = spread.filter(F.col("_model") == "")
+        if self.pooled:
+            out = self.pooled.score(rest)
+        else:
+            out = rest.withColumn("score", F.lit(None).cast("double"))
+        out = out.withColumn("pooled", F.lit(True)).select(*columns)
+        for value, trained in self.own.items():
+            part = trained.score(spread.filter(F.col("_model") == value))
+            out = out.unionByName(part.withColumn("pooled", F.lit(False)).select(*columns))
+        return out
+
+
+def train_per_group(df: DataFrame, group: str, make: Callable[..., tuple], min_rows: int = 1000,
+                    max_models: int = 1000, fit_rows: int | None = None,
+                    parallel: int = PARALLEL) -> GroupModels:
+    """One model for each group of at least `min_rows` rows with a label and both labels among
+    them, the group column left out; all other rows, NULL groups too, train one pooled model that
+    has the group as a target-encoded input. `make(pooled)` gives estimator and preparation.
+
+    A group must also hold 1 / `max_models` of the rows, which bounds the models whatever the
+    number of groups. Rows are written once, a folder for each model, and each fit reads its own
+    folder; fits run at the same time.
+    """
+    label = make(False)[1].label
+    rows = df.filter(F.col(label).isNotNull()).withColumn(group, F.col(group).cast("string"))
+    counts = rows.groupBy(group).agg(F.count("*").alias("n"),
+                                     F.count_distinct(label).alias("labels"))
+    total = rows.count()
+    large = counts.filter(F.col(group).isNotNull() & (F.col("n") >= min_rows)
+                          & (F.col("n") * max_models >= total) & (F.col("labels") > 1))
+    values = sorted(r[group] for r in large.collect())
+    place = F.coalesce(F.array_position(F.array(*map(F.lit, values)), F.col(group)), F.lit(0)) \
+        if values else F.lit(0)
+    path = f"{run_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    placed = rows.withColumn("_model", place.cast("int"))
+    placed.write.partitionBy("_model").parquet(path)
+    stored = df.sparkSession.read.schema(placed.schema).parquet(path)
+
+    def fitted(number: int) -> Trained | None:
+        own = stored.filter(F.col("_model") == number).drop("_model", *([group] if number else []))
+        if not number and own.select(label).distinct().limit(2).count() < 2:
+            return None
+        estimator, preprocessor = make(not number)
+        start = time.time()
+        preprocessor.fit(own)
+        model = estimator.fit(fitting_rows(preprocessor.transform_train(row_fold()), fit_rows))
+        return Trained(preprocessor, model, time.time() - start)
+
+    # The pooled model first.
+    found = concurrently(fitted, range(len(values) + 1), parallel)
+    return GroupModels(group, dict(zip(values, found[1:])), found[0])
 
 
 # ---- tuning ----
@@ -300,13 +363,6 @@ def _report(spark, rows: Sequence[dict]) -> DataFrame:
     return spark.createDataFrame([Row(**r) for r in rows])
 
 
-# Labelled rows a cell of a grid or a trial of a search is fitted on, at most, unless told
-# otherwise; all rows are scored. Fits that run at the same time, and rows for one task of a fit.
-FIT_ROWS = 8_000
-PARALLEL = 8
-ROWS_PER_TASK = 25_000
-
-
 def fitting_rows(prepared: DataFrame, most: int | None = FIT_ROWS,
                  keys: Sequence[str] = ROW_KEY) -> DataFrame:
     """The written rows that a fit reads: exactly `most` of them, by a hash of their key, if there
@@ -321,8 +377,9 @@ def fitting_rows(prepared: DataFrame, most: int | None = FIT_ROWS,
 def concurrently(work: Callable, tasks: Sequence, parallel: int = PARALLEL) -> list:
     """`work` for each task from several threads, in the order of the tasks: jobs of small fits
     leave most cores idle. Local properties of the caller (its pool) hold in the threads."""
+    inherit = inheritable_thread_target(SparkSession.getActiveSession())
     with ThreadPool(max(1, min(parallel, len(tasks)))) as pool:
-        return pool.map(inheritable_thread_target(work), tasks, chunksize=1)
+        return pool.map(inherit(work), tasks, chunksize=1)
 
 
 def _prepared(train: DataFrame, others: DataFrame, preprocessor: Preprocessor,
@@ -342,7 +399,7 @@ def _one_fit(estimator, preprocessor: Preprocessor) -> str:
 
 
 def tune_grid(df: DataFrame, label: str, grid: Sequence[Mapping], make: Callable[..., tuple],
-              fold: str = "fold", fit_rows: int | None = FIT_ROWS,
+              fold: str = "fold", fit_rows: int | None = GRID_ROWS,
               parallel: int = PARALLEL) -> DataFrame:
     """Cross-validated grid: mean train and test ROC-AUC and F1, gap, fit time, rank.
 
@@ -426,48 +483,98 @@ def random_params(space: Mapping[str, Sequence], trials: int, seed: int = 42) ->
     return [{k: draw.choice(list(v)) for k, v in space.items()} for _ in range(trials)]
 
 
-def stopping(estimator):
-    """The estimator with early stopping on the rows marked in `is_valid`, if it can."""
-    if not estimator.hasParam("validationIndicatorCol"):
-        return None
-    estimator = estimator.copy()
-    return estimator.set(estimator.getParam("validationIndicatorCol"), "is_valid")
+def _scored(model: Model, prepared: DataFrame, label: str, cls: int = 1) -> DataFrame:
+    """(label, score) of prepared rows."""
+    if isinstance(model, RandomForestClassificationModel):
+        model = model.copy()
+    return model.transform(prepared).select(
+        F.col(label).alias("label"), vector_to_array("probability")[cls].alias("score"))
+
+
+def best_round(spark, model: Model, prepared: DataFrame, label: str) -> tuple[int, DataFrame]:
+    """The number of first trees of a boosted model with the least log-loss on the rows (of equals
+    the smallest), and (label, score) of the rows after that many."""
+    rounds = model.getNumTrees
+    staged = staged_scores(spark, model, prepared.select(label, "features"),
+                           list(range(1, rounds + 1)))
+    losses = staged_log_loss(staged, list(range(1, rounds + 1)), label)
+    best = losses.orderBy(F.round("log_loss", 12), "stage").first().stage
+    return best, staged.select(F.col(label).alias("label"),
+                               F.get("scores", F.lit(best - 1)).alias("score"))
 
 
 def tune_random(train: DataFrame, valid: DataFrame, label: str, params: Sequence[Mapping],
-                make: Callable[..., tuple]) -> tuple[DataFrame, Trained]:
-    """Random search scored on the validation rows by PR-AUC, and the best setting refitted on
-    train and validation together. Boosting stops early on the validation rows; preparation and
-    target encodings of a trial never see their labels."""
-    rows = []
-    for i, chosen in enumerate(params):
-        estimator, preprocessor = make(**chosen)
-        early = stopping(estimator)
-        trained = (fit(train, early, preprocessor, valid=valid) if early
-                   else fit(train, estimator, preprocessor))
-        scored = trained.score(valid).select(F.col(label).alias("label"), "score")
+                make: Callable[..., tuple], fit_rows: int | None = FIT_ROWS,
+                parallel: int = PARALLEL) -> tuple[DataFrame, Trained]:
+    """Random search scored on the validation rows by PR-AUC, and the best setting refitted on all
+    rows of train and validation together.
+
+    A boosted trial is fitted once, for all its rounds; its staged scores on the validation rows
+    tell the round of least log-loss, which is what stopping there would have left, and the refit
+    has that many rounds. Preparation is made once for each different setting of it and never sees
+    validation labels. Trials run at the same time, on `fit_rows` rows at most (None: all).
+    """
+    spark = train.sparkSession
+    valid = valid.filter(F.col(label).isNotNull())
+    settings = {repr(make(**p)[1]): p for p in params}
+    ready = {s: _prepared(train, valid, make(**p)[1], fit_rows) for s, p in settings.items()}
+
+    def trial(i: int) -> dict:
+        estimator, preprocessor = make(**params[i])
+        rows, checked = ready[repr(preprocessor)]
+        start = time.time()
+        model = estimator.fit(rows)
+        seconds = time.time() - start
+        if isinstance(model, GBTClassificationModel):
+            trees, scored = best_round(spark, model, checked, label)
+        else:
+            trees = model.getNumTrees if hasattr(model, "getNumTrees") else 0
+            scored = _scored(model, checked, label)
         r = evaluate.binary_report(scored, 0.5).first()
-        trees = trained.model.getNumTrees if hasattr(trained.model, "getNumTrees") else 0
-        rows.append({"trial": i, "params": str(dict(chosen)), "best_iter": trees,
-                     "valid_roc_auc": r.roc_auc, "valid_pr_auc": r.pr_auc, "valid_f1": r.f1,
-                     "seconds": trained.seconds})
+        return {"trial": i, "params": str(dict(params[i])), "best_iter": trees,
+                "valid_roc_auc": r.roc_auc, "valid_pr_auc": r.pr_auc, "valid_f1": r.f1,
+                "seconds": seconds}
+
+    rows = concurrently(trial, range(len(params)), parallel)
     best = max(rows, key=lambda r: (r["valid_pr_auc"], -r["trial"]))
     estimator, preprocessor = make(**params[best["trial"]])
-    refitted = fit(train.unionByName(valid), estimator, preprocessor)
-    return _report(train.sparkSession, rows), refitted
+    if isinstance(estimator, GBTClassifier):
+        estimator = estimator.copy({estimator.maxIter: best["best_iter"]})
+    return _report(spark, rows), fit(train.unionByName(valid), estimator, preprocessor)
+
+
+def _weighted_models(train: DataFrame, others: Sequence[DataFrame], weights: Mapping[str, Column],
+                     make: Callable[[], tuple], parallel: int
+                     ) -> tuple[dict[str, Trained], list[DataFrame]]:
+    """A model for each weighting, fitted at the same time on rows that are prepared once, and the
+    other tables prepared."""
+    estimator, preprocessor = make()
+    names = {n: f"_weight_{i}" for i, n in enumerate(weights)}
+    rows = train.withColumns({names[n]: w for n, w in weights.items()})
+    preprocessor.fit(rows.filter(F.col(preprocessor.label).isNotNull()))
+    prepared = fitting_rows(preprocessor.transform_train(row_fold()), None)
+
+    def fitted(name: str) -> Trained:
+        start = time.time()
+        chosen = estimator.copy({estimator.getParam("weightCol"): names[name]})
+        return Trained(preprocessor, chosen.fit(prepared), time.time() - start)
+
+    trained = dict(zip(weights, concurrently(fitted, list(weights), parallel)))
+    return trained, [cut(preprocessor.transform(o)) for o in others]
 
 
 def sweep_weights(train: DataFrame, test: DataFrame, label: str, weights: Mapping[str, Column],
-                  make: Callable[[], tuple]) -> DataFrame:
-    """One fit per weighting; ranking and threshold metrics, best PR-AUC first."""
-    rows = []
-    for name, weight in weights.items():
-        estimator, preprocessor = make()
-        trained = fit(train.withColumn("weight", weight), estimator, preprocessor)
-        scored = trained.score(test).select(F.col(label).alias("label"), "score")
-        r = evaluate.binary_report(scored, 0.5).first()
-        rows.append({"weighting": name, "roc_auc": r.roc_auc, "pr_auc": r.pr_auc,
-                     "precision": r.precision, "recall": r.recall, "f1": r.f1})
+                  make: Callable[[], tuple], parallel: int = PARALLEL) -> DataFrame:
+    """One fit per weighting on rows that are prepared once; ranking and threshold metrics, best
+    PR-AUC first. The estimator of `make` takes weights."""
+    trained, (checked,) = _weighted_models(train, [test], weights, make, parallel)
+
+    def row(name: str) -> dict:
+        r = evaluate.binary_report(_scored(trained[name].model, checked, label), 0.5).first()
+        return {"weighting": name, "roc_auc": r.roc_auc, "pr_auc": r.pr_auc,
+                "precision": r.precision, "recall": r.recall, "f1": r.f1}
+
+    rows = concurrently(row, list(weights), parallel)
     rows.sort(key=lambda r: (-r["pr_auc"], r["weighting"]))
     return _report(train.sparkSession, rows)
 
@@ -486,69 +593,152 @@ def multiclass_report(trained: Trained, df: DataFrame, label: str,
     return evaluate.multiclass_metrics(rows, labels)
 
 
+def _class_metrics(predicted: DataFrame, label: str, labels: Sequence[str]) -> Row:
+    """Accuracy and macro-F1 of rows with class numbers in `label` and `prediction`."""
+    name = class_names(labels)
+    rows = predicted.select(name(F.col(label)).alias("label"),
+                            name(F.col("prediction")).alias("prediction"))
+    return evaluate.multiclass_metrics(rows, labels).first()
+
+
 def sweep_alphas(train: DataFrame, test: DataFrame, label: str, alphas: Sequence[float],
-                 labels: Sequence[str], make: Callable[[], tuple]) -> DataFrame:
-    """One fit for each strength of class weighting; accuracy and macro-F1, best macro-F1 first.
-    `label` numbers the classes of `labels`; alpha 0 weighs all rows alike, 1 all classes."""
-    rows = []
-    for alpha in alphas:
-        estimator, preprocessor = make()
-        weighted = with_class_weight(train, label, alpha, normalise=True)
-        r = multiclass_report(fit(weighted, estimator, preprocessor), test, label, labels).first()
-        rows.append({"alpha": float(alpha), "accuracy": r.accuracy, "macro_f1": r.macro_f1})
-    rows.sort(key=lambda r: (-round(r["macro_f1"], 9), r["alpha"]))
-    return _report(train.sparkSession, rows)
+                 labels: Sequence[str], make: Callable[[], tuple],
+                 parallel: int = PARALLEL) -> DataFrame:
+    """One fit for each strength of class weighting, on rows that are prepared once; accuracy and
+    macro-F1, best macro-F1 first. `label` numbers the classes of `labels`; alpha 0 weighs all
+    rows alike, 1 all classes."""
+    estimator, preprocessor = make()
+    weighted = train
+    for i, alpha in enumerate(alphas):
+        weighted = with_class_weight(weighted, label, alpha, normalise=True).withColumnRenamed(
+            "weight", f"_weight_{i}")
+    rows, checked = _prepared(weighted, test, preprocessor, None)
+
+    def row(i: int) -> dict:
+        chosen = estimator.copy({estimator.getParam("weightCol"): f"_weight_{i}"})
+        r = _class_metrics(chosen.fit(rows).transform(checked), label, labels)
+        return {"alpha": float(alphas[i]), "accuracy": r.accuracy, "macro_f1": r.macro_f1}
+
+    found = concurrently(row, range(len(alphas)), parallel)
+    found.sort(key=lambda r: (-round(r["macro_f1"], 9), r["alpha"]))
+    return _report(train.sparkSession, found)
 
 
 def tune_multiclass(train: DataFrame, valid: DataFrame, label: str, labels: Sequence[str],
-                    params: Sequence[Mapping], make: Callable[..., tuple]) -> DataFrame:
-    """Random search over class models, ranked by macro-F1 on the validation rows."""
-    rows = []
-    for i, chosen in enumerate(params):
-        trained = fit(train, *make(**chosen))
-        r = multiclass_report(trained, valid, label, labels).first()
-        rows.append({"trial": i, "params": str(dict(chosen)), "accuracy": r.accuracy,
-                     "macro_f1": r.macro_f1, "seconds": trained.seconds})
+                    params: Sequence[Mapping], make: Callable[..., tuple],
+                    fit_rows: int | None = FIT_ROWS, parallel: int = PARALLEL
+                    ) -> tuple[DataFrame, Trained]:
+    """Random search over class models of boosted trees one against the rest, ranked by macro-F1 on
+    the validation rows, and the best setting refitted on train and validation together.
+
+    All trees of a trial are fitted once. Staged scores of its class models give, after each
+    round, the class of highest margin; the round of highest macro-F1 (of equals the smallest)
+    stands for the trial, and the refit has that many. Class models of all trials run at the same
+    time, on `fit_rows` rows at most (None: all); preparation is made once for each setting of it.
+    """
+    spark = train.sparkSession
+    settings = {repr(make(**p)[1]): p for p in params}
+    ready = {s: _prepared(train, valid, make(**p)[1], fit_rows) for s, p in settings.items()}
+    classes = range(len(labels))
+
+    def one_class(task: tuple[int, int]) -> tuple[float, DataFrame, int]:
+        i, cls = task
+        estimator, preprocessor = make(**params[i])
+        rows, checked = ready[repr(preprocessor)]
+        against = F.when(F.col(label) == cls, 1.0).otherwise(0.0)
+        chosen = estimator.getClassifier().copy()
+        chosen = chosen.copy({chosen.getParam("labelCol"): "_is",
+                              chosen.getParam("weightCol"): estimator.getWeightCol()})
+        start = time.time()
+        model = chosen.fit(rows.withColumn("_is", against))
+        rounds = model.getNumTrees
+        scored = staged_scores(spark, model, checked.select(*ROW_KEY, label, "features"),
+                               list(range(1, rounds + 1)))
+        return time.time() - start, scored.withColumn("_cls", F.lit(cls)), rounds
+
+    tasks = [(i, c) for i in range(len(params)) for c in classes]
+    done = dict(zip(tasks, concurrently(one_class, tasks, parallel)))
+
+    def trial(i: int) -> dict:
+        parts = [done[i, c][1] for c in classes]
+        every = parts[0]
+        for p in parts[1:]:
+            every = every.unionByName(p)
+        # One row for each row and round: the class whose model is surest, of equals the first.
+        stages = every.select(*ROW_KEY, label, "_cls", F.posexplode("scores").alias("stage", "p"))
+        predicted = stages.groupBy(*ROW_KEY, label, "stage").agg(
+            F.min_by("_cls", F.struct(-F.col("p"), "_cls")).alias("prediction"))
+        name = class_names(labels)
+        cells = predicted.groupBy("stage", name(F.col(label)).alias("label"), name(
+            F.col("prediction")).alias("prediction")).agg(F.count("*").alias("n")).collect()
+        found = [(*_macro_f1([c for c in cells if c.stage == s], labels), s + 1)
+                 for s in sorted({c.stage for c in cells})]
+        f1, accuracy, best = max(found, key=lambda x: (round(x[0], 9), -x[2]))
+        return {"trial": i, "params": str(dict(params[i])), "best_iter": best,
+                "accuracy": accuracy, "macro_f1": f1,
+                "seconds": sum(done[i, c][0] for c in classes)}
+
+    rows = concurrently(trial, range(len(params)), parallel)
     rows.sort(key=lambda r: (-round(r["macro_f1"], 9), r["trial"]))
-    return _report(train.sparkSession, [r | {"rank": n} for n, r in enumerate(rows, start=1)])
+    best = rows[0]
+    estimator, preprocessor = make(**params[best["trial"]])
+    inner = estimator.getClassifier()
+    estimator = estimator.copy({estimator.classifier: inner.copy({inner.maxIter: best["best_iter"]})})
+    return (_report(spark, [r | {"rank": n} for n, r in enumerate(rows, start=1)]),
+            fit(train.unionByName(valid), estimator, preprocessor))
+
+
+def _macro_f1(cells: Sequence[Row], labels: Sequence[str]) -> tuple[float, float]:
+    """(macro-F1, accuracy) from the cells of a confusion table; a class that is neither there nor
+    predicted has F1 0."""
+    total = sum(c.n for c in cells)
+    scores = []
+    for v in labels:
+        both = sum(c.n for c in cells if c.label == v and c.prediction == v)
+        either = sum(c.n for c in cells if c.label == v) + sum(
+            c.n for c in cells if c.prediction == v)
+        scores.append(2 * both / either if either else 0.0)
+    right = sum(c.n for c in cells if c.label == c.prediction)
+    return sum(scores) / len(labels), right / total if total else 0.0
 
 
 def compare_feature_sets(train: DataFrame, test: DataFrame, label: str,
                          sets: Mapping[str, Sequence[str]], make: Callable[[Sequence[str]], tuple],
-                         ) -> DataFrame:
-    """One fit per feature set; metrics, best PR-AUC first."""
-    rows = []
-    for name, columns in sets.items():
-        estimator, preprocessor = make(columns)
-        trained = fit(train, estimator, preprocessor)
-        scored = trained.score(test).select(F.col(label).alias("label"), "score")
-        r = evaluate.binary_report(scored, 0.5).first()
-        rows.append({"feature_set": name, "n_features": len(columns), "roc_auc": r.roc_auc,
-                     "pr_auc": r.pr_auc, "precision": r.precision, "recall": r.recall,
-                     "f1": r.f1})
+                         parallel: int = PARALLEL) -> DataFrame:
+    """One fit per feature set, at the same time; metrics, best PR-AUC first."""
+    def row(name: str) -> dict:
+        estimator, preprocessor = make(sets[name])
+        rows, checked = _prepared(train, test, preprocessor, None)
+        r = evaluate.binary_report(_scored(estimator.fit(rows), checked, label), 0.5).first()
+        return {"feature_set": name, "n_features": len(sets[name]), "roc_auc": r.roc_auc,
+                "pr_auc": r.pr_auc, "precision": r.precision, "recall": r.recall, "f1": r.f1}
+
+    rows = concurrently(row, list(sets), parallel)
     rows.sort(key=lambda r: (-r["pr_auc"], r["feature_set"]))
     return _report(train.sparkSession, rows)
 
 
 def select_bundle(train: DataFrame, valid: DataFrame, test: DataFrame, label: str,
                   weights: Mapping[str, Column], grid: Sequence[float],
-                  make: Callable[[], tuple]) -> DataFrame:
-    """Weight x threshold search on validation: best PR-AUC, then best F1; one test score."""
-    best = None
-    for name, weight in weights.items():
-        estimator, preprocessor = make()
-        trained = fit(train.withColumn("weight", weight), estimator, preprocessor)
-        scored = cut(trained.score(valid).select(F.col(label).alias("label"), "score"))
+                  make: Callable[[], tuple], parallel: int = PARALLEL) -> DataFrame:
+    """Weight x threshold search on validation: best PR-AUC, then best F1; one test score. Rows are
+    prepared once for all weightings."""
+    trained, (checked, tested) = _weighted_models(train, [valid, test], weights, make, parallel)
+
+    def tried(name: str) -> tuple:
+        scored = cut(_scored(trained[name].model, checked, label))
         ranked = evaluate.ranking_metrics(scored).first()
-        point = evaluate.best_threshold(evaluate.threshold_sweep(scored, grid)).first()
-        key = (ranked.pr_auc, point.f1)
-        if best is None or key > best[0]:
-            best = (key, name, trained, point)
-    (pr_auc, f1), name, trained, point = best
-    tested = trained.score(test).select(F.col(label).alias("label"), "score")
-    return evaluate.binary_report(tested, point.threshold).select(
+        return ranked.pr_auc, evaluate.best_threshold(
+            evaluate.threshold_sweep(scored, grid)).first()
+
+    found = dict(zip(weights, concurrently(tried, list(weights), parallel)))
+    # Of equals the first weighting.
+    name = max(weights, key=lambda n: (found[n][0], found[n][1].f1))
+    pr_auc, point = found[name]
+    final = _scored(trained[name].model, tested, label)
+    return evaluate.binary_report(final, point.threshold).select(
         F.lit(name).alias("weighting"), F.lit(point.threshold).alias("threshold"),
-        F.lit(pr_auc).alias("valid_pr_auc"), F.lit(f1).alias("valid_f1"), "*")
+        F.lit(pr_auc).alias("valid_pr_auc"), F.lit(point.f1).alias("valid_f1"), "*")
 
 
 # ---- calibration ----
@@ -558,32 +748,37 @@ def select_bundle(train: DataFrame, valid: DataFrame, test: DataFrame, label: st
 class Calibrated:
     """Fold models with an isotonic curve each; the probability is their mean."""
 
-    parts: Sequence[tuple[Trained, Model]]
+    parts: Sequence[tuple[Trained, DataFrame]]
 
     def score(self, df: DataFrame) -> DataFrame:
         out, made = df, []
         for i, (trained, curve) in enumerate(self.parts):
             scored = trained.score(out).select(*df.columns, *made, "score")
             made.append(f"_c{i}")
-            out = curve.setPredictionCol(made[-1]).transform(scored).drop("score")
+            out = isotonic.apply_isotonic(scored, curve, name=made[-1]).drop("score")
         total = sum((F.col(c) for c in made[1:]), F.col(made[0]))
         return out.withColumn("score", total / len(made)).select(*df.columns, "score")
 
 
 def calibrate_isotonic(df: DataFrame, label: str, fold: str, make: Callable[[], tuple],
-                       ) -> Calibrated:
-    """Per fold: fit on the other folds, learn the isotonic curve on the held-out one."""
-    parts = []
-    for f in sorted(r[fold] for r in df.select(fold).distinct().collect()):
+                       fit_rows: int | None = None, parallel: int = PARALLEL) -> Calibrated:
+    """Per fold: fit on the other folds (on `fit_rows` of their rows at most, if given), learn the
+    isotonic curve on all rows of the held-out one. Folds are fitted at the same time; violators
+    are pooled in parts (`isotonic`), not on the driver."""
+    def part(f) -> tuple[Trained, DataFrame]:
         estimator, preprocessor = make()
-        trained = fit(df.filter(F.col(fold) != f), estimator, preprocessor)
-        held = trained.score(df.filter(F.col(fold) == f))
-        # Equal scores collapse into one weighted point.
-        points = held.groupBy("score").agg(F.avg(label).alias("share"),
-                                           F.count("*").cast("double").alias("rows"))
-        curve = IsotonicRegression(featuresCol="score", labelCol="share", weightCol="rows")
-        parts.append((trained, curve.fit(points)))
-    return Calibrated(parts)
+        start = time.time()
+        rows, held = _prepared(df.filter(F.col(fold) != f),
+                               df.filter((F.col(fold) == f) & F.col(label).isNotNull()),
+                               preprocessor, fit_rows)
+        model = estimator.fit(rows)
+        curve = isotonic.isotonic_blocks(_scored(model, held, label))
+        if isinstance(model, RandomForestClassificationModel):
+            model = model.copy()
+        return Trained(preprocessor, model, time.time() - start), curve
+
+    folds = sorted(r[fold] for r in df.select(fold).distinct().collect())
+    return Calibrated(concurrently(part, folds, parallel))
 
 
 # ---- explanation ----

@@ -121,7 +121,8 @@ def _orders(interactions: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def quantity_sides(interactions: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Train and test orders with `label`, the number of the quantity class."""
+    """Train and test orders with `label`, the number of the quantity class: exact shares of each
+    class."""
     df = _orders(interactions, items).withColumn("quantity_class",
                                                  quantity_class(F.col("quantity")))
     classes = F.array(*map(F.lit, schema.QUANTITY_CLASSES))
@@ -165,18 +166,19 @@ def quantity_tree_experiment(interactions: DataFrame, items: DataFrame) -> DataF
 
 
 def per_group_experiment(interactions: DataFrame, items: DataFrame, group: str,
-                         rounds: int = 3, depth: int = 3) -> DataFrame:
-    """One boosted model per group value, the constant group column left out; test report."""
+                         rounds: int = 50, depth: int = 6, min_rows: int = 1000) -> DataFrame:
+    """One boosted model for each large group, the constant group column left out, and one for the
+    rest with the group as an input; a test report for each group. Rows without a group are told
+    as "(none)"."""
     df = price_frame(joins.enrich(null_nonpositive(interactions), items))
     df = cut(df.withColumn("label", F.col("order").cast("double")))
     split = sampling.time_split(df, [schema.TEST_DAY])
     fitted = models.train_per_group(
         split.filter(F.col("split") == "train").drop("split"), group,
-        lambda: boosted_parts(rounds=rounds, depth=depth, target=["manufacturer"]))
+        lambda pooled: boosted_parts(rounds=rounds, depth=depth, target=[
+            "manufacturer", *([group] if pooled else [])]), min_rows)
     test = split.filter(F.col("split") == "test").drop("split")
-    scored = None
-    for value, trained in fitted.items():
-        part = trained.score(test.filter(F.col(group) == value)).select(
-            F.lit(value).alias(group), F.col("order").alias("label"), "score")
-        scored = part if scored is None else scored.unionByName(part)
-    return evaluate.binary_report(scored, 0.5, [group])
+    scored = fitted.score(test).select(
+        F.coalesce(F.col(group).cast("string"), F.lit("(none)")).alias(group), "pooled",
+        F.col("order").alias("label"), "score")
+    return evaluate.binary_report(scored, 0.5, [group, "pooled"])

@@ -9,6 +9,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import functions as F
 
 from marketgauge.operators import isotonic, models
+from marketgauge.operators.neighbour_information import neighbour_information
 from marketgauge.operators.staged import staged_log_loss, staged_scores
 
 
@@ -100,3 +101,129 @@ def test_isotonic_in_parts_equals_one_pass(spark):
             assert out.filter("score is null").first().calibrated is None
     empty = isotonic.isotonic_blocks(df.limit(0))
     assert empty.count() == 0
+
+
+def digamma(x):
+    z = x + 20.0
+    series = math.log(z) - 1 / (2 * z) - 1 / (12 * z ** 2) + 1 / (120 * z ** 4)
+    return series - sum(1 / (x + j) for j in range(20))
+
+
+def information(values, labels, k):
+    """The estimate by all pairs."""
+    pairs = [(round(v * 1e6), y) for v, y in zip(values, labels) if v is not None and y is not None]
+    pairs = [(x, y) for x, y in pairs if sum(b == y for _, b in pairs) > 1]
+    total, gain = len(pairs), 0.0
+    for i, (x, y) in enumerate(pairs):
+        same = sorted(abs(x - u) for j, (u, b) in enumerate(pairs) if b == y and j != i)
+        near = min(k, len(same))
+        radius = same[near - 1]
+        m = sum(abs(x - u) < radius if radius else u == x for u, _ in pairs)
+        gain += digamma(near) - digamma(len(same) + 1) - digamma(m)
+    return max(0.0, digamma(total) + gain / total)
+
+
+@pytest.mark.parametrize("k,block", [(3, 50_000), (1, 7), (5, 11)])
+def test_neighbour_information(spark, k, block):
+    rng = np.random.default_rng(1)
+    label = [str(x) for x in rng.integers(0, 3, 300)] + ["rare", "two", "two", None]
+    near = [float(int(y) + rng.normal()) if y and y.isdigit() else 0.5 for y in label]
+    tied = [float(round(x)) if i % 9 else None for i, x in enumerate(near)]
+    noise = [float(x) for x in rng.random(len(label))]
+    noise[5] = float("nan")
+    df = spark.createDataFrame(list(zip(label, near, tied, noise, [None] * len(label))),
+                               "y string, near double, tied double, noise double, none double")
+    got = {r["column"]: r.mi for r in neighbour_information(
+        df.repartition(4), "y", ["near", "tied", "noise", "none"], k, block=block).collect()}
+    noise[5] = None
+    assert set(got) == {"near", "tied", "noise"}
+    for name, values in (("near", near), ("tied", tied), ("noise", noise)):
+        assert got[name] == pytest.approx(information(values, label, k), abs=1e-7)
+    assert got["near"] > got["noise"]
+    assert neighbour_information(df.limit(0), "y", ["near"]).count() == 0
+
+
+def test_group_models(spark, rows):
+    grouped = rows.withColumn("g", F.when(F.col("lineID") < 500, "large").when(
+        F.col("lineID") < 900, "middle").when(F.col("lineID") < 1100, F.concat(
+            F.lit("small"), (F.col("lineID") % 40).cast("string"))))
+    made = []
+
+    def make(pooled):
+        made.append(pooled)
+        return (models.boosted(weight=None, rounds=3, depth=2), models.Preprocessor(
+            numeric=["x", "z"], target=["g"] if pooled else []))
+
+    fitted = models.train_per_group(grouped, "g", make, min_rows=300)
+    assert sorted(fitted.own) == ["large", "middle"] and made.count(True) == 1
+    assert fitted.pooled.preprocessor.names == ["x", "z", "g_te"]
+    scored = fitted.score(grouped.withColumn("extra", F.lit(1)))
+    assert scored.columns == [*grouped.columns, "extra", "score", "pooled"]
+    out = {r.lineID: r for r in scored.collect()}
+    assert len(out) == 1200 and all(0 < r.score < 1 for r in out.values())
+    assert {r.pooled for r in out.values() if r.lineID < 900} == {False}
+    assert {r.pooled for r in out.values() if r.lineID >= 900} == {True}
+    # A model of its own is the one fitted on the group's rows.
+    own = models.fit(grouped.filter("g = 'large'").drop("g"), *make(False))
+    alone = {r.lineID: r.score for r in own.score(grouped.filter("g = 'large'")).collect()}
+    assert all(abs(out[i].score - s) < 1e-12 for i, s in alone.items())
+    # However many groups there are, the number of models is bounded.
+    assert not models.train_per_group(grouped, "g", make, min_rows=1, max_models=2).own
+    one = models.train_per_group(grouped.withColumn("label", F.lit(1.0)), "g", make)
+    assert not one.own and one.pooled is None
+    assert one.score(grouped).filter("score is null").count() == 1200
+
+
+def test_random_search_takes_the_best_round(spark, rows):
+    train, valid = rows.filter("lineID % 2 = 0"), rows.filter("lineID % 2 = 1")
+
+    def make(rate):
+        return (models.boosted(weight=None, rounds=12, depth=4, rate=rate),
+                models.Preprocessor(numeric=["x", "z"]))
+
+    trials, best = models.tune_random(train, valid, "label", [{"rate": 0.9}, {"rate": 0.05}], make)
+    found = {r.trial: r for r in trials.collect()}
+    # A high rate fits noise after a few rounds.
+    assert found[0].best_iter < 12 and found[0].best_iter <= found[1].best_iter
+    chosen = max(found.values(), key=lambda r: r.valid_pr_auc)
+    assert best.model.getNumTrees == chosen.best_iter
+
+
+def test_class_search_takes_the_best_round(spark):
+    df = spark.range(600).select(
+        F.col("id").alias("lineID"), F.lit(1.0).alias("price"), F.lit(1.0).alias("weight"),
+        (F.pmod(F.xxhash64("id"), F.lit(300)) / 100).alias("x"))
+    df = df.withColumn("label", F.floor("x").cast("double")).cache()
+    train, valid = df.filter("lineID % 3 > 0"), df.filter("lineID % 3 = 0")
+    labels = ["a", "b", "c"]
+
+    def make(rounds):
+        return (models.quantity_classifier(rounds=rounds, depth=2),
+                models.Preprocessor(numeric=["x"]))
+
+    trials, best = models.tune_multiclass(train, valid, "label", labels, [{"rounds": 4}], make)
+    row = trials.first()
+    assert row.macro_f1 > 0.95 and 1 <= row.best_iter <= 4 and row["rank"] == 1
+    plain = models.fit(train, *make(4))
+    report = models.multiclass_report(plain, valid, "label", labels).first()
+    assert row.macro_f1 >= report.macro_f1 - 1e-9
+    assert models.multiclass_report(best, valid, "label", labels).first().accuracy > 0.95
+
+
+def test_calibration_in_folds(spark, rows):
+    def make():
+        return (models.forest(weight=None, trees=5, depth=4, min_leaf=5),
+                models.Preprocessor(numeric=["x", "z"]))
+
+    fitted = models.calibrate_isotonic(rows, "label", "fold", make)
+    out = fitted.score(rows)
+    assert out.columns == [*rows.columns, "score"]
+    found = {r.lineID: r.score for r in out.collect()}
+    trained, _ = fitted.parts[0]
+    held = trained.score(rows.filter("fold = 0")).select("score", "label")
+    curve = IsotonicRegression(featuresCol="score", labelCol="label").fit(held)
+    one = {r.lineID: r.p for r in curve.setPredictionCol("p").transform(
+        trained.score(rows).select("lineID", "score")).collect()}
+    mine = models.Calibrated(fitted.parts[:1]).score(rows).collect()
+    assert all(abs(r.score - one[r.lineID]) < 1e-9 for r in mine)
+    assert all(0 <= s <= 1 for s in found.values())
