@@ -114,6 +114,25 @@ def onehot_drop_first(t):
     return encoders.one_hot(df, ["availability", "unit"], drop_first=True)
 
 
+SPARSE = ["unit", "manufacturer", "pid"]
+
+
+@query("onehot_sparse", f"""
+WITH cells AS ({" UNION ALL ".join(
+    f"""SELECT "lineID", '{c}' AS "column", {i} AS place, {c}::VARCHAR AS v
+    FROM enriched WHERE {c} IS NOT NULL""" for i, c in enumerate(SPARSE))})
+SELECT "lineID", "column", dense_rank() OVER (ORDER BY place, v) - 1 AS "index" FROM cells""",
+       ("enriched",))
+def onehot_sparse(t):
+    df = joins.enrich(t.interactions, t.items, ["unit", "manufacturer"]).select("lineID", *SPARSE)
+    table = encoders.level_table(df, SPARSE)
+    hot = encoders.sparse_one_hot(df, SPARSE, table).select("lineID", F.explode("levels")
+                                                            .alias("index"))
+    # The index tells the column again.
+    return joins.lookup(hot, table.select("index", "column"), ["index"], stored=True).select(
+        "lineID", "column", "index")
+
+
 @query("price_position", f"""
 SELECT "lineID", {q('price / rrp')} AS price_to_rrp_ratio,
   {q('(rrp - price) / rrp')} AS discount_to_rrp_pct,

@@ -68,6 +68,18 @@ def knn_vote(t):
     return rounded(knn.knn_vote(rows.filter("id % 5 <> 0"), rows.filter("id % 5 = 0"), k=7))
 
 
+@query("knn_hashed_vote")
+def knn_hashed_vote(t):
+    """The vote over hash tables, with the recall measured on a twentieth of the queries."""
+    rows = t.table("embeddings").select(F.col("vec_id").alias("id"), "label",
+                                        F.col("embedding").alias("vec"))
+    train, asked = rows.filter("id % 5 <> 0"), rows.filter("id % 5 = 0")
+    found = cut(knn.hashed_neighbours(train, asked, 7))
+    exact = knn.nearest_neighbours(train, asked.filter("id % 100 = 0"), 7)
+    recall = knn.recall_of(found, exact).select("recall").scalar()
+    return knn.votes_of(found).withColumn("recall", recall)
+
+
 KS = list(range(3, 32, 2))
 # Boosting rounds of the registered queries: of the two order models that are benchmarked, of other
 # order models and searches, of quantity models (five class models each). The README has times.

@@ -104,7 +104,8 @@ def merge_infrequent(train: DataFrame, df: DataFrame, cols: Sequence[str],
 def levels(df: DataFrame, col: str, limit: int = 1000) -> list[str]:
     """Sorted distinct values of a column that becomes one column per value.
 
-    A table cannot have more than `limit` such columns, so more levels raise.
+    A table cannot have more than `limit` such columns, so more levels raise; `sparse_one_hot`
+    takes any number.
     """
     rows = (df.select(F.col(col).cast("string").alias("v")).filter(F.col("v").isNotNull())
             .distinct().limit(limit + 1).collect())
@@ -123,6 +124,36 @@ def one_hot(df: DataFrame, cols: Sequence[str], drop_first: bool = False,
     return df.withColumns(hot).drop(*cols)
 
 
+def level_table(df: DataFrame, cols: Sequence[str], drop_first: bool = False) -> DataFrame:
+    """(column, value, index), written: the sorted levels of each column, numbered through the
+    columns in their order; the first of each is left out with `drop_first`. For any number of
+    levels: they are ranked over range partitions."""
+    codes = cut(dense_codes(df, cols))
+    skipped = int(drop_first)
+    place = F.array_position(F.array(*map(F.lit, cols)), F.col("column"))
+    # One row for each column.
+    sizes = codes.groupBy("column").agg((F.max("code") + 1 - skipped).alias("_n"))
+    before = Window.orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("_from", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    kept = codes.filter(F.col("code") >= skipped).join(F.broadcast(offsets), "column")
+    return cut(kept.select("column", "value",
+                           (F.col("code") - skipped + F.col("_from")).alias("index")))
+
+
+def sparse_one_hot(df: DataFrame, cols: Sequence[str], table: DataFrame,
+                   name: str = "levels") -> DataFrame:
+    """Adds `name`: the rising indices of the row's levels in a `level_table`, the ones of a sparse
+    0/1 row; a level that is not in the table (unseen, NULL, the first dropped) has none."""
+    out = df
+    for i, c in enumerate(cols):
+        mine = table.filter(F.col("column") == c).select(
+            F.col("value").alias(f"_v{i}"), F.col("index").alias(f"_i{i}"))
+        out = lookup(out.withColumn(f"_v{i}", F.col(c).cast("string")), mine, [f"_v{i}"],
+                     stored=True)
+    found = F.sort_array(F.array_compact(F.array(*[F.col(f"_i{i}") for i in range(len(cols))])))
+    return out.withColumn(name, found).select(*df.columns, name)
+
+
 def label_encode(df: DataFrame, cols: Sequence[str], order: str = "sorted") -> DataFrame:
     """`<col>_code`: position of the value in sorted order, or in order of first appearance
     (by the smallest lineID that carries it)."""

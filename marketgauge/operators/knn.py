@@ -1,4 +1,4 @@
-"""Exact k-nearest-neighbour vote as a partitioned join.
+"""k-nearest-neighbour vote as a partitioned join: exact, and over hash tables.
 
 Train vectors are grouped by their nearest pivot. The triangle inequality tells from the group
 radii which groups can hold a neighbour of a query, so a query is sent to those only. Groups are
@@ -16,11 +16,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import checked_broadcast, cut, cut_counted
 
 PIVOTS = 64
 TRAIN_CHUNK = 20_000
 QUERY_BLOCK = 5_000
+# Of the hashed way: tables, train rows of a bucket, buckets a query goes to in each table.
+TABLES, BUCKET, PROBES = 8, 2_000, 6
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -148,6 +150,92 @@ def nearest_neighbours(train: DataFrame, queries: DataFrame, k: int, pivots: int
             .drop("_r"))
 
 
+def _met(sent: DataFrame, placed: DataFrame, on: Sequence[str], k: int, train_chunk: int,
+         query_block: int) -> DataFrame:
+    """(id, train_id, label, dist): the k nearest train rows of each query row within each bucket.
+    Large buckets are cut into chunks of train rows and blocks of queries, which all meet."""
+    parts = (placed.groupBy(*on).agg(F.ceil(F.count("*") / train_chunk).alias("_chunks"))
+             .join(sent.groupBy(*on).agg(F.ceil(F.count("*") / query_block).alias("_blocks")),
+                   list(on)))
+    parts = checked_broadcast(parts)
+    mine = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("long")
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = (sent.join(parts, list(on)).withColumn("block", mine("_blocks"))
+            .withColumn("chunk", each("_chunks")).drop("_chunks", "_blocks"))
+    right = (placed.join(parts, list(on)).withColumn("chunk", mine("_chunks"))
+             .withColumn("block", each("_blocks")).drop("_chunks", "_blocks"))
+    keys = [*on, "chunk", "block"]
+    return (left.groupBy(*keys).cogroup(right.groupBy(*keys))
+            .applyInPandas(lambda q, t: _nearest(k)(q, t),
+                           "id long, train_id long, label string, dist double"))
+
+
+def hashed_neighbours(train: DataFrame, queries: DataFrame, k: int, tables: int = TABLES,
+                      bucket: int = BUCKET, probes: int = PROBES, train_chunk: int = TRAIN_CHUNK,
+                      query_block: int = QUERY_BLOCK, seed: int = 42) -> DataFrame:
+    """(id, train_id, label, dist): k near train rows of every query row, most of them the nearest.
+
+    Each of `tables` hash tables cuts the space by random planes through the middle of a small
+    sample, as many as leave about `bucket` train rows together. A query goes to its own bucket
+    and to the `probes` - 1 behind the planes it is nearest to, in each table: the same number
+    whatever the table's size, where the exact way sends it to every group in reach. Distances of
+    what is met are exact; `recall_of` measures what is missed.
+    """
+    train = train.select(F.col("id").cast("long").alias("id"),
+                         F.col("label").cast("string").alias("label"),
+                         F.col("vec").cast("array<double>").alias("vec"))
+    queries = queries.select(F.col("id").cast("long").alias("id"),
+                             F.col("vec").cast("array<double>").alias("vec"))
+    stored, n = cut_counted(train)
+    middle = _pivots(stored, PIVOTS, seed)
+    if not len(middle):
+        return stored.sparkSession.createDataFrame(
+            [], "id long, train_id long, label string, dist double")
+    bits = max(1, math.ceil(math.log2(max(1.0, n / bucket))))
+    planes = np.random.default_rng(seed).normal(size=(tables, middle.shape[1], bits))
+    centre = middle.mean(axis=0)
+    weights = 1 << np.arange(bits, dtype="int64")
+
+    def hashed(most: int):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                x = _matrix(pdf["vec"]) - centre
+                for t in range(tables):
+                    side = x @ planes[t]
+                    own = ((side > 0) * weights).sum(axis=1)
+                    yield pdf.assign(table=t, bucket=own)
+                    # Behind the nearest planes, one at a time, then the two nearest at once.
+                    near = np.argsort(np.abs(side), axis=1)
+                    for p in range(min(most - 1, bits)):
+                        yield pdf.assign(table=t, bucket=own ^ weights[near[:, p]])
+                    if most - 1 > bits > 1:
+                        both = weights[near[:, 0]] ^ weights[near[:, 1]]
+                        yield pdf.assign(table=t, bucket=own ^ both)
+        return run
+
+    placed = cut(stored.mapInPandas(
+        hashed(1), "id long, label string, vec array<double>, table int, bucket long"))
+    sent = cut(queries.mapInPandas(hashed(probes), "id long, vec array<double>, table int, bucket long"))
+    near = _met(sent, placed, ["table", "bucket"], k, train_chunk, query_block)
+    # A train row that is met in several tables counts once.
+    first = Window.partitionBy("id").orderBy("dist", "train_id")
+    return (near.dropDuplicates(["id", "train_id"])
+            .withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= k).drop("_r"))
+
+
+def recall_of(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """(queries, neighbours, recall) of found against exact neighbours of the queries in `exact`. A
+    neighbour is found if one as near is: equal distances are interchangeable."""
+    worst = exact.groupBy("id").agg(F.max("dist").alias("far"), F.count("*").alias("n"))
+    hits = (found.join(worst, "id").filter(F.col("dist") <= F.col("far") * (1 + 1e-9))
+            .groupBy("id").agg(F.count("*").alias("hits")))
+    return worst.join(hits, "id", "left").agg(
+        F.count("*").alias("queries"), F.sum("n").alias("neighbours"),
+        (F.sum(F.least(F.coalesce("hits", F.lit(0)), "n")) / F.sum("n")).alias("recall"))
+
+
 def votes_of(near: DataFrame, by: Sequence[str] = ("id",)) -> DataFrame:
     """(by.., prediction, score): the label with the largest inverse-distance weight and its
     share. Rows at distance 0 outvote all others; ties go to the smaller label."""

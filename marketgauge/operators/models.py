@@ -26,6 +26,8 @@ from . import evaluate, isotonic
 from .cleaning import modes
 from .encoders import (INFREQUENT, TargetTable, frequent_levels, spline_basis, spline_ends,
                        target_encode_cv, target_table)
+from .joins import lookup
+from .ordered import dense_codes
 from .sampling import ROW_KEY, hash_ranks, random_sample
 from .staged import staged_log_loss, staged_scores
 
@@ -113,6 +115,7 @@ class Preprocessor:
     _medians: dict[str, float] = field(default_factory=dict)
     _modes: dict[str, str] = field(default_factory=dict)
     _levels: dict[str, list[str]] = field(default_factory=dict)
+    _tables: dict[str, tuple[DataFrame, int]] = field(default_factory=dict, repr=False)
     _moments: dict[str, tuple[float, float]] = field(default_factory=dict)
     _ends: dict[str, tuple[float, float]] = field(default_factory=dict)
     _encoding: TargetTable | None = field(default=None, repr=False)
@@ -129,11 +132,14 @@ class Preprocessor:
         if self.one_hot:
             self._modes = modes(train, self.one_hot)
         for c in self.one_hot:
-            kept = [r.value for r in frequent_levels(train, c, self.min_frequency)
-                    .limit(MAX_LEVELS + 1).collect()]
+            frequent = frequent_levels(train, c, self.min_frequency)
+            kept = [r.value for r in frequent.limit(MAX_LEVELS + 1).collect()]
             if len(kept) > MAX_LEVELS:
-                raise ValueError(f"{c} has more than {MAX_LEVELS} frequent levels")
-            self._levels[c] = [*sorted(kept), INFREQUENT]
+                # Too many for an expression: a written table of level numbers is joined instead.
+                self._tables[c] = cut_counted(dense_codes(frequent, ["value"]).select(
+                    F.col("value").alias(f"v_{c}"), F.col("code").alias(f"c_{c}")))
+            else:
+                self._levels[c] = [*sorted(kept), INFREQUENT]
         if self.target:
             self._encoding = target_table(train, self.target, self.label)
         if self.splines:
@@ -146,17 +152,23 @@ class Preprocessor:
         columns = self._columns()
         stages = []
         for c in self.one_hot:
-            stages.append(StringIndexerModel.from_labels(
-                self._levels[c], inputCol=f"x_{c}", outputCol=f"i_{c}", handleInvalid="error"))
+            if c in self._levels:
+                stages.append(StringIndexerModel.from_labels(
+                    self._levels[c], inputCol=f"x_{c}", outputCol=f"i_{c}", handleInvalid="error"))
             stages.append(OneHotEncoder(inputCol=f"i_{c}", outputCol=f"h_{c}", dropLast=False))
         hot = [f"h_{c}" for c in self.one_hot]
         stages.append(VectorAssembler(inputCols=[*columns, *hot], outputCol="features"))
         # The stages learn nothing from rows: sizes come from the fixed labels.
         probe = self._prepare(train.limit(1).withColumns(
             {f"{c}_te": F.lit(0.0) for c in self.target}))
+        probe = probe.withColumns({f"i_{c}": F.lit(float(n)) for c, (_, n) in self._tables.items()})
         self._assembler = Pipeline(stages=stages).fit(probe)
         self.names = [c.removeprefix("x_") for c in columns]
-        self.names += [f"{c}={v}" for c in self.one_hot for v in self._levels[c]]
+        for c in self.one_hot:
+            # As many names as the vector has places.
+            self.names += [f"{c}={v}" for v in self._levels.get(c) or [*[
+                r[0] for r in self._tables[c][0].orderBy(f"c_{c}").select(f"v_{c}").collect()],
+                INFREQUENT]]
         return self
 
     def _columns(self) -> list[str]:
@@ -181,6 +193,11 @@ class Preprocessor:
         made: dict[str, Column] = {c: (F.col(c) - m) / s for c, (m, s) in self._moments.items()}
         for c in self.one_hot:
             value = F.coalesce(F.col(c).cast("string"), F.lit(self._modes.get(c, INFREQUENT)))
+            if c in self._tables:
+                table, n = self._tables[c]
+                out = lookup(out.withColumn(f"v_{c}", value), table, [f"v_{c}"], stored=True)
+                made[f"i_{c}"] = F.coalesce(f"c_{c}", F.lit(n)).cast("double")
+                continue
             made[f"x_{c}"] = F.when(value.isin(self._levels[c]), value).otherwise(INFREQUENT)
         return out.withColumns(made) if made else out
 
@@ -815,27 +832,44 @@ def tree_rules(trained: Trained) -> DataFrame:
     return spark.createDataFrame(lines, "line int, rule string")
 
 
-def permutation_importance(trained: Trained, df: DataFrame, label: str,
-                           features: Sequence[str], repeats: int = 5,
-                           keys: Sequence[str] = ROW_KEY) -> DataFrame:
-    """ROC-AUC lost when one column is shuffled: mean and deviation over repeats.
+ROWS_PER_BUCKET = 200_000
+
+
+def permuted_rows(df: DataFrame, features: Sequence[str], repeats: int,
+                  keys: Sequence[str] = ROW_KEY) -> DataFrame:
+    """(columns of df.., _others): for each repeat, in order, a struct of the tested columns of one
+    other row. A repeat pairs every row with one other by two hash ranks, a permutation.
 
-    A repeat pairs every row with one other row by two hash ranks (a permutation built by a
-    join); the value of the tested column is taken from the partner. All columns and repeats
-    are scored in one pass.
+    Rows are written once, in buckets of their number. Only ranks, row numbers and the tested
+    columns are exchanged; the permuted values come to the buckets, where the rows stay.
     """
-    columns = [c for c in df.columns]
-    base = df.withColumn("_own", F.struct(*columns))
-    parts = []
+    spark = df.sparkSession
+    numbered, n = cut_counted(df.withColumn("_row", F.monotonically_increasing_id()))
+    name = f"marketgauge_{uuid.uuid4().hex}"
+    buckets = max(1, -(-n // ROWS_PER_BUCKET))
+    (numbered.write.bucketBy(buckets, "_row").sortBy("_row")
+     .option("path", f"{run_folder(spark)}/{name}").saveAsTable(name))
+    moved = None
     for r in range(repeats):
-        mine = hash_ranks(base.select(*keys, "_own"), keys, 100 + r)
-        partner = hash_ranks(df, keys, 200 + r).select(
-            "rank", F.struct(*features).alias("_other"))
-        parts.append(mine.join(partner, "rank").select(
-            F.lit(r).alias("_repeat"), "_own", "_other"))
-    paired = parts[0]
-    for p in parts[1:]:
-        paired = paired.unionByName(p)
+        mine = hash_ranks(numbered.select(*keys, "_row"), keys, 100 + r).select("rank", "_row")
+        partner = hash_ranks(numbered.select(*dict.fromkeys([*keys, *features])), keys, 200 + r)
+        part = mine.join(partner.select("rank", F.struct(*features).alias("other")), "rank").select(
+            "_row", F.struct(F.lit(r).alias("repeat"), "other").alias("pair"))
+        moved = part if moved is None else moved.unionByName(part)
+    # One pair a repeat for each row.
+    pairs = moved.groupBy("_row").agg(F.sort_array(F.collect_list("pair")).alias("_others"))
+    return spark.table(name).join(pairs, "_row").select(
+        *df.columns, F.transform("_others", lambda p: p["other"]).alias("_others"))
+
+
+def permutation_importance(trained: Trained, df: DataFrame, label: str,
+                           features: Sequence[str], repeats: int = 5,
+                           keys: Sequence[str] = ROW_KEY) -> DataFrame:
+    """ROC-AUC lost when one column is shuffled: mean and deviation over repeats. All columns and
+    repeats are scored in one pass; the value of a tested column comes from another row."""
+    columns = list(df.columns)
+    paired = permuted_rows(df, features, repeats, keys).select(
+        F.struct(*columns).alias("_own"), F.posexplode("_others").alias("_repeat", "_other"))
     variants = []
     for f in features:
         swapped = [F.col(f"_other.`{c}`").alias(c) if c == f else F.col(f"_own.`{c}`").alias(c)

@@ -1,9 +1,10 @@
 """Exact-size samples, splits and folds by hash rank.
 
 Rows are ordered by a hash of their key. Instead of sorting a stratum, rows are counted per
-(stratum, top hash bits); only the few buckets a cut falls into are ranked, and the resulting
-threshold keys, a handful per stratum, decide every row where it lies. A stratum that holds a
-third of all rows costs the same as any other, and wide rows are never shuffled.
+(stratum, top hash bits); buckets that a cut falls into are counted again by their next bits until
+few rows are left in them. These are ranked, and the resulting threshold keys, a handful per
+stratum, decide every row where it lies. A stratum that holds a third of all rows costs the same as
+any other, and wide rows are never shuffled.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from ..sources.tables import require_columns
 
 ROW_KEY = ("lineID", "price")
 HASH_BITS = 12
+MOST_RANKED = 100_000  # rows of a bucket that are ranked in one task
 
 
 def order_key(keys: Sequence[str], seed: int) -> Column:
@@ -55,25 +57,41 @@ def join_strata(left: DataFrame, right: DataFrame, columns: Sequence[str],
 
 
 def rank_thresholds(df: DataFrame, strata: Sequence[str], cuts: DataFrame, keys: Sequence[str],
-                    seed: int, bits: int = HASH_BITS) -> DataFrame:
+                    seed: int, bits: int = HASH_BITS, most: int = MOST_RANKED) -> DataFrame:
     """(strata.., thresholds[], below_first): the order key of the row at each `cut_rank`
-    (1-based) of its stratum. Rank 0 has no row; such cuts are counted in `below_first`."""
+    (1-based) of its stratum. Rank 0 has no row; such cuts are counted in `below_first`.
+
+    Radix selection: each level counts the buckets of `bits` more hash bits inside those that hold
+    a cut, at most 2^bits of them for a cut, until no such bucket has more than `most` rows (or
+    the hash is used up: rows of one key)."""
     strata = list(strata)
     tagged = df.select(*strata, order_key(keys, seed).alias("_k"))
-    tagged = tagged.withColumn("_b", _bucket(F.col("_k"), bits))
-    # At most strata x 2^bits rows.
-    counts = tagged.groupBy(*strata, "_b").agg(F.count("*").alias("_n"))
-    run = Window.partitionBy(*strata).orderBy("_b")
-    spans = counts.withColumn("_end", F.sum("_n").over(run))
-    spans = spans.withColumn("_start", F.col("_end") - F.col("_n")).drop("_n")
-    hits = (join_strata(spans, cuts, strata)
-            .filter((F.col("_start") < F.col("cut_rank")) & (F.col("cut_rank") <= F.col("_end")))
-            .select(*strata, "_b", "_start", "cut_rank"))
-    hits = cut(hits)
-    edges = checked_broadcast(hits.select(*strata, "_b", "_start").distinct())
-    inside = Window.partitionBy(*strata, "_b").orderBy("_k")
-    ranked = (join_strata(tagged, edges, [*strata, "_b"])
-              .withColumn("cut_rank", F.col("_start") + F.row_number().over(inside)))
+    wanted = cuts.filter(F.col("cut_rank") > 0)
+    zero = F.lit(0).cast("long")
+    inside = tagged.withColumns({"_up": zero, "_from": zero})
+    width = bits
+    while True:
+        rows = inside.withColumn("_b", _bucket(F.col("_k"), width))
+        counts = rows.groupBy(*strata, "_up", "_from", "_b").agg(F.count("*").alias("_n"))
+        run = Window.partitionBy(*strata, "_up").orderBy("_b")
+        spans = counts.withColumn("_end", F.col("_from") + F.sum("_n").over(run))
+        spans = spans.withColumn("_start", F.col("_end") - F.col("_n")).drop("_up", "_from")
+        hits = cut(join_strata(spans, wanted, strata)
+                   .filter((F.col("_start") < F.col("cut_rank"))
+                           & (F.col("cut_rank") <= F.col("_end")))
+                   .select(*strata, "_b", "_start", "_n", "cut_rank"))
+        edges = checked_broadcast(hits.select(*strata, "_b", "_start").distinct())
+        largest = hits.agg(F.max("_n").alias("n")).first().n or 0
+        if largest <= most or width + bits > 64:
+            break
+        up = edges.withColumnsRenamed({"_b": "_up", "_start": "_from"})
+        inside = join_strata(tagged.withColumn("_up", _bucket(F.col("_k"), width)), up,
+                             [*strata, "_up"])
+        width += bits
+    order = Window.partitionBy(*strata, "_b").orderBy("_k")
+    ranked = (join_strata(tagged.withColumn("_b", _bucket(F.col("_k"), width)), edges,
+                          [*strata, "_b"])
+              .withColumn("cut_rank", F.col("_start") + F.row_number().over(order)))
     found = (join_strata(ranked, hits.select(*strata, "cut_rank"), [*strata, "cut_rank"])
              .groupBy(*strata).agg(F.sort_array(F.collect_list("_k")).alias("thresholds")))
     zero = cuts.groupBy(*strata).agg(F.count_if(F.col("cut_rank") == 0).alias("below_first"))
@@ -236,9 +254,12 @@ def oversample(df: DataFrame, label: str, keys: Sequence[str] = ROW_KEY,
             .select(*df.columns, "copy"))
 
 
-def hash_ranks(df: DataFrame, keys: Sequence[str], seed: int, bits: int = HASH_BITS,
+def hash_ranks(df: DataFrame, keys: Sequence[str], seed: int, bits: int | None = None,
                name: str = "rank") -> DataFrame:
-    """Adds a 1-based rank in hash order, ranked per hash bucket (equal sizes by design)."""
+    """Adds a 1-based rank in hash order, ranked per hash bucket (equal sizes by design, about
+    MOST_RANKED rows at most unless `bits` are given)."""
+    if bits is None:
+        bits = max(HASH_BITS, (df.count() // MOST_RANKED).bit_length())
     tagged = df.withColumn("_k", order_key(keys, seed))
     tagged = tagged.withColumn("_b", _bucket(F.col("_k"), bits))
     # At most 2^bits rows.
@@ -246,6 +267,6 @@ def hash_ranks(df: DataFrame, keys: Sequence[str], seed: int, bits: int = HASH_B
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     inside = Window.partitionBy("_b").orderBy("_k")
-    return (tagged.join(F.broadcast(offsets), "_b")
+    return (tagged.join(checked_broadcast(offsets), "_b")
             .withColumn(name, F.col("_off") + F.row_number().over(inside))
             .drop("_k", "_b", "_off"))
