@@ -257,6 +257,16 @@ def unmatched_items(t):
     return joins.unmatched_rows(t.interactions, t.items.filter("genericProduct = 0"))
 
 
+@query("unmatched_by_all_items", """
+SELECT count(*) AS rows, count(*) FILTER (i.pid IS NULL) AS unmatched_rows,
+  count(DISTINCT CASE WHEN i.pid IS NULL THEN t.pid END) AS orphan_pids
+FROM interactions t LEFT JOIN items i USING (pid)""", ("interactions", "items"))
+def unmatched_by_all_items(t):
+    orphans = joins.orphan_keys(t.interactions, t.items, "pid").agg(
+        F.count("pid").alias("orphan_pids")).scalar()
+    return joins.unmatched_rows(t.interactions, t.items).withColumn("orphan_pids", orphans)
+
+
 @query("orphan_pids", """
 SELECT DISTINCT pid FROM interactions
 WHERE pid NOT IN (SELECT pid FROM items WHERE "genericProduct" = 0)""",

@@ -81,9 +81,10 @@ def knn_hashed_vote(t):
 
 
 KS = list(range(3, 32, 2))
-# Boosting rounds of the registered queries: of the two order models that are benchmarked, of other
-# order models and searches, of quantity models (five class models each). The README has times.
-ROUNDS, MANY, QUANTITY = 20, 100, 20
+# Boosting rounds of the registered queries: of the two main order models, of the search whose
+# staged scores pick the best round, of other models, of a search over quantity models (75 class
+# models) and of their weighting (35). The README has times.
+ROUNDS, MANY, SOME, QUANTITY, FEW = 20, 100, 50, 10, 5
 
 
 @query("knn_k_search", f"""
@@ -152,10 +153,15 @@ def model_logistic(t):
 
 @query("model_tree")
 def model_tree(t):
+    """The tree on numbers as they are and on standardised ones."""
     train, test = _action_frame(t)
-    prep = models.Preprocessor(numeric=experiments.NUMBERS, one_hot=experiments.CATEGORIES,
-                               min_frequency=0.01)
-    return _action_report(models.fit(train, models.tree(), prep), test)
+    reports = []
+    for variant, scale in (("plain", False), ("scaled", True)):
+        prep = models.Preprocessor(numeric=experiments.NUMBERS, one_hot=experiments.CATEGORIES,
+                                   min_frequency=0.01, scale=scale)
+        report = _action_report(models.fit(train, models.tree(), prep), test)
+        reports.append(report.select(F.lit(variant).alias("variant"), "*"))
+    return reports[0].unionByName(reports[1])
 
 
 @query("model_additive")
@@ -189,7 +195,7 @@ def history_model(t):
 
 @query("model_quantity")
 def model_quantity(t):
-    return experiments.quantity_experiment(t.interactions, t.items, rounds=MANY, depth=6)
+    return experiments.quantity_experiment(t.interactions, t.items, rounds=SOME, depth=6)
 
 
 @query("model_quantity_tree")
@@ -272,7 +278,7 @@ def alpha_sweep(t):
     train, test = experiments.quantity_sides(t.interactions, t.items)
     return models.sweep_alphas(
         train, test, "label", [0.0, 0.25, 0.4, 0.5, 0.6, 0.75, 1.0], schema.QUANTITY_CLASSES,
-        lambda: experiments.quantity_parts(rounds=QUANTITY))
+        lambda: experiments.quantity_parts(rounds=FEW))
 
 
 def _weightings(train):
@@ -285,7 +291,7 @@ def _weightings(train):
 def weight_sweep(t):
     train, valid, _ = sides(t)
     return models.sweep_weights(train, valid, "order", _weightings(train),
-                                lambda: experiments.boosted_parts(rounds=MANY))
+                                lambda: experiments.boosted_parts(rounds=SOME))
 
 
 @query("select_bundle")
@@ -293,7 +299,7 @@ def select_bundle(t):
     train, valid, test = sides(t)
     return models.select_bundle(train, valid, test, "order", _weightings(train),
                                 evaluate.sweep_grid(0.20, 0.80, 0.05),
-                                lambda: experiments.boosted_parts(rounds=MANY))
+                                lambda: experiments.boosted_parts(rounds=SOME))
 
 
 @query("feature_set_comparison")
@@ -310,7 +316,7 @@ def feature_set_comparison(t):
     sets = {"top_10": ranked[:10], "top_15": ranked[:15], "all": ranked}
     return models.compare_feature_sets(
         train, valid, "order", sets,
-        lambda columns: experiments.boosted_parts(rounds=MANY, numeric=columns, target=[]))
+        lambda columns: experiments.boosted_parts(rounds=SOME, numeric=columns, target=[]))
 
 
 @query("per_group_models")
@@ -321,7 +327,7 @@ def per_group_models(t):
 @query("feature_importance")
 def feature_importance(t):
     train, _, _ = sides(t)
-    return models.feature_importance(experiments.boosted_fit(train, rounds=MANY), top=15)
+    return models.feature_importance(experiments.boosted_fit(train, rounds=SOME), top=15)
 
 
 @query("logit_coefficients")
@@ -343,7 +349,7 @@ def tree_rules(t):
 @query("permutation_importance")
 def permutation_importance(t):
     train, _, test = sides(t)
-    trained = experiments.boosted_fit(train, rounds=MANY)
+    trained = experiments.boosted_fit(train, rounds=SOME)
     return models.permutation_importance(
         trained, test, "order", [*experiments.NUMBERS, *experiments.TARGETS], repeats=5)
 
@@ -354,7 +360,7 @@ GRID = [0.1, 0.5, 0.9, 1.0, 1.1, 1.5, 2.0, 5.0, 10.0]
 @query("partial_dependence")
 def partial_dependence(t):
     train, _, test = sides(t)
-    trained = experiments.boosted_fit(train, rounds=MANY)
+    trained = experiments.boosted_fit(train, rounds=SOME)
     return models.partial_dependence(trained, test, "price_to_rrp_ratio", GRID)
 
 

@@ -155,6 +155,36 @@ def zero_variance(t):
     return stats.zero_variance(df, ["single", "price", "availability", "order"])
 
 
-@query("price_elasticity")
+def newton_sql(steps: int) -> str:
+    """CTEs f0, f1, ..: intercept a and slope b of a logit of y on x in d, by Newton's method, with
+    the second derivatives they were made from."""
+    out = ["f0 AS (SELECT 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS h11, "
+           "1.0::DOUBLE AS det)"]
+    for i in range(steps):
+        out.append(f"""f{i + 1} AS (
+  SELECT a + (h22 * g1 - h12 * g2) / (h11 * h22 - h12 * h12) AS a,
+    b + (h11 * g2 - h12 * g1) / (h11 * h22 - h12 * h12) AS b, h11, h11 * h22 - h12 * h12 AS det
+  FROM (
+    SELECT any_value(a) AS a, any_value(b) AS b, sum(y - p) AS g1, sum((y - p) * x) AS g2,
+      sum(p * (1 - p)) AS h11, sum(p * (1 - p) * x) AS h12, sum(p * (1 - p) * x * x) AS h22
+    FROM (SELECT a, b, x, y, 1 / (1 + exp(-(a + b * x))) AS p FROM d, f{i})))""")
+    return ",\n".join(out)
+
+
+NEWTON, SIMPSON = 9, 2000
+
+
+@query("price_elasticity", f"""
+WITH d AS (SELECT ln(price) AS x, "order"::DOUBLE AS y, price FROM interactions
+  WHERE price > 0 AND "order" IS NOT NULL),
+{newton_sql(NEWTON)},
+z AS (SELECT b, abs(b) / sqrt(h11 / det) AS z FROM f{NEWTON}),
+tail AS (
+  SELECT any_value(b) AS b, 1 - 2 * any_value(z) / {3 * SIMPSON} / sqrt(2 * pi()) * sum(
+    CASE WHEN i = 0 OR i = {SIMPSON} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
+    * exp(-pow(z * i / {SIMPSON}, 2) / 2)) AS p
+  FROM z, range({SIMPSON + 1}) AS r(i))
+SELECT {q('any_value(b)')} AS coefficient, {q('any_value(p)')} AS p_value,
+  {q('any_value(b) * avg(price) * (1 - avg(y))')} AS elasticity FROM d, tail""", ("interactions",))
 def price_elasticity(t):
-    return stats.price_elasticity(t.interactions)
+    return rounded(stats.price_elasticity(t.interactions))

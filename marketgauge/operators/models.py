@@ -35,7 +35,7 @@ MAX_LEVELS = 1000
 DEEPEST = 30  # the deepest tree of MLlib
 # Labelled rows that a trial of a search and a cell of a grid are fitted on, at most, unless told
 # otherwise; all rows are scored. Fits that run at the same time, and rows for one task of a fit.
-FIT_ROWS, GRID_ROWS = 5_000, 2_000
+FIT_ROWS, GRID_ROWS = 5_000, 1_000
 PARALLEL = 8
 ROWS_PER_TASK = 25_000
 
