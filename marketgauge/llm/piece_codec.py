@@ -16,6 +16,7 @@ SPACE = "▁"  # fixed value: the mark that stands for a blank in a vocabulary
 SHORT = 64  # symbols up to which a list is the faster agenda
 NONE = 2 ** 62  # rank of a pair that is no piece
 CACHE = 500_000  # segments a worker keeps
+UNKNOWN = " ⁇ ".encode()  # fixed value: the text of the unknown id
 CHARS = 2_000_000  # characters that are encoded together
 
 
@@ -67,6 +68,11 @@ class PieceCodec:
         self.segments = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n" if self.lines
                                    else f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
         self.names = [str(i) for i in range(len(proto.pieces))]
+        # What an id stands for in a text: a piece, one byte, or nothing (control pieces).
+        kinds = type(proto.pieces[0])
+        self.spelt = {name: b"" if p.type == kinds.CONTROL else bytes([int(p.piece[3:5], 16)])
+                      if p.type == kinds.BYTE else UNKNOWN if p.type == kinds.UNKNOWN
+                      else p.piece.encode() for name, p in zip(self.names, proto.pieces)}
         self.known: dict[str, str] = {}  # the ids of a segment
         self.again: set[str] = set()
 
@@ -142,6 +148,16 @@ class PieceCodec:
     def normalized(self, text: str) -> str:
         return SPACE + text.replace(" ", SPACE) if text else ""
 
+    def decode(self, ids: list[str]) -> str:
+        """The text of ids, given as decimal numbers: pieces put together, single bytes as the
+        characters that they form across pieces, marks as blanks but for the first."""
+        spelt = b"".join(map(self.spelt.__getitem__, ids))
+        try:
+            text = spelt.decode()
+        except UnicodeDecodeError:  # bytes that form no character, which no text is encoded to
+            return self.library.decode([int(i) for i in ids])
+        return text[text.startswith(SPACE):].replace(SPACE, " ")
+
     def encode_batch(self, texts: list[str]) -> list[Encoded]:
         cut = [self.segments(self.normalized(t)) for t in texts]
         wanted = set().union(*cut)
@@ -155,8 +171,8 @@ class PieceCodec:
         ids_of, end, out = self.known.__getitem__, self.names[self.end], []
         for text, segments in zip(texts, cut):
             ids = " ".join([*map(ids_of, segments), end])
-            out.append(Encoded(text, ids, ids.count(" ") + 1,
-                               "".join(segments).replace(SPACE, " ")[1:]))
+            listed = ids.split(" ")
+            out.append(Encoded(text, ids, len(listed), self.decode(listed)))
         return out
 
 
@@ -215,3 +231,25 @@ def encode_pieces(docs: DataFrame, path: str, columns: dict[str, Callable[[Encod
                                                  names=[*names, *columns])
 
     return source.mapInArrow(encoded, schema)
+
+
+def decode_pieces(docs: DataFrame, path: str, ids: str = "ids", name: str = "decoded"
+                  ) -> DataFrame:
+    """Adds `name`: the text of the ids in the array column `ids`, as the library decodes them.
+
+    Control ids give nothing, NULL ids NULL, no ids the empty text; an id that the vocabulary lacks
+    (or a NULL in the array) fails the job. Rows are decoded one by one in Arrow batches with no
+    exchange; other columns go through, a column of the new name is replaced.
+    """
+    source = docs.drop(name)
+    schema = T.StructType([*source.schema.fields, T.StructField(name, T.StringType())])
+
+    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(path)
+        for batch in batches:
+            texts = [None if x.as_py() is None else c.decode([str(i) for i in x.as_py()])
+                     for x in batch.column(ids)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())],
+                                             names=[*batch.schema.names, name])
+
+    return source.mapInArrow(decoded, schema)
