@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, run_folder, scratch
+from ..session import cut, cut_counted, run_folder, scratch
 from .components import components
 from .texts import spare
 from .word_codes import code_slices, mixed, runs
@@ -24,6 +24,8 @@ COMMON = 0.001  # share of the documents that makes an element common
 COMMON_KEPT = 1_000_000  # the most common ones that are sent to all tasks, 8 MB; they settle an
 #                          order of blocks alone, so the result is the same with fewer
 TURNS = 3  # more leaders that signatures try before their pairs are compared: saves work alone
+HOT = 100_000  # a key with more than this part of all rows is sent to all tasks: fewer than HOT keys
+MEMBERS = 1000  # members of a hot signature that are compared in one block
 NO_KEY = -2 ** 63
 SETS = ("id long, code long, n int, h1 long, h2 long, sketch array<long>, element long, "
         "times long")
@@ -285,6 +287,75 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
         check, "a long, b long")
 
 
+def rarest(texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """(sig, node, own): the finest blocks, of one element each, that the sets of `texts` (node,
+    text) must be compared by; the rarest of these sets' elements stand first.
+
+    Of the blocks in the order of how many of the sets have them, the first n - ceil(percent n) + 1
+    of both sets of a link hold an equal one. Elements of one set alone lead to no one: they only
+    take places, so pages that share a template and have texts of their own need few blocks or
+    none. `own` marks sets with so many of those that no two marked ones link: if both lack
+    u > n (100 - percent) / (100 + percent) elements of each other, too few are left in common.
+    """
+    def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes = np.asarray(batch.column(0))
+            for lo, elements, bounds in set_slices(batch.column(1), size):
+                n = np.diff(bounds)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(nodes[lo:lo + len(n)], n)),
+                     pa.array(np.repeat(n, n).astype(np.int32)),
+                     pa.array(elements.view(np.int64))], ["node", "n", "sig"])
+
+    rows, total = cut_counted(texts.mapInArrow(exploded, "node long, n int, sig long"))
+    times = cut(rows.groupBy("sig").agg(F.count("*").alias("times")).filter("times > 1"))
+    hot = times.filter(F.col("times") > total / HOT)
+    shared = rows.join(F.broadcast(hot), "sig").unionByName(
+        rows.join(F.broadcast(hot.select("sig")), "sig", "left_anti")
+        .join(times.filter(F.col("times") <= total / HOT), "sig"))
+    of_set = shared.groupBy("node").agg(F.any_value("n").alias("n"), F.sort_array(F.collect_list(
+        F.struct("times", "sig"))).alias("shared"))
+    alone = F.col("n") - F.size("shared")
+    first = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
+    return of_set.select(
+        "node", (alone * (100 + percent) > F.col("n") * (100 - percent)).alias("own"),
+        F.explode(F.slice("shared.sig", F.lit(1), F.greatest(first - alone, F.lit(0))))
+        .alias("sig"))
+
+
+def across(open_: DataFrame, info: DataFrame, texts: DataFrame, size: int, percent: int
+           ) -> DataFrame:
+    """Candidates (a, b) among the nodes of `open_` (node, label) that have different labels.
+
+    Members of a signature meet the ones that are not marked `own`; members of a signature with
+    more than a 100,000th of all rows do so in blocks of about MEMBERS.
+    """
+    named = open_.select("node", "label").distinct()
+    rows, total = cut_counted(rarest(texts.join(named.select("node"), "node"), size, percent)
+                              .join(named, "node"))
+    groups = rows.groupBy("sig").agg(
+        F.count("*").alias("n"), F.min("own").alias("all_own"), F.min("label").alias("lo"),
+        F.max("label").alias("hi")).filter("NOT all_own AND lo <> hi").select("sig", "n")
+    groups = cut(groups)
+    hot = groups.filter(F.col("n") > max(MEMBERS, total / HOT)).select(
+        "sig", F.ceil(F.col("n") / MEMBERS).cast("int").alias("blocks"))
+    cold = groups.join(F.broadcast(hot), "sig", "left_anti").select("sig")
+    members = rows.join(F.broadcast(hot), "sig").unionByName(
+        rows.join(F.broadcast(hot.select("sig")), "sig", "left_anti").join(cold, "sig")
+        .withColumn("blocks", F.lit(1)))
+    members = cut(members.join(info.drop("rep"), "node"))
+    x = members.filter("NOT own").withColumn("block", F.explode(
+        F.sequence(F.lit(0), F.col("blocks") - 1))).alias("x")
+    y = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).alias(
+        "y")
+    # Of two nodes that are both not marked, the pair is made once.
+    once = F.when(F.col("y.own"), F.col("x.label") != F.col("y.label")).otherwise(
+        F.col("x.label") < F.col("y.label"))
+    pairs = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.block") == F.col("y.block"))
+                   & once & may_link("x", "y", percent))
+    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id",
                     size: int = SHINGLE, percent: int = PERCENT, codes: bool = False) -> DataFrame:
     """key, n_shingles and component_id of every document; with `codes` also `code`, xxhash64 of
@@ -300,8 +371,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id",
 
     Copies are one node from the start. Each signature links its members to one leader, so a
     signature of n sets gives n candidates. The members of signatures that are not yet in one
-    component then meet a few leaders more; what is still apart is compared pair by pair, across
-    components alone: pairs inside a component need no link of their own. Sizes and
+    component then meet a few leaders more; sets that are still apart are joined by blocks of one
+    element, the rarest first, across components alone: pairs inside a component need no link of
+    their own. Sizes and
     sketches sift candidates, sets made from whole texts decide. The result is written; what was
     written on the way is removed.
     """
@@ -365,12 +437,8 @@ def grouped(docs: DataFrame, text: str, key: str, size: int, percent: int,
     more = linked(pairs.select(F.col("node").alias("a"), F.col("p.node").alias("b")))
     found = components(found.toDF("a", "b").union(more))
     open_ = undecided(open_, found)
-    sketched = open_.join(info.drop("rep"), "node")
-    x, y = sketched.alias("x"), sketched.alias("y")
-    across = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.label") < F.col("y.label"))
-                    & may_link("x", "y", percent))
-    across = across.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    found = components(found.toDF("a", "b").union(verified(across, known, size, percent)))
+    pairs = across(open_, info, known, size, percent)
+    found = components(found.toDF("a", "b").union(verified(pairs, known, size, percent)))
 
     of_node = nodes.select("h1", "h2", "n", "rep").join(
         found.withColumnRenamed("node", "h1"), "h1", "left").withColumn(
