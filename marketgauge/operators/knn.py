@@ -21,6 +21,9 @@ from ..session import checked_broadcast, cut, cut_counted
 PIVOTS = 64
 TRAIN_CHUNK = 20_000
 QUERY_BLOCK = 5_000
+# Copies of queries that a task makes at a time; train rows beside the k nearest whose distance is
+# worked out exactly.
+SENT_ROWS, SPARE = 20_000, 8
 # Of the hashed way: tables, train rows of a bucket, buckets a query goes to in each table.
 TABLES, BUCKET, PROBES = 8, 2_000, 6
 
@@ -73,17 +76,44 @@ def _reach(queries: DataFrame, pivots: np.ndarray, radius: np.ndarray, count: np
             bound = np.take_along_axis(upper, order, axis=1)[np.arange(len(d)), last]
             reach = (count > 0) & (d - radius <= bound[:, None] * (1 + 1e-12) + 1e-12)
             q, cell = np.nonzero(reach)
-            part = pdf.iloc[q]
-            yield part.assign(cell=cell.astype("int32"))
+            # A query may reach every group: a slice of its copies at a time.
+            for lo in range(0, len(q), SENT_ROWS):
+                part = pdf.iloc[q[lo:lo + SENT_ROWS]]
+                yield part.assign(cell=cell[lo:lo + SENT_ROWS].astype("int32"))
 
     return queries.mapInPandas(spread, "id long, vec array<double>, cell int")
 
 
+def _sifted(asked: np.ndarray, known: np.ndarray, top: int
+            ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, distances, sure): the `top` nearest rows of `known` for each of `asked`, equal
+    distances by place.
+
+    One product of matrices tells squared distances to within a bound on its rounding; a few rows
+    more than asked for are worked out exactly. It is sure where no other row can be as near.
+    """
+    wide = min(len(known), top + SPARE)
+    with np.errstate(invalid="ignore", over="ignore"):
+        a, b = np.einsum("qd,qd->q", asked, asked), np.einsum("td,td->t", known, known)
+        rough = a[:, None] + b - 2 * (asked @ known.T)
+        near = np.argpartition(rough, wide - 1, axis=1)[:, :wide]
+        edge = np.take_along_axis(rough, near, axis=1).max(axis=1)
+        near.sort(axis=1)
+        diff = asked[:, None, :] - known[near]
+        d = np.sqrt(np.einsum("qtd,qtd->qt", diff, diff))
+        place = np.argsort(d, axis=1, kind="stable")[:, :top]
+        near, d = np.take_along_axis(near, place, axis=1), np.take_along_axis(d, place, axis=1)
+        error = 8 * (asked.shape[1] + 4) * np.finfo(float).eps * (np.sqrt(a) + np.sqrt(b.max())) ** 2
+        sure = np.isfinite(d[:, -1]) & ((d[:, -1] ** 2 < edge - error) | (wide == len(known)))
+    return near, d, sure
+
+
 def _nearest(k: int):
     def one(queries: pd.DataFrame, train: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(train):
             return pd.DataFrame({"id": [], "train_id": [], "label": pd.Series([], dtype=object),
                                  "dist": []})
+        train = train.iloc[np.argsort(train["id"].to_numpy(), kind="stable")]
         asked, known = _matrix(queries["vec"]), _matrix(train["vec"])
         ids, labels = train["id"].to_numpy(), train["label"].to_numpy()
         top = min(k, len(train))
@@ -91,15 +121,18 @@ def _nearest(k: int):
         # A slice of queries at a time: memory follows the train chunk, not chunk times block.
         rows = max(1, 1_000_000 // len(train))
         for lo in range(0, len(asked), rows):
-            d = _distances(asked[lo:lo + rows], known)
-            last = np.partition(d, top - 1, axis=1)[:, top - 1]
-            for i in range(len(d)):
+            part = asked[lo:lo + rows]
+            near, d, sure = _sifted(part, known, top)
+            for i in np.flatnonzero(~sure):
+                far = _distances(part[i:i + 1], known)[0]
+                last = np.partition(far, top - 1)[top - 1]
                 # Ties at the k-th place go to the smaller id, as in the final merge.
-                near = np.flatnonzero(d[i] <= last[i])
-                near = near[np.lexsort((ids[near], d[i][near]))[:top]]
-                owner.append(np.full(top, queries["id"].iat[lo + i]))
-                found.append(near)
-                dist.append(d[i][near])
+                some = np.flatnonzero(far <= last)
+                near[i] = some[np.argsort(far[some], kind="stable")[:top]]
+                d[i] = far[near[i]]
+            owner.append(np.repeat(queries["id"].to_numpy()[lo:lo + rows], top))
+            found.append(near.ravel())
+            dist.append(d.ravel())
         found = np.concatenate(found)
         return pd.DataFrame({"id": np.concatenate(owner), "train_id": ids[found],
                              "label": pd.Series(labels[found], dtype=object),
