@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checked_broadcast
+from ..session import checked_broadcast, cut
 from .ordered import running_totals
 
 K = 3
@@ -80,7 +80,8 @@ def _with_rows_within(cells: DataFrame, all_cells: DataFrame) -> DataFrame:
     numbers = all_cells.groupBy("column", F.col("x").alias("at")).agg(F.sum("n").alias("held"))
     both = probes.unionByName(numbers.withColumn("kind", F.lit(AT)), allowMissingColumns=True)
     # Probes add nothing, so those of one place need no order among them.
-    counted = running_totals(both, ["column"], ["at", "kind"], ["held"])
+    # Written: range partitions are sampled first, which else works all of it out twice.
+    counted = running_totals(cut(both), ["column"], ["at", "kind"], ["held"])
     return (counted.filter(F.col("sign").isNotNull()).groupBy("column", "cell")
             .agg(F.sum(F.col("sign") * F.col("cum_held")).alias("m"))
             .select("column", "cell.*", "m"))
@@ -99,7 +100,8 @@ def neighbour_information(df: DataFrame, label: str, columns: Sequence[str], k:
     Rows collapse to one for each different number and class. No class or column meets in one
     task: blocks of a class's order hold `block` numbers, running totals go over range partitions.
     """
-    cells = _cells(df, label, columns, resolution)
+    # Rows are reduced once; all later steps read the written numbers.
+    cells = cut(_cells(df, label, columns, resolution))
     classes = (cells.groupBy("column", "y").agg(F.sum("n").alias("rows"))
                .filter(F.col("rows") > 1)
                .withColumn("k", F.least(F.lit(k).cast("long"), F.col("rows") - 1)))
