@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schema
 from ..functions.bins import equal_width_bin, equal_width_edges, quantile_bin
@@ -13,7 +14,7 @@ from ..functions.features import (action_label, calendar, position_bucket, price
                                   quantity, quantity_class, quantity_rounded)
 from ..functions.numbers import ratio
 from ..functions.text import classify_content
-from ..session import checked_broadcast
+from ..session import checked_broadcast, cut
 from ..sources.tables import long_form
 from .cleaning import action_sum, log_ratio_band
 from .ordered import exact_quantiles, quantile_values
@@ -45,18 +46,35 @@ def row_missing(df: DataFrame) -> DataFrame:
                   F.max(pct).alias("max"), F.count_if(gaps > 0).alias("rows_with_missing"))
 
 
+def _as_told_apart(df: DataFrame, col: str) -> list[Column]:
+    """What tells the values of a column apart as their text does, without writing it: the value
+    itself, and the sign of a zero."""
+    kind = df.schema[col].dataType
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        # Only a zero is written as text.
+        minus = F.when(F.col(col) == 0, F.col(col).cast("string").startswith("-"))
+        return [F.col(col).alias("value"), minus.alias("minus")]
+    if isinstance(kind, (T.IntegralType, T.DecimalType, T.StringType, T.BooleanType, T.DateType)):
+        return [F.col(col).alias("value")]
+    return [F.col(col).cast("string").alias("value")]
+
+
 def distinct_profile(df: DataFrame, cols: Sequence[str] | None = None,
                      approximate: float | None = None) -> DataFrame:
-    """Distinct values per column. Exact: distinct (column, value) pairs, spread over the
-    cluster; `approximate` takes a relative error and needs no shuffle of values."""
+    """Distinct values per column. Exact: the rows are written once, and each column is reduced to
+    its values by itself, as they are, spread over the cluster; `approximate` takes a relative error
+    and needs no shuffle of values."""
     cols = list(cols or df.columns)
     if approximate is not None:
         row = df.agg(*[F.approx_count_distinct(c, approximate).alias(c) for c in cols])
         return long_form(row, cols, value="n_distinct")
-    pairs = [F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
-             for c in cols]
-    return (df.select(F.inline(F.array(*pairs))).distinct()
-            .groupBy("column").agg(F.count("value").alias("n_distinct")))
+    stored, out = cut(df.select(*cols)), None
+    for c in cols:
+        values = stored.select(*_as_told_apart(stored, c)).distinct()
+        # A column of an empty table has no row.
+        one = values.groupBy(F.lit(c).alias("column")).agg(F.count("value").alias("n_distinct"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def distinct_values(df: DataFrame, cols: Sequence[str], limit: int) -> DataFrame:

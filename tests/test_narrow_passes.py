@@ -10,6 +10,20 @@ def _plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_values_are_told_apart_as_they_are(spark):
+    df = spark.createDataFrame(
+        [(1, 0.0, "a", None), (2, -0.0, "a", None), (3, float("nan"), None, None),
+         (3, float("nan"), "b", None), (None, None, "", None)],
+        "i long, x double, s string, none string")
+    got = explore.distinct_profile(df)
+    # As their text: the two zeros are two values.
+    assert {r["column"]: r.n_distinct for r in got.collect()} == {
+        "i": 3, "x": 3, "s": 3, "none": 0}
+    # One reduction a column, of the values themselves.
+    assert "Generate" not in _plan(got) and "cast(i" not in _plan(got)
+    assert explore.distinct_profile(df.limit(0)).count() == 0
+
+
 def test_rows_are_reduced_once(spark, monkeypatch):
     df = spark.range(400).select((F.col("id") % 2).alias("y"),
                                  (F.col("id") * 37 % 101).cast("double").alias("x"))
