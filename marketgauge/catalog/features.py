@@ -9,6 +9,7 @@ from ..functions import features as feat
 from ..operators import encoders, explore, joins
 from ..operators.joins import lookup
 from ..plans.unified import build_features
+from ..session import cut
 from .registry import q, query, rounded
 
 
@@ -128,8 +129,12 @@ def onehot_sparse(t):
     table = encoders.level_table(df, SPARSE)
     hot = encoders.sparse_one_hot(df, SPARSE, table).select("lineID", F.explode("levels")
                                                             .alias("index"))
-    # The index tells the column again.
-    return joins.lookup(hot, table.select("index", "column"), ["index"], stored=True).select(
+    # The index tells the column again: the columns' indices follow each other.
+    firsts = cut(table.groupBy("column").agg(F.min("index").alias("_first")))
+    at = F.lit(None).cast("long")
+    for r in firsts.orderBy("_first").collect():
+        at = F.when(F.col("index") >= r["_first"], r["_first"]).otherwise(at)
+    return joins.lookup(hot.withColumn("_first", at), firsts, ["_first"], stored=True).select(
         "lineID", "column", "index")
 
 
