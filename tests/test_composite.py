@@ -51,3 +51,18 @@ def test_wide_rows_cross_one_exchange(spark, tables):
             depth = indent
             exchanges += "Exchange hashpartitioning" in line
     assert exchanges == 1
+
+
+def test_an_item_is_written_once(tables, monkeypatch):
+    facts, items, features = tables
+    counted, written = joins.cut_counted, []
+
+    def noted(df, *args):
+        out = counted(df, *args)
+        written.append(("maker" in df.columns, out[1]))
+        return out
+
+    monkeypatch.setattr(joins, "cut_counted", noted)
+    joins.enrich_and_attach(facts, items, features, ["pid", "day"], max_bytes=0).count()
+    # 30 items and the 5 products that have features alone.
+    assert [n for wide, n in written if wide] == [35]
