@@ -5,7 +5,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from marketgauge import schema
-from marketgauge.operators import models
+from marketgauge.operators import evaluate, models
 from marketgauge.plans import experiments
 
 
@@ -86,3 +86,27 @@ def test_action_report_scores_once(rows, written):
     report = experiments.action_report(trained, coded).first()
     assert written[-1] == ["label", "prediction", *[f"p_{a}" for a in schema.ACTIONS]]
     assert report.accuracy > 0.3
+
+
+def test_permuted_columns_swap_their_places(rows):
+    prep = _prep()
+    trained = models.fit(rows, models.boosted(weight=None, rounds=3, depth=3), prep)
+    places = prep.places_of()
+    for c, at in places.items():
+        assert {prep.names[i].split("_sp")[0].split("=")[0] for i in at} <= {
+            c, f"{c}_missing", f"{c}_te"}
+    assert sorted(i for at in places.values() for i in at) == list(range(len(prep.names)))
+    asked = ["x", "y", "c", "price", "lineID"]
+    got = {r.feature: r for r in models.permutation_importance(
+        trained, rows, "label", asked, repeats=2).collect()}
+    # The plain way: each column of the rows is swapped, and all is prepared again.
+    paired = models.permuted_rows(rows, asked, 2)
+    whole = evaluate.roc_auc(trained.score(rows).select("label", "score")).first().roc_auc
+    for f in asked:
+        drops = [whole - evaluate.roc_auc(trained.score(paired.withColumn(
+            f, F.col("_others")[i][f]).drop("_others")).select("label", "score")).first().roc_auc
+            for i in range(2)]
+        assert got[f].importance_mean == pytest.approx(sum(drops) / 2, abs=1e-12)
+    assert got["x"].importance_mean > 0.1
+    plan = models.permutation_importance(trained, rows, "label", ["lineID"], 2)
+    assert [r.importance_mean for r in plan.collect()] == [0.0]
