@@ -72,14 +72,16 @@ def test_class_models_are_those_of_one_against_the_rest(spark, rows):
     assert got == want and len(set(got.values())) > 1
 
 
-def test_every_row_tells_the_bin_edges(spark):
-    """Values that only few rows have are seen, and equal shares are found in many values."""
-    df = spark.range(30_000).select(F.array(
-        F.col("id").cast("double"), (F.col("id") == 29_999).cast("double"), F.lit(3.0))
-        .alias("features"))
-    many, rare, none = boosting.edges(df.repartition(3), 3, 4)
-    assert rare == [0.5] and none == []
-    assert len(many) == 3 and all(abs(e - 7500 * (i + 1)) < 60 for i, e in enumerate(many))
+def test_bin_edges_are_those_mllib_draws(spark):
+    """Of more rows than MLlib takes for bin edges, with weights and with zeros among the values."""
+    df = table(spark, 25_000).withColumn("x", F.col("x") + F.rand(5)).withColumn(
+        "w", F.when(F.col("lineID") % 3 > 0, 1.0).otherwise(2.5))
+    rows = models.Preprocessor(numeric=["x", "z", "u"], flags=True).fit(df).transform(df).select(
+        "lineID", "label", "w", "features").cache()
+    for weight in (None, "w"):
+        estimator = models.boosted(weight=weight, rounds=2, depth=4)
+        want, got = scores(plain(estimator).fit(rows), rows), scores(estimator.fit(rows), rows)
+        assert max(abs(got[i] - want[i]) for i in want) < 1e-9
 
 
 def test_a_share_of_rows_and_inputs(spark, rows):
